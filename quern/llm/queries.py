@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontamination, packing, quality_rules, simhash
+from quern.llm import decontamination, html_extraction, language_id, packing, quality_crf, quality_rules, simhash
 from quern.llm.common import narrow, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,28 @@ FROM d LEFT JOIN words ON words.r = d.r LEFT JOIN items ON items.r = d.r
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _crc(column: str, mod: int):
+    return F.crc32(F.col(column).cast("string")) % mod
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    texts = language_id.sample(docs, "lang", "doc_id", "text", F.coalesce(_crc("doc_id", 3), F.lit(0)) != 1)
+    found = language_id.predict(docs, texts)
+    return found.select("doc_id", F.coalesce(_crc("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    crf = quality_crf.learn(docs, table(spark, sf_dir, "labels"), _crc("doc_id", 5) != 0)
+    found = quality_crf.score(docs, crf)
+    return found.select("doc_id", F.coalesce(_crc("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
