@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontamination, html_extraction, language_id, packing, quality_crf, quality_rules, simhash
+from quern.llm import decontamination, html_extraction, language_id, license_scan, packing, pii, quality_crf, quality_rules, simhash
 from quern.llm.common import narrow, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,21 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     crf = quality_crf.learn(docs, table(spark, sf_dir, "labels"), _crc("doc_id", 5) != 0)
     found = quality_crf.score(docs, crf)
     return found.select("doc_id", F.coalesce(_crc("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
+def pii_key(spark: SparkSession) -> bytes:
+    """The session's `quern.pii.key`; the default only links values within tests and checks."""
+    return spark.conf.get("quern.pii.key", "no key was set").encode()[:64]
+
+
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.findings(table(spark, sf_dir, "documents"), pii_key(spark))
+    return found.select("doc_id", "text", "n_pii", F.array_join("kinds", ",").alias("kinds"))
+
+
+@query
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.licenses(table(spark, sf_dir, "documents"))
+    labels = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
+    return found.withColumns(labels).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
