@@ -1,8 +1,7 @@
 """PII replaced by format-preserving Feistel pseudonyms.
 
 E-mail addresses, IPv4 addresses, payment card numbers (Luhn), IBANs
-(mod 97), social security numbers, phone numbers, other long numbers, dates
-and credentials are found and validated. Each is permuted, under a key,
+(mod 97), social security numbers, phone numbers, dates and credentials are found and validated. Each is permuted, under a key,
 within the set of values of its own format: a card number stays a valid card
 number, a date a date, an address keeps its length, letters and digits. The
 permutation depends only on the key and the value, so equal values get equal
@@ -13,8 +12,8 @@ bits, walked until it falls into the set again, so it is one-to-one. (A value
 is its own pseudonym with a chance of one in the size of its set.)
 
 Defined results: null stays null, empty stays empty; a value that fails
-validation (a date of a 13th month, an octet over 255) is no PII unless it
-is a long number; of overlapping finds the earlier, then the longer counts.
+validation (a wrong check digit, a date of a 13th month, an octet over 255)
+is no PII and stays; of overlapping finds the earlier, then the longer counts.
 Repeated rows change alike. All columns stay; only the text changes.
 """
 
@@ -70,11 +69,11 @@ def luhn_digit(body: str) -> str:
     return str(-total % 10)
 
 
-def _card(s: str, key: bytes) -> str:
-    """A valid number keeps its first digit, its length and its validity; any other number only its length."""
+def _card(s: str, key: bytes) -> str | None:
+    """A valid number keeps its first digit, its length and its validity; any other is no card number."""
     ds = [c for c in s if c.isdigit()]
     if luhn_digit("".join(ds[:-1])) != ds[-1]:
-        return _digits(s, key, b"number")
+        return None
     body = ds[0] + _digits("".join(ds[1:-1]), key, b"card" + ds[0].encode())
     new = iter(body + luhn_digit(body))
     return "".join(next(new) if c.isdigit() else c for c in s)
@@ -176,7 +175,6 @@ KINDS: tuple[tuple[str, re.Pattern, Callable[[str, bytes], str | None]], ...] =
     ("ssn", re.compile(r"(?<![\d-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])"), lambda s, key: _digits(s, key, b"ssn")),
     ("card", re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?!\d)"), _card),
     ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\1\d{4})(?![\d])"), lambda s, key: _digits(s, key, b"phone")),
-    ("number", re.compile(r"(?<!\d)\d{9,}(?!\d)"), lambda s, key: _digits(s, key, b"number")),
 )
 _ASSIGN = re.compile(r"(?i)(?:key|token|secret|password|passwd|pwd|bearer|auth)\w*\s*[:=]?\s*$")
 _GATE = re.compile(r"[0-9@]|[\"']")
