@@ -174,7 +174,7 @@ KINDS: tuple[tuple[str, re.Pattern, Callable[[str, bytes], str | None]], ...] =
     ("date", re.compile(r"(?<![\d./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\d]|[./-]\d)"), _date),
     ("ssn", re.compile(r"(?<![\d-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])"), lambda s, key: _digits(s, key, b"ssn")),
     ("card", re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?!\d)"), _card),
-    ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\1\d{4})(?![\d])"), lambda s, key: _digits(s, key, b"phone")),
+    ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{2,4}[ .-]\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\1\d{4})(?!\d|\.\d)"), lambda s, key: _digits(s, key, b"phone")),
 )
 _ASSIGN = re.compile(r"(?i)(?:key|token|secret|password|passwd|pwd|bearer|auth)\w*\s*[:=]?\s*$")
 _GATE = re.compile(r"[0-9@]|[\"']")
