@@ -118,4 +118,5 @@ def judge(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     names = F.array_compact(F.array(*[F.when(fails(r), F.lit(r.name)) for r in rules]))
     d = d.withColumns({"base_failed": base, "failed_rules": names})
-    return d.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    # a filter on a non-deterministic column stays above the projections: pushed below, it would repeat their arrays many times over
+    return d.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0) & (F.spark_partition_id() >= 0))
