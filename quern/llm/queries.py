@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontamination, html_extraction, language_id, license_scan, packing, pii, quality_crf, quality_rules, simhash
+from quern.llm import decontamination, html_extraction, language_id, license_scan, packing, pii, quality_crf, quality_rules, simhash, suffix_dedup
 from quern.llm.common import narrow, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan.licenses(table(spark, sf_dir, "documents"))
     labels = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
     return found.withColumns(labels).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
