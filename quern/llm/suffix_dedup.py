@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import narrow, work_dir
+from quern.llm.common import narrow, persisted, work_dir
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -486,8 +486,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         return blocks.groupBy("block").cogroup(mail.groupBy("block")).applyInArrow(fn, schema)
 
     run_schema = "part long, block int, data binary"
-    repeated = rounds(copies, send_hashes, run_schema).groupBy("part").applyInArrow(find_repeated, _MESSAGE)
+    # what goes back is a bit or a word for each hash or suffix; written, so that no round runs twice
+    copies = persisted(copies)
+    repeated = persisted(rounds(copies, send_hashes, run_schema).groupBy("part").applyInArrow(find_repeated, _MESSAGE))
     mail = copies.unionByName(repeated)
-    earlier = rounds(mail, send_suffixes, run_schema).groupBy("part").applyInArrow(merge, _MESSAGE)
+    earlier = persisted(rounds(mail, send_suffixes, run_schema).groupBy("part").applyInArrow(merge, _MESSAGE))
     schema = f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return rounds(mail.unionByName(earlier), finish, schema)
