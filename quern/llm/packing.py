@@ -22,6 +22,7 @@ import heapq
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -61,17 +62,57 @@ def _parts(text: str) -> list[str]:
     return [*out, text[at:]]
 
 
-def encode(texts: list[str | None], path: str, end_id: int = 0) -> list[np.ndarray]:
-    """Each text's ids and the end id, as little-endian unsigned 32-bit."""
-    t = tokenizer(path)
-    parts = [_parts(x or "") for x in texts]
-    flat = iter(t.encode_batch_fast([p for ps in parts for p in ps], add_special_tokens=False))
-    out = []
-    for ps in parts:
-        ids = [i for _ in ps for i in next(flat).ids]
+#: The pre-tokeniser of byte-level BPE vocabularies of this kind.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PROBE = ("it's  a\n\n b\tc 12 3.5%% don't WE'LL\r\n x\u00a0y ", " \u00e9t\u00e9 \u65e5\u672c\u8a9e \U0001f600 <|endoftext|> \u00bd\n", "The anenthering thble oftion")
+
+
+def _byte_alphabet() -> dict[str, int]:
+    """The characters that stand for the bytes in a byte-level vocabulary: printable ones for themselves, others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+class Encoder:
+    """The ids of the tokenizer in `path`.
+
+    Where the file is a byte-level BPE whose ids are its ranks, the same merges
+    are run by a rank-table encoder, which gives the same ids several times
+    faster; a probe decides, and any other file is encoded by tokenizers.
+    """
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer = tokenizer(path)
+        self.fast = None
+        alphabet = _byte_alphabet()
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        words = {w: i for w, i in self.tokenizer.get_vocab(with_added_tokens=True).items() if w not in special}
+        if all(c in alphabet for w in words for c in w):
+            import tiktoken
+
+            ranks = {bytes(alphabet[c] for c in w): i for w, i in words.items()}
+            try:
+                fast = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+                if all(fast.encode_ordinary(t) == self._slow(t) for t in _PROBE):
+                    self.fast = fast
+            except (KeyError, ValueError):
+                pass
+
+    def _slow(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def encode(self, text: str | None, end_id: int = 0) -> np.ndarray:
+        """A text's ids and the end id, as little-endian unsigned 32-bit."""
+        one = self._slow if self.fast is None else self.fast.encode_ordinary
+        ids = one(text) if text and len(text) <= _LONG else [i for p in _parts(text) for i in one(p)] if text else []
         ids.append(end_id)
-        out.append(np.array(ids, "<u4"))
-    return out
+        return np.frombuffer(array("I", ids), "<u4")
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def pack_block(lengths: list[int], size: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
@@ -115,6 +156,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 33
+        encode = encoder(tokenizer_path).encode
         seq = 0
         rests: list[tuple[int, int, np.ndarray]] = []  # document, its ids before the rest, the rest's ids
         rows: list[list] = [[] for _ in range(8)]
@@ -146,7 +188,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             id_type = batch.schema.field(0).type
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist(), tokenizer_path, end_id), strict=True):
+                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    ids = encode(text, end_id)
                     whole = len(ids) // size
                     for k in range(whole):
                         put(doc, k * size, ids[k * size : (k + 1) * size], len(ids), seq, 0)
