@@ -8,3 +8,5 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+from quern.plans import queries as _queries  # noqa: E402,F401  fills both tables
