@@ -599,12 +599,12 @@ def chunked_pairs(spark, sf_dir):
 
 
 @query(rf"""
-WITH c AS (SELECT lang, source, {SQ('text')} AS text FROM documents WHERE doc_id % 2 = 0), r AS (SELECT lang, source, {SQ('text')} AS text FROM documents WHERE doc_id % 2 = 1),
-cu AS (SELECT lang, source, min(text) AS chosen FROM c WHERE text <> '' AND lang <> '' GROUP BY ALL HAVING min(text) = max(text)), ru AS (SELECT lang, source, min(text) AS rejected FROM r WHERE text <> '' AND lang <> '' GROUP BY ALL HAVING min(text) = max(text))
-SELECT lang, source, chosen, rejected FROM cu JOIN ru USING (lang, source) WHERE chosen <> rejected""")
+WITH c AS (SELECT lang, CAST(n_chars AS VARCHAR) AS size, {SQ('text')} AS text FROM documents), r AS (SELECT lang, CAST(n_chars AS VARCHAR) AS size, {SQ('left(text, 100)')} AS text FROM documents),
+cu AS (SELECT lang, size, min(text) AS chosen FROM c WHERE text <> '' AND lang <> '' GROUP BY ALL HAVING min(text) = max(text)), ru AS (SELECT lang, size, min(text) AS rejected FROM r WHERE text <> '' AND lang <> '' GROUP BY ALL HAVING min(text) = max(text))
+SELECT lang, size, chosen, rejected FROM cu JOIN ru USING (lang, size) WHERE chosen <> rejected""")
 def preference_pairs(spark, sf_dir):
-    d = docs(spark, sf_dir, "doc_id", "lang", "source", "text")
-    return builders.preference_pairs(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1"), ["lang", "source"], "text")
+    d = docs(spark, sf_dir, "lang", "n_chars", "text").withColumnRenamed("n_chars", "size")
+    return builders.preference_pairs(d, d.withColumn("text", F.substring("text", 1, 100)), ["lang", "size"], "text")
 
 
 @query()
