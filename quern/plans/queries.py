@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern import schema
-from quern.functions import features, metrics, similarity, text
-from quern.operators import aggregates, alignment, augment, builders, chunking, consensus, dedup, filters, joins, retrieval, splits, windows
+from quern.functions import features, metrics, records, similarity, text
+from quern.operators import aggregates, alignment, augment, builders, chunking, consensus, correction, dedup, evaluation, filters, joins, retrieval, splits, windows
 from quern.plans.registry import ORACLE, QUERIES
 from quern.streaming import append
 
@@ -629,3 +629,61 @@ SELECT DISTINCT sha256(chunk) AS fingerprint, chunk FROM c WHERE length(chunk) >
 def append_missing_chunks(spark, sf_dir):
     p = append.paragraphs(docs(spark, sf_dir, "doc_id", "text"))
     return append.append_missing(spark, p, p.where("doc_id % 4 = 0")).select("fingerprint", "chunk")
+
+
+# records, correction, evaluation
+
+
+@query("""
+SELECT doc_id, CASE WHEN contains(lower(lang), 'akk') AND contains(lower(lang), 'sux') THEN 'Akkadian-Sumerian' WHEN contains(lower(lang), 'akk') THEN 'Akkadian' WHEN contains(lower(lang), 'sux') THEN 'Sumerian'
+  WHEN contains(lower(lang), 'hit') THEN 'Hittite' WHEN contains(lower(lang), 'egy') THEN 'Egyptian' ELSE lower(lang) END AS language FROM documents""")
+def language_codes(spark, sf_dir):
+    return docs(spark, sf_dir, "doc_id", "lang").select("doc_id", records.language(F.col("lang")).alias("language"))
+
+
+_SETS = r"list_sort(list_distinct(regexp_extract_all({0}, '\b\d+(?:\.\d+)?(?:/\d+)?\b')))"
+_AGAIN = " OR ".join(f"len(list_filter(range(1, greatest(len(w) - {2 * n} + 2, 1)), lambda i: w[i : i + {n - 1}] = w[i + {n} : i + {2 * n - 1}])) > 0" for n in (3, 4, 5))
+
+
+@query(PAIRS + f""", f AS (SELECT row_id, source_text AS r, target_text AS p, {W('target_text')} AS w FROM p),
+e AS (SELECT row_id, 'proper_noun' AS error, false AS hit FROM f
+  UNION ALL SELECT row_id, 'number', len({_SETS.format('r')}) > 0 AND {_SETS.format('r')} <> {_SETS.format('p')} FROM f
+  UNION ALL SELECT row_id, 'repeated', len(w) >= 6 AND ({_AGAIN}) FROM f
+  UNION ALL SELECT row_id, 'truncated', length(p) < 0.5 * length(r) AND length(r) > 50 FROM f
+  UNION ALL SELECT row_id, 'gap', contains(lower(r), '<gap>') AND (contains(p, '...') OR contains(lower(p), 'xxx')) FROM f
+  UNION ALL SELECT row_id, 'tag', list_sort(list_distinct(regexp_extract_all(r, '\\[\\[[EN]\\d+\\]\\]'))) <> list_sort(list_distinct(regexp_extract_all(p, '\\[\\[[EN]\\d+\\]\\]'))) FROM f)
+SELECT error, CAST(count(*) FILTER (hit) AS BIGINT) AS n, round(100.0 * count(*) FILTER (hit) / count(*), 6) AS percent, min(CASE WHEN hit THEN row_id END) AS first FROM e GROUP BY error""")
+def error_summary(spark, sf_dir):
+    d = evaluation.error_flags(pairs(spark, sf_dir), "target_text", "source_text")
+    return evaluation.error_summary(d, "row_id").select("error", *whole("n"), *rounded("percent"), "first")
+
+
+@query()
+def evaluation_rates(spark, sf_dir):
+    return evaluation.rates(pairs(spark, sf_dir), "target_text", "source_text", "source_text")
+
+
+@query()
+def vocabulary_correction(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("p_name"))
+    vocab = correction.vocabulary(p, "p_name", table(spark, sf_dir, "nation").select(F.lower("n_name").alias("form")), "form")
+    cut = p.withColumn("p_name", F.regexp_replace("p_name", "a", "e"))
+    return correction.corrected(cut, "p_partkey", "p_name", vocab).select("p_partkey", "p_name", F.size("corrections").alias("n"))
+
+
+@query()
+def restored_marks(spark, sf_dir):
+    d = docs(spark, sf_dir, "doc_id", "text").where(F.length("text") < 2000)
+    older = d.withColumn("text", F.regexp_replace("text", "(?<=e)s ", "'s "))
+    return correction.restore_marks(d, older, "doc_id", "text", F.col("doc_id"))
+
+
+@query()
+def record_texts(spark, sf_dir):
+    p = pairs(spark, sf_dir)
+    return p.select("row_id", records.record_source(F.col("source_text")).alias("source_text"), records.record_target(F.col("target_text")).alias("target_text"))
+
+
+@query()
+def line_number_strip(spark, sf_dir):
+    return docs(spark, sf_dir, "doc_id", "text").select("doc_id", records.without_line_numbers("text").alias("text"))
