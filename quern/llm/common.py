@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,19 +33,24 @@ def narrow(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow without a barrier; a task that is lost is run again from its input."""
-    return df.mapInArrow(fn, schema)
+def release() -> None:
+    """Gives memory that a task is done with back to the system; workers are used again, and would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where there is no such function, nothing is given back
+        ctypes.CDLL(None).malloc_trim(0)
 
 
-def appended(df: DataFrame, extra: T.StructType) -> T.StructType:
-    """The schema of `df` with the fields of `extra` after it; a field of the same name in `df` gives way."""
-    new = {f.name.lower() for f in extra.fields}
-    return T.StructType([f for f in df.schema.fields if f.name.lower() not in new] + extra.fields)
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow without a barrier; a task that is lost is run again from its input, and one that ends releases its memory."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            release()
 
-def keep_columns(batch: pa.RecordBatch, names: Sequence[str]) -> list[pa.Array]:
-    return [batch.column(batch.schema.get_field_index(n)) for n in names]
+    return df.mapInArrow(run, schema)
 
 
 def work_dir(spark: SparkSession) -> str:

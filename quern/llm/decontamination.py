@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ALNUM_TABLE, narrow
+from quern.llm.common import ALNUM_TABLE, map_arrow, narrow
 
 _HITS = "n_words long, hits array<struct<first:long,last:long>>, items array<string>"
 
@@ -120,18 +120,22 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                     n.append(len(words))
                     runs.append([{"first": x, "last": y} for x, y in got])
                     found.append(sorted(ids))
+                texts = batch.column(1)
                 cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(runs, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(found, pa.list_(pa.string()))]
                 names = ["doc_id", "n_words", "hits", "items"]
                 if with_text:
-                    cols, names = [*cols, batch.column(1)], [*names, "text"]
+                    cols, names = [*cols, texts], [*names, "text"]
+                if blocks > 1:  # tells rows that share an id apart
+                    digests = [hashlib.md5(t.as_py().encode("utf-8", "surrogatepass")).digest() if t.is_valid else None for t in texts]
+                    cols, names = [*cols, pa.array(digests, pa.binary())], [*names, "digest"]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-        return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, {_HITS}" + ", text string" * with_text)
+        return map_arrow(d, run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, {_HITS}" + ", text string" * with_text + ", digest binary" * (blocks > 1))
 
     if blocks == 1:
         return one(0)
     # each block adds its runs; a row number is not needed, as equal rows have equal hits
-    keys = ["doc_id", "n_words", *["text"] * with_text]
+    keys = ["doc_id", "n_words", "digest", *["text"] * with_text]
     whole = one(0)
     for k in range(1, blocks):
         whole = whole.unionByName(one(k))
@@ -141,27 +145,27 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     return merged.select("doc_id", "n_words", "hits", "items", *["text"] * with_text)
 
 
-def decided(found: DataFrame, min_share: float = 0.05) -> DataFrame:
-    """Adds n_hit, n_items, items_sha256 and contaminated: any hit word, and at least `min_share` of the words."""
+def decided(found: DataFrame, min_percent: int = 5) -> DataFrame:
+    """Adds n_hit, n_items, items_sha256 and contaminated: any hit word, and at least `min_percent` of the words."""
     d = found.withColumns({
         "n_hit": F.expr("aggregate(hits, 0L, (a, x) -> a + x.last - x.first + 1)"),
         "n_items": F.size("items").cast("long"),
         "items_sha256": F.sha2(F.array_join("items", ","), 256),
     })
-    return d.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.lit(min_share) * F.col("n_words")) if min_share != 0.05 else (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return d.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= min_percent * F.col("n_words")))
 
 
 def spans(found: DataFrame) -> DataFrame:
     """Adds `spans`: the hit runs as [start, end) code points of the original text (needs with_text)."""
 
+    import pandas as pd  # not in every worker
+
     @F.pandas_udf("array<struct<start:long,end:long>>")
-    def to_spans(text, runs):
+    def to_spans(text: pd.Series, runs: pd.Series) -> pd.Series:
         out = []
         for t, r in zip(text, runs, strict=True):
             at = word_spans(t) if t and len(r) else []
             out.append([{"start": at[x["first"]][0], "end": at[x["last"]][1]} for x in r])
-        import pandas as pd
-
         return pd.Series(out)
 
     return found.withColumn("spans", to_spans("text", "hits"))
@@ -189,8 +193,4 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13,
                 keep.append(not (n > 0 and 20 * n >= len(words)))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    return map_arrow(docs, run, docs.schema)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm.common import map_arrow
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
@@ -263,4 +265,4 @@ def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
             texts = [extract(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return d.mapInArrow(run, f"page_id {d.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return map_arrow(d, run, f"page_id {d.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

@@ -136,7 +136,7 @@ class Model:
             self.roots.append(base)
             self.weights.append(math.log2(len(s) + 2))
             base += len(step) * a
-        self.table = np.concatenate(tables)
+        self.table = np.concatenate(tables) if tables else np.empty(0, np.int32)
 
     def phrases(self, lanes: list[np.ndarray]) -> np.ndarray:
         """(languages, lanes) phrase counts of lanes of at most BLOCK symbols."""
@@ -165,6 +165,8 @@ class Model:
         return out
 
     def predict(self, texts: list[str | None], lanes_at_once: int = 8192) -> list[tuple[str, float]]:
+        if not self.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
         owner: list[int] = []
         lanes: list[np.ndarray] = []
         total = np.zeros((len(self.langs), len(texts)))
@@ -192,7 +194,7 @@ class Model:
         out = []
         entropy = total * np.array(self.weights)[:, None] / np.maximum(size, 1)
         for i in range(len(texts)):
-            if not lettered[i] or not self.langs:
+            if not lettered[i]:
                 out.append((UNKNOWN, 0.0))
                 continue
             e = entropy[:, i]
@@ -210,7 +212,7 @@ def model_of(texts: tuple[tuple[str, str], ...]) -> Model:
 
 def predict(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, lang_pred, score (the runner-up's share of the two best entropies, 0.5 to 1; 0 if und)."""
-    from quern.llm.common import narrow
+    from quern.llm.common import map_arrow, narrow
 
     d = narrow(docs, id_col, text_col)
     shared = d.sparkSession.sparkContext.broadcast(tuple(sorted(texts.items())))
@@ -223,4 +225,4 @@ def predict(docs: DataFrame, texts: dict[str, str], id_col: str = "doc_id", text
                 got = model.predict(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x for x, _ in got], pa.string()), pa.array([y for _, y in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return map_arrow(d, run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")

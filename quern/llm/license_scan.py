@@ -23,7 +23,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quern.llm.common import ALNUM_TABLE, narrow
+from quern.llm.common import ALNUM_TABLE, map_arrow, narrow
 
 #: The phrases of the contract and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -210,4 +210,4 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], ["doc_id", *names])
 
     schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels array<string>, labels array<string>, score double, detections array<struct<label:string,first_word:long,last_word:long>>"
-    return d.mapInArrow(run, schema)
+    return map_arrow(d, run, schema)

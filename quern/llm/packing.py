@@ -31,14 +31,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from quern.llm.common import narrow
+from quern.llm.common import map_arrow, narrow
 
 _LONG = 1 << 18
 #: A place where the pre-tokeniser always cuts: before a space between two ASCII letters.
 _SAFE = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
 
 
-@lru_cache(maxsize=2)
 def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -95,7 +94,7 @@ class Encoder:
             try:
                 fast = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
                 if all(fast.encode_ordinary(t) == self._slow(t) for t in _PROBE):
-                    self.fast = fast
+                    self.fast, self.tokenizer = fast, None
             except (KeyError, ValueError):
                 pass
 
@@ -149,7 +148,7 @@ def pack_block(lengths: list[int], size: int, linear: float, quadratic: float) -
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 0, linear: float = 1.0, quadratic: float = 1 / 2048, block_docs: int = 4096, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 0, linear: float = 1.0, quadratic: float = 1 / 2048, block_docs: int = 2048, with_ids: bool = False) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids adds the ids."""
     d = narrow(docs, id_col, text_col)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -163,7 +162,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         id_type = None
 
         def put(doc, start: int, ids: np.ndarray, tokens: int, sequence: int, offset: int) -> None:
-            for col, v in zip(rows, (doc, start, len(ids), zlib.crc32(ids.tobytes()), tokens, base + sequence, offset, ids if with_ids else None), strict=True):
+            for col, v in zip(rows, (doc, start, len(ids), zlib.crc32(ids.tobytes()), tokens, base + sequence, offset, ids.astype(np.int32) if with_ids else None), strict=True):
                 col.append(v)
 
         def close() -> None:
@@ -179,7 +178,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         def batch_out() -> pa.RecordBatch:
             cols = [pa.array(rows[0], id_type), *[pa.array(c, pa.int64()) for c in rows[1:7]]]
             if with_ids:
-                cols.append(pa.array(rows[7], pa.list_(pa.int64())))
+                cols.append(pa.array(rows[7], pa.list_(pa.int32())))
             for c in rows:
                 c.clear()
             return pa.RecordBatch.from_arrays(cols, names + ["ids"] * with_ids)
@@ -198,11 +197,11 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                         rests.append((doc, whole * size, ids[whole * size :].copy()))
                     if len(rests) >= block_docs:
                         close()
-                if len(rows[0]) >= 8192:
-                    yield batch_out()
+                    if len(rows[0]) >= 1024:
+                        yield batch_out()
         close()
         if rows[0]:
             yield batch_out()
 
-    schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"`{n}` long" for n in names[1:]) + ", ids array<long>" * with_ids
-    return d.mapInArrow(run, schema)
+    schema = f"doc_id {d.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"`{n}` long" for n in names[1:]) + ", ids array<int>" * with_ids
+    return map_arrow(d, run, schema)

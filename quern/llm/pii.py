@@ -28,7 +28,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quern.llm.common import narrow
+from quern.llm.common import map_arrow, narrow
 from pyspark.sql import types as T
 
 ROUNDS = 10
@@ -79,9 +79,26 @@ def _card(s: str, key: bytes) -> str | None:
     return "".join(next(new) if c.isdigit() else c for c in s)
 
 
-def _ip(s: str, key: bytes) -> str:
-    n = int.from_bytes(bytes(map(int, s.split("."))), "big")
-    return ".".join(map(str, permute(n, 1 << 32, key, b"ip").to_bytes(4, "big")))
+#: The octets of one, two and three digits.
+_OCTETS = ((0, 10), (10, 90), (100, 156))
+
+
+def _ip(s: str, key: bytes) -> str | None:
+    """Each octet stays within those of as many digits; None if one is over 255 or has a leading zero."""
+    parts = s.split(".")
+    value, size = 0, 1
+    for p in parts:
+        low, n = _OCTETS[len(p) - 1]
+        if not low <= int(p) < low + n:
+            return None
+        value, size = value * n + int(p) - low, size * n
+    new = permute(value, size, key, b"ip" + bytes(map(len, parts)))
+    out = []
+    for p in reversed(parts):
+        low, n = _OCTETS[len(p) - 1]
+        new, i = divmod(new, n)
+        out.append(str(low + i))
+    return ".".join(reversed(out))
 
 
 #: The alphabets within which the characters of an address or a credential are permuted.
@@ -161,16 +178,12 @@ def _iban(s: str, key: bytes) -> str | None:
     return "".join(c if c == " " else next(new) for c in s)
 
 
-def _valid_ip(s: str) -> bool:
-    return all(int(x) < 256 for x in s.split("."))
-
-
 #: Kind, pattern, and what gives the pseudonym (None: no PII after all). Earlier kinds go first at the same place.
 KINDS: tuple[tuple[str, re.Pattern, Callable[[str, bytes], str | None]], ...] = (
     ("email", re.compile(r"[^\W_][\w.+%-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}"), _email),
     ("credential", re.compile(r"(?P<known>(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![0-9A-Za-z]))|(?<=[\"'])[^\s\"']{8,200}(?=[\"'])(?<!\s)"), _credential),
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"), _iban),
-    ("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"), lambda s, key: _ip(s, key) if _valid_ip(s) else None),
+    ("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"), _ip),
     ("date", re.compile(r"(?<![\d./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\d]|[./-]\d)"), _date),
     ("ssn", re.compile(r"(?<![\d-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])"), lambda s, key: _digits(s, key, b"ssn")),
     ("card", re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?!\d)"), _card),
@@ -230,7 +243,7 @@ def findings(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str
                 ["doc_id", "text", "n_pii", "kinds", "spans"],
             )
 
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, text string, n_pii long, kinds array<string>, spans array<struct<start:long,end:long>>")
+    return map_arrow(d, run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, text string, n_pii long, kinds array<string>, spans array<struct<start:long,end:long>>")
 
 
 def replace(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
@@ -243,4 +256,4 @@ def replace(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)], batch.schema.names)
 
     schema = T.StructType([T.StructField(text_col, T.StringType()) if i == at else f for i, f in enumerate(docs.schema.fields)])
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)

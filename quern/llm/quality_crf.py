@@ -231,7 +231,7 @@ def line_marginals(crf: Crf, text: str | None) -> list[float]:
 
 def score(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, score (0 to 1, higher: good likelier)."""
-    from quern.llm.common import narrow
+    from quern.llm.common import map_arrow, narrow
 
     d = narrow(docs, id_col, text_col)
     shared = d.sparkSession.sparkContext.broadcast(crf)  # a few hundred numbers
@@ -242,4 +242,4 @@ def score(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "te
                 part = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores(shared.value, part.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, score double")
+    return map_arrow(d, run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, score double")

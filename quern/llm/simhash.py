@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import narrow, persisted
+from quern.llm.common import map_arrow, narrow, persisted
 from quern.llm.graph import components
 
 THRESHOLD = 3
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, fp long")
+    return map_arrow(d, run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _halves(fp: np.ndarray) -> list[np.ndarray]:
@@ -185,9 +185,9 @@ def links(prints: DataFrame, fp: str = "fp") -> DataFrame:
             key, value = replicas(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(value.view(np.int64))], ["key", "fp"])
 
-    sent = distinct.mapInArrow(spread, "key long, fp long")
+    sent = map_arrow(distinct, spread, "key long, fp long")
     # keys are below 2^33, so their signed order is their unsigned order
-    return sent.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_compare, "a long, b long")
+    return map_arrow(sent.repartition(F.col("key")).sortWithinPartitions("key"), _compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
