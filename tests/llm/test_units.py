@@ -1,0 +1,311 @@
+"""The operators' parts against brute force, without Spark."""
+
+import hashlib
+import itertools
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from quern.llm import decontamination, html_extraction, language_id, license_scan, packing, pii, quality_crf, simhash, suffix_dedup
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+# 1, language
+
+
+def greedy_phrases(text, sample):
+    """Phrases of one block by definition: restart where the match so far plus the next letter does not occur."""
+    n, cur = 1, ""
+    for c in text:
+        if cur + c in sample:
+            cur += c
+        else:
+            n += 1
+            cur = c if c in sample else ""
+    return n
+
+
+def test_phrases_are_the_greedy_parse():
+    a, b = "the cat sat on the mat and the hat", "der hund und die katze auf der matte"
+    m = language_id.Model((("de", b), ("en", a)))
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("thecasdrun mz") for _ in range(rng.randint(1, 80))) for _ in range(50)] + [a, b, "zzz", "日本"]
+    symbols = [m.alphabet.symbols(t) for t in texts]
+    got = m.phrases(symbols)
+    strings = ["".join(map(chr, s)) for s in symbols]
+    for j, (_, sample) in enumerate((("de", b), ("en", a))):
+        s = "".join(map(chr, m.alphabet.symbols(sample)))
+        assert got[j].tolist() == [greedy_phrases(x, s) for x in strings]
+
+
+def test_language_of_texts():
+    m = language_id.Model((("de", "der hund und die katze auf der matte " * 20), ("en", "the cat sat on the mat and the hat " * 20)))
+    got = [x for x, _ in m.predict(["the mat and the cat", "die katze und der hund", None, "", "123 !", "THE HAT", "the cat " * 2000])]
+    assert got == ["en", "de", "und", "und", "und", "en", "en"]
+    assert language_id.Model(()).predict(["abc"]) == [("und", 0.0)]
+
+
+# 2, packing
+
+
+def test_ids_are_the_tokenizers():
+    e = packing.Encoder(TOKENIZER)
+    assert e.fast is not None
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(" \n\tab's1.,é日\xa0\x1c<|>") for _ in range(rng.randint(0, 15))) for _ in range(3000)] + ["<|endoftext|> x", None, "  "]
+    slow = packing.tokenizer(TOKENIZER)
+    for t in texts:
+        want = slow.encode(t or "", add_special_tokens=False).ids + [0]
+        assert e.encode(t).tolist() == want
+
+
+def test_long_texts_tokenise_in_parts(monkeypatch):
+    monkeypatch.setattr(packing, "_LONG", 50)
+    e = packing.Encoder(TOKENIZER)
+    t = "some words  and\n\n more of them, 12 3.5 it's fine " * 40
+    assert len(packing._parts(t)) > 10 and "".join(packing._parts(t)) == t
+    assert e.encode(t).tolist() == packing.tokenizer(TOKENIZER).encode(t, add_special_tokens=False).ids + [0]
+    assert packing._parts("x" * 500) == ["x" * 500]
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_pack_block(seed):
+    rng = random.Random(seed)
+    lengths = [rng.randint(1, 63) for _ in range(rng.randint(0, 200))]
+    pieces = packing.pack_block(lengths, 64, 1.0, 0.01)
+    for d, n in enumerate(lengths):
+        own = sorted((s, m) for i, s, m, _, _ in pieces if i == d)
+        assert [s for s, _ in own] == [0, *itertools.accumulate(m for _, m in own)][: len(own)] and sum(m for _, m in own) == n
+    by = {}
+    for _, _, m, s, o in pieces:
+        by.setdefault(s, []).append((o, m))
+    for own in by.values():
+        own.sort()
+        assert [o for o, _ in own] == [0, *itertools.accumulate(m for _, m in own)][:-1]
+        size = sum(m for _, m in own)
+        assert size <= 64 and size & (size - 1) == 0  # nothing is padded
+
+
+# 3, suffixes
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_loser_tree(seed):
+    rng = random.Random(seed)
+    runs = [sorted({bytes(rng.choice(b"ab") for _ in range(6)) for _ in range(rng.randint(0, 20))}) for _ in range(rng.randint(1, 9))]
+    width = 6
+    coded = [suffix_dedup.front_code(np.frombuffer(b"".join(r), np.uint8).reshape(-1, width)) for r in runs]
+    decoded = [suffix_dedup.front_decode(c, width) for c in coded]
+    assert [[x.tobytes() for x in rows] for rows, _ in decoded] == runs
+    out = list(suffix_dedup.LoserTree(runs, [lcp.tolist() for _, lcp in decoded]))
+    at = [0] * len(runs)
+    merged = []
+    for r, _ in out:
+        merged.append((runs[r][at[r]], r))
+        at[r] += 1
+    assert merged == sorted((x, r) for r, xs in enumerate(runs) for x in xs)
+    for (a, _), (b, _), (_, known) in zip(merged, merged[1:], out[1:], strict=False):
+        assert known == next((i for i in range(width) if a[i] != b[i]), width)
+
+
+def test_equal_strings_have_equal_anchors():
+    rng = np.random.default_rng(1)
+    docs = [bytes(rng.integers(97, 100, 300, dtype=np.uint8)) for _ in range(4)]
+    docs[2] = docs[0][50:200] + docs[1][:100]
+    b = np.frombuffer(b"".join(docs), np.uint8)
+    ends = np.cumsum([len(d) for d in docs])
+    room = np.concatenate([np.arange(len(d), 0, -1) for d in docs])
+    place, first, last, _ = suffix_dedup.anchors(b, room, 50, 16)
+    seen, n = {}, 0
+    for p, f, z in zip(place, first, last, strict=True):
+        for s in range(f, z + 1):
+            n += 1
+            key = b[s : s + 50].tobytes()
+            assert s <= p <= s + 34 and seen.setdefault(key, p - s) == p - s
+    assert n == sum(len(d) - 49 for d in docs) and ends[-1] == len(b)
+
+
+# 5, benchmark
+
+
+def test_scan_and_offsets():
+    a = decontamination.automaton([("1", "Alpha beta, gamma"), ("2", "Delta"), ("3", None), ("4", "...")], 2)
+    t = "x ALPHA-beta gamma! Ünit delta alphabeta"
+    runs, items = decontamination.scan(a, decontamination.normal(t))
+    assert runs == [(1, 3), (5, 5)] and items == {"1", "2"}
+    spans = decontamination.word_spans(t)
+    assert [t[spans[x][0] : spans[y][1]] for x, y in runs] == ["ALPHA-beta gamma", "delta"]
+    assert decontamination.automaton([], 13) is None and decontamination.scan(None, [b"a"]) == ([], set())
+
+
+# 6, fingerprints
+
+
+def test_fingerprint():
+    import xxhash
+
+    t = "A b c  d\tA b c"
+    ws = t.lower().split()
+    h = [xxhash.xxh64_intdigest(" ".join(ws[i : i + 3]).encode(), 42) for i in range(len(ws) - 2)]
+    want = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    assert simhash.fingerprint(t) == want
+    assert simhash.fingerprint("x y") == xxhash.xxh64_intdigest(b"x y", 42)
+    assert simhash.fingerprint(None) == simhash.fingerprint(" \n") == 0
+
+
+def test_linked_fingerprints_meet_at_a_home():
+    rng = np.random.default_rng(5)
+    fp = rng.integers(0, 1 << 63, 2000, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 2000).astype(np.uint64)
+    other = fp.copy()
+    for i in range(len(fp)):
+        for bit in rng.choice(64, rng.integers(0, 4), replace=False):
+            other[i] ^= np.uint64(1 << int(bit))
+    for x, y in zip(fp[:500], other[:500], strict=True):
+        keys, _ = simhash.replicas(np.array([y], np.uint64))
+        assert len(keys) <= 34
+        home = {int(simhash.homes(np.array([x], np.uint64), s)[0]) for s in (0, 1)}
+        assert home & set(keys.tolist())
+
+
+@pytest.mark.parametrize("large", [2, 2048])
+def test_group_links_connect_all(large):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 62, 12, dtype=np.uint64)
+    fp = np.unique(np.concatenate([base ^ np.uint64(1 << int(b)) for b in rng.choice(64, 6)] + [base]))
+    out = []
+    simhash.group_links(fp, 0, out, large)
+
+    def parts(edges):
+        root = {int(x): int(x) for x in fp}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return {x: find(x) for x in root}
+
+    every = [(int(a), int(b)) for a in fp for b in fp if a < b and int(a ^ b).bit_count() <= 3]
+    assert parts(out) == parts(every) and all((a ^ b).bit_count() <= 3 for a, b in out)
+
+
+# 7, pseudonyms
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 97, 1000, 4096])
+def test_permutation(size):
+    assert sorted(pii.permute(i, size, b"k", b"t") for i in range(size)) == list(range(size))
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("4111 1111 1111 1111", "card"), ("4111111111111111", "card"), ("2024-02-29", "date"), ("31/12/1999", "date"), ("GB82 WEST 1234 5698 7654 32", "iban"), ("078-05-1120", "ssn"),
+        ("10.0.0.1", "ip"), ("a.b@mail.example.com", "email"), ("réeux.72@mail3.example.com", "email"), ("+1 (017) 555-7713", "phone"), ("(555) 123-4567", "phone"), ("0123456789abcdef" * 2 + "01234567", "credential"),
+    ],
+)
+def test_formats(text, kind):
+    key = b"key"
+    out, found = pii.pseudonymise(f"see {text} there, {text}", key)
+    assert [k for _, _, k in found] == [kind, kind]
+    a, b = out[4 : 4 + len(text)], out[-len(text) :]
+    assert a == b != text and pii.pseudonymise(a, key)[1][0][2] == kind  # linked, and valid again
+    if kind != "credential":
+        assert [c.isdigit() for c in a] == [c.isdigit() for c in text]
+    assert pii.pseudonymise(text, b"other")[0] != a
+
+
+@pytest.mark.parametrize("text", ["4111111111111112", "2023-02-29", "13.13.2000", "999.1.1.1", "GB83 WEST 1234 5698 7654 32", "plain text", "", None, "1.2.3", "version 10.2"])
+def test_what_fails_validation_stays(text):
+    assert pii.pseudonymise(text, b"k") == (text, [])
+
+
+# 8, licenses
+
+
+def test_license_rules():
+    assert len(license_scan.build_rules()) > 300
+    got = license_scan.scan("Released under the MIT License. Or the GNU General Public License, version 3 or later; GNU Lesser General Public License 2.1")
+    assert got[:4] == (22, 3, 3, 17) and got[4] == ["gpl", "mit"]
+    assert {"gpl-3-or-later", "lgpl-2.1", "mit", "gpl"} <= set(got[5]) and "gpl-3" not in got[5]
+    assert license_scan.scan(None) == license_scan.scan(" .. ") == (0, 0, None, None, [], [], 0.0, [])
+    assert license_scan.scan("submit license permit licensed mit") [1] == 0
+    assert "cc-by-nc-4.0" in license_scan.scan("Licensed under CC BY-NC 4.0.")[5]
+
+
+def test_containment():
+    kept = license_scan.detections("licensed under the apache license version 2 0 now")
+    spans = [(a, b) for a, b, _ in kept]
+    assert len(kept) == 1 and not any(x != y and y[0] <= x[0] and x[1] <= y[1] for x in spans for y in spans)
+
+
+# 9, pages
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (None, ""), ("", ""), ("<p>a", "a"), ("no tags", "no tags"), ("<ul><li>a<li>b</ul>", "a b"), ("<p>foo<b>bar</b>&nbsp;baz &amp; &#233;", "foobar baz & é"), ("<!-- open <p>x", ""),
+        ('<p>x<script>var a="</p>"</script>y</p>', "xy"), ("<div><p>A, b, c, d, e, f and more text here.</p><div class='comments'><p>I, too, like, this, a lot, really.</p></div></div>", "A, b, c, d, e, f and more text here."),
+        ("<body><header>Site</header><main><header><h1>T</h1></header><p>Body text, quite long enough to count.</p></main><footer>f</footer></body>", "T Body text, quite long enough to count."),
+        ("<nav><a href=x>Menu</a></nav><article><h1>H</h1><p>Short.</p></article><div class=ad>Buy, now, please, it is, so, good.</div>", "H Short."),
+    ],
+)
+def test_pages(page, text):
+    assert html_extraction.extract(page) == text
+
+
+# 10, lines
+
+
+def test_marginals_by_enumeration():
+    rng = np.random.default_rng(2)
+    sizes = np.array([1, 4, 2])
+    e, tr = rng.normal(size=7), rng.normal(size=(2, 2))
+    good, logz, _ = quality_crf.forward_backward(e, sizes, tr)
+    at = 0
+    for i, n in enumerate(sizes):
+        own = e[at : at + n]
+        paths = list(itertools.product((0, 1), repeat=int(n)))
+        w = [np.exp(sum(own[k] * y for k, y in enumerate(p)) + sum(tr[a, b] for a, b in zip(p, p[1:], strict=False))) for p in paths]
+        assert logz[i] == pytest.approx(np.log(sum(w)))
+        for k in range(n):
+            assert good[at + k] == pytest.approx(sum(x for x, p in zip(w, paths, strict=True) if p[k]) / sum(w))
+        at += n
+
+
+def test_gradient():
+    rng = np.random.default_rng(4)
+    sizes, y = np.array([3, 2]), np.array([1, 1, 1, 0, 0])
+    e, tr = rng.normal(size=5), rng.normal(size=(2, 2))
+
+    def loss(e, tr):
+        _, logz, _ = quality_crf.forward_backward(e, sizes, tr)
+        score = (e * y).sum() + 2 * tr[1, 1] + tr[0, 0]
+        return logz.sum() - score
+
+    good, _, pairs = quality_crf.forward_backward(e, sizes, tr)
+    for k in range(5):
+        d = np.zeros(5)
+        d[k] = 1e-5
+        assert (loss(e + d, tr) - loss(e - d, tr)) / 2e-5 == pytest.approx((good - y)[k], abs=1e-6)
+    d = np.zeros((2, 2))
+    d[0, 1] = 1e-5
+    assert (loss(e, tr + d) - loss(e, tr - d)) / 2e-5 == pytest.approx(pairs[:, 1].sum(), abs=1e-6)
+
+
+def test_crf_learns():
+    good = ["The cat sat on the mat, and it was good.\nThen it left."] * 20
+    bad = ["foo### bar$$$ baz%%% ###\n### | | | $$$"] * 20
+    x = [quality_crf.with_neighbours(quality_crf.line_features(t)[0]) for t in good + bad]
+    crf = quality_crf.fit(x, [1] * 20 + [0] * 20, rounds=100)
+    s = quality_crf.scores(crf, [good[0], bad[0], "", None])
+    assert s[0] > 0.9 and s[1] < 0.1 and s[2] == s[3] == crf.empty_score
+    assert quality_crf.scores(quality_crf.fit([], []), ["a b"]).tolist() == [0.5]
+    assert zlib.crc32(b"") == 0 and hashlib.sha256(b"").hexdigest().startswith("e3b0")
