@@ -160,15 +160,15 @@ def spans(found: DataFrame) -> DataFrame:
 
     import pandas as pd  # not in every worker
 
-    @F.pandas_udf("array<struct<start:long,end:long>>")
-    def to_spans(text: pd.Series, runs: pd.Series) -> pd.Series:
+    def to_spans(text, runs):
         out = []
         for t, r in zip(text, runs, strict=True):
             at = word_spans(t) if t and len(r) else []
             out.append([{"start": at[x["first"]][0], "end": at[x["last"]][1]} for x in r])
         return pd.Series(out)
 
-    return found.withColumn("spans", to_spans("text", "hits"))
+    udf = F.pandas_udf(to_spans, "array<struct<start:long,end:long>>", F.PandasUDFType.SCALAR)
+    return found.withColumn("spans", udf("text", "hits"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_pattern_bytes: int = 64 << 20) -> DataFrame:

@@ -41,12 +41,12 @@ class Rule:
 
 #: The threshold table. Ratios are per word, per line or per character.
 RULES = (
-    Rule("mean_word_length", "word_chars / n_words", 2.0, 15.0),
-    Rule("symbols_per_word", "n_symbols / n_words", None, 0.2),
-    Rule("duplicate_lines", "n_dup_lines / n_lines", None, 0.5),
-    Rule("stop_words", "n_stop_words / n_words", 0.03, None),
-    Rule("upper_case", "n_upper / word_chars", None, 0.5),
-    Rule("ellipsis_lines", "n_ellipsis_lines / n_lines", None, 0.5),
+    Rule("mean_word_length", "try_divide(word_chars, n_words)", 2.0, 15.0),
+    Rule("symbols_per_word", "try_divide(n_symbols, n_words)", None, 0.2),
+    Rule("duplicate_lines", "try_divide(n_dup_lines, n_lines)", None, 0.5),
+    Rule("stop_words", "try_divide(n_stop_words, n_words)", 0.03, None),
+    Rule("upper_case", "try_divide(n_upper, word_chars)", None, 0.5),
+    Rule("ellipsis_lines", "try_divide(n_ellipsis_lines, n_lines)", None, 0.5),
 )
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
