@@ -31,15 +31,18 @@ def fold(text: Column, rules: Rules, flags: str = "U") -> Column:
     return out
 
 
+#: White space but for the plain space, spelled out: the same characters as the Unicode class, several times faster.
+_SPACES = r"\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def squeeze(text: Column) -> Column:
-    """Runs of white space as one space, none at the ends."""
-    return F.trim(fold(text, [(r"\s+", " ")]))
+    """Runs of white space as one space, none at the ends. Single spaces, which most are, match nothing."""
+    return F.trim(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), f"[ {_SPACES}]{{2,}}|[{_SPACES}]", " "))
 
 
 def words(text: Column) -> Column:
     """The words between white space; none for an empty text."""
-    t = squeeze(text)
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    return let(squeeze(text), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " ")))
 
 
 def word_count(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import words
+from quern.functions.text import let, words
 
 
 def shares(df: DataFrame, column: str) -> DataFrame:
@@ -56,24 +56,25 @@ def rare_token_ratio(df: DataFrame, key: str, text: str, rare: int = 2) -> DataF
     return df.select(key).distinct().join(hits, F.col(key) == F.col("__k"), "left").select(key, F.coalesce("ratio", F.lit(0.0)).alias("rare_token_ratio"))
 
 
-def _gram_hashes(n: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, n), "\u0001")))
+def _repeat_rate(w: Column, n: int) -> Column:
+    """The share of distinct n-grams of an array that it has more than once; null if it is too short."""
+    grams = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), "\u0001")))
+
+    def rate(g: Column) -> Column:
+        # in order, a repeated n-gram's second place equals the one before, and not the one before that
+        again = F.filter(F.sequence(F.lit(2), F.greatest(F.size(g), F.lit(2))), lambda i: (F.get(g, i - 1) == F.get(g, i - 2)) & ((i == 2) | (F.get(g, i - 3) != F.get(g, i - 2))))
+        return F.size(again) / F.size(F.array_distinct(g))
+
+    return F.when(F.size(w) >= n, let(F.sort_array(grams), rate))
 
 
 def ngram_repeats(df: DataFrame, text: str, sizes: tuple[int, ...] = (2, 3, 4, 5, 6, 8)) -> DataFrame:
     """For each n: mean, median and greatest share of a text's distinct n-grams that it has more than once, and texts with any.
 
-    Within the row: distinct n-grams and those left when each is taken out
-    once; nothing but one number a text and n leaves it.
+    All sizes in one pass, within the row; one number a text and n leaves it.
     """
-    d = df.select(words(F.col(text)).alias("w"))
-    rows = None
-    for n in sizes:
-        g = d.where(F.size("w") >= n).select(F.sort_array(_gram_hashes(n)).alias("g"))
-        # in order, a repeated n-gram's second place equals the one before, and not the one before that
-        again = F.size(F.filter(F.sequence(F.lit(2), F.greatest(F.size("g"), F.lit(2))), lambda i: (F.get("g", i - 1) == F.get("g", i - 2)) & ((i == 2) | (F.get("g", i - 3) != F.get("g", i - 2)))))
-        one = g.select(F.lit(n).alias("n"), (again / F.size(F.array_distinct("g"))).alias("rate"))
-        rows = one if rows is None else rows.unionByName(one)
+    rates = let(words(F.col(text)), lambda w: F.array(*[F.struct(F.lit(n).alias("n"), _repeat_rate(w, n).alias("rate")) for n in sizes]))
+    rows = df.select(F.explode(rates).alias("x")).select("x.*").where("rate IS NOT NULL")
     return rows.groupBy("n").agg(F.avg("rate").alias("mean"), F.median("rate").alias("median"), F.max("rate").alias("high"), F.count_if(F.col("rate") > 0).alias("texts_with_repeat"))
 
 

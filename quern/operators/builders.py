@@ -22,14 +22,19 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, keys: list[str], te
 def shifted_negatives(df: DataFrame, order: str, text: str, buckets: int = 64) -> DataFrame:
     """Adds `rejected`: another row's text. Rows go round in a circle within buckets of the order's hash, so no window holds them all.
 
-    A row of a bucket of its own gets none (null).
+    A text equal to the row's own gives way to the one after it. A row of a
+    bucket of its own, or among equals, gets none (null).
     """
     b = F.pmod(F.xxhash64(order), F.lit(buckets))
     w = Window.partitionBy("__b").orderBy(order)
     d = df.withColumn("__b", b)
-    first = d.groupBy("__b").agg(F.min_by(text, order).alias("__first"), F.count(F.lit(1)).alias("__n")).withColumnRenamed("__b", "__c")
-    d = d.withColumn("__next", F.lead(text).over(w)).join(first, F.col("__b") == F.col("__c"))
-    return d.withColumn("rejected", F.when(F.col("__n") > 1, F.coalesce("__next", "__first"))).drop("__b", "__c", "__next", "__first", "__n")
+    # the first two of a bucket follow its last
+    heads = d.withColumn("__i", F.row_number().over(w)).where("__i <= 2").groupBy("__b").agg(F.max(F.when(F.col("__i") == 1, F.col(text))).alias("__h1"), F.max(F.when(F.col("__i") == 2, F.col(text))).alias("__h2")).withColumnRenamed("__b", "__c")
+    d = d.withColumns({"__n1": F.lead(text, 1).over(w), "__n2": F.lead(text, 2).over(w)}).join(heads, F.col("__b") == F.col("__c"))
+    one = F.coalesce("__n1", "__h1")
+    two = F.when(F.col("__n1").isNull(), F.col("__h2")).otherwise(F.coalesce("__n2", "__h1"))
+    other = F.when(one != F.col(text), one).when(two != F.col(text), two)
+    return d.withColumn("rejected", other).drop("__b", "__c", "__n1", "__n2", "__h1", "__h2")
 
 
 def messages(system: str, user: Column, assistant: Column) -> Column:
@@ -88,3 +93,61 @@ def weight_pairs(spark, rows: int, seed: int = 42) -> DataFrame:
     total = sixths(F.col("mina"), F.col("part")) * 60 + F.col("shekel") * 6
     source = F.concat(quantity(sixths(F.col("mina"), F.col("part"))), F.lit(" ma-na "), F.col("shekel").cast("string"), F.lit(" GÍN KÙ.BABBAR"))
     return d.select("id", source.alias("source_text"), F.concat(quantity(total), F.when(total == 6, " shekel").otherwise(" shekels"), F.lit(" of silver")).alias("target_text"))
+
+
+#: Spellings of the months and their numbers, in the calendar's order.
+MONTHS = (
+    ("bé-el-tí-é.gal-lim", 1), ("be-el-té-é.gal-lim", 1),
+    ("ša sá-ra-tim", 2),
+    ("ke-na-tim", 3),
+    ("ma-hu-ur-dingir", 4), ("ma-ḫu-ur-i-lí", 4),
+    ("áb-ša-ra-ni", 5), ("áb ša-ra-ni", 5), ("áb-ša-ra-nu", 5),
+    ("hu-bu-ur", 6),
+    ("ṣí-ip-im", 7),
+    ("qá-ra-a-tí", 8), ("qá-ra-a-tim", 8),
+    ("kán-wa-ar-ta", 9), ("kán-wa-ar-ta-an", 9), ("kán-wár-ta", 9), ("kán-mar-ta", 9), ("kán-bar-ta", 9), ("kà-an-ma-ar-ta", 9),
+    ("té-i-na-tim", 10),
+    ("ku-zal-li", 11), ("ku-zal-lu", 11),
+    ("a-lá-na-tum", 12), ("a-lá-na-tim", 12),
+)
+
+
+def _months() -> Column:
+    return F.array(*[F.struct(F.lit(m).alias("name"), F.lit(n).alias("n")) for m, n in MONTHS])
+
+
+def month_pairs(spark, rows: int, seed: int = 42) -> DataFrame:
+    """Synthetic pairs of a month's formula and its number."""
+    i = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(len(MONTHS))).cast("int")
+    d = spark.range(rows).withColumn("m", F.element_at(_months(), i + 1))
+    return d.select("id", F.concat(F.lit("ITU.KAM "), "m.name").alias("source_text"), F.concat(F.lit("Month "), "m.n").alias("target_text"))
+
+
+def month_hints(text: Column) -> Column:
+    """The text, and after it the number of each month it names, unless it has such a note."""
+    found = F.transform(F.filter(_months(), lambda x: F.lower(text).contains(x["name"])), lambda x: F.concat(x["name"], F.lit("=month "), x["n"].cast("string")))
+    return F.when((F.size(found) > 0) & ~text.contains("## MONTH:"), F.concat(text, F.lit(" ## MONTH: "), F.array_join(found, "; "))).otherwise(text)
+
+
+def vocabulary_pairs(words: DataFrame, word: str, gloss: str, frames: list[tuple[str, str]], each: int = 2, seed: int = 42) -> DataFrame:
+    """Each word in `each` of the frames, pairs of texts with {} for the word and its gloss; chosen by a hash of the word."""
+    table = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(t).alias("t"), F.lit(i).alias("i")) for i, (s, t) in enumerate(frames)])
+    order = F.array_sort(F.transform(table, lambda f: F.struct(F.xxhash64(F.lit(seed), F.col(word), f["i"]).alias("h"), f["s"].alias("s"), f["t"].alias("t"))))
+    d = words.select(word, gloss, F.explode(F.slice(order, 1, each)).alias("f"))
+    return d.select(word, F.replace("f.s", F.lit("{}"), F.col(word)).alias("source_text"), F.replace("f.t", F.lit("{}"), F.col(gloss)).alias("target_text"))
+
+
+def scored_candidates(df: DataFrame, candidates: str, reference: str, least: int = 2, bleu: float = 0.5) -> DataFrame:
+    """Candidates, trimmed and distinct, with the reference among them, and a mixed score of each; rows with fewer than `least` go."""
+    import pandas as pd
+
+    from quern.functions.metrics import sentence_bleu, sentence_chrf
+
+    def run(arrays, references):
+        return pd.Series([[bleu * sentence_bleu(c, r or "") + (1 - bleu) * sentence_chrf(c, r or "") for c in a] for a, r in zip(arrays, references, strict=True)])
+
+    udf = F.pandas_udf(run, "array<double>", F.PandasUDFType.SCALAR)
+    trimmed = F.filter(F.transform(candidates, lambda x: F.trim(x)), lambda x: x != "")
+    d = df.withColumn(candidates, F.array_distinct(F.concat(trimmed, F.array(F.trim(reference)))))
+    d = d.where((F.size(candidates) >= least) & (F.trim(reference) != ""))
+    return d.withColumn("scores", udf(candidates, reference))

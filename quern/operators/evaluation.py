@@ -69,3 +69,16 @@ def rates(df: DataFrame, prediction: str, reference: str, source: str, *groups:
 
 def worst(df: DataFrame, score: str, order: str, n: int = 10) -> DataFrame:
     return df.orderBy(score, order).limit(n)
+
+
+def missed_entities(df: DataFrame, key: str, prediction: str, reference: str) -> DataFrame:
+    """(entity, n, example): names of references that their predictions lack, whatever the case."""
+    lower = lambda xs: F.array_distinct(F.transform(xs, lambda x: F.lower(x)))
+    d = df.select(key, F.explode(F.array_except(lower(entities(F.col(reference))), lower(entities(F.col(prediction))))).alias("entity"))
+    return d.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("example"))
+
+
+def batch_fill(batches: DataFrame, batch: str, source_len: str, target_len: str) -> DataFrame:
+    """How full batches are: their number, mean rows, and mean share of padded places that hold tokens."""
+    g = batches.groupBy(batch).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col(source_len) + F.col(target_len)).alias("used"), (F.max(source_len) + F.max(target_len)).alias("widest"))
+    return g.agg(F.count(F.lit(1)).alias("batches"), F.avg("rows").alias("mean_rows"), F.avg(F.col("used") / F.greatest(F.col("rows") * F.col("widest"), F.lit(1))).alias("fill"))

@@ -76,7 +76,7 @@ SELECT doc_id, source, clean, CAST(n AS BIGINT) AS n_words FROM r WHERE i = 1"""
 def clean_corpus(spark, sf_dir):
     """Flagship: normalise white space, reject short texts with a reason, keep the first of equal texts."""
     d = docs(spark, sf_dir, "doc_id", "source", "text").select("doc_id", "source", text.squeeze(F.col("text")).alias("clean"))
-    n = text.word_count(F.col("clean"))
+    n = F.when(F.col("clean") == "", 0).otherwise(F.size(F.split("clean", " ")))
     d = filters.with_reason(d.withColumn("n_words", n.cast("long")), F.when(F.length("clean") < 10, "short").when(F.col("n_words") < 3, "few_words"))
     return dedup.keep_first(filters.kept(d), ["clean"], ["doc_id"])
 
