@@ -9,8 +9,12 @@ from quern.llm.common import persisted
 
 
 def _with_least(sym: DataFrame) -> DataFrame:
-    """(u, v, m): each directed edge with the least of u and its neighbours; partial sums first, then a join that AQE can split."""
-    least = sym.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m"))
+    """(u, v, m): each directed edge with the least of u and its neighbours.
+
+    The minima are partial sums first; written, so that the join meets
+    exchanges on both sides and a node of many neighbours can be split.
+    """
+    least = persisted(sym.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m")))
     return sym.join(least, sym.u == least.c).select("u", "v", "m")
 
 

@@ -195,8 +195,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = persisted(fingerprints(docs, id_col, text_col, width))
     nodes = persisted(components(links(prints)))
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    of_fp = least.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"), "least")
-    of_component = of_fp.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_fp = persisted(least.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"), "least"))
+    # written, so that the join meets exchanges on both sides and a large component can be split
+    of_component = persisted(of_fp.groupBy("component").agg(F.min("least").alias("component_id")))
     ids = of_fp.join(of_component, "component").select(F.col("fp").alias("k"), "component_id")
     return prints.join(ids, F.col("fp") == F.col("k")).select("doc_id", "fp", "component_id")
 
