@@ -28,8 +28,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of very few files has as few scan tasks, whatever the cores; work on its texts is dealt out first. Others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 4 * len(df.inputFiles()) <= min(cores, 32) else df
+
+
 def docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text", "lang", "source")))
+    return spread(table(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text", "lang", "source"))))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
