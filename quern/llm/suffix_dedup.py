@@ -344,7 +344,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     # copies of a whole text in a document of a smaller id
     narrow_rows = t.where("doc_id IS NOT NULL").select("block", "row", "doc_id", "digest")
-    least = narrow_rows.groupBy("digest").agg(F.min("doc_id").alias("least")).withColumnRenamed("digest", "same")
+    # written, so that the join meets exchanges on both sides and a digest of many copies can be split
+    least = persisted(narrow_rows.groupBy("digest").agg(F.min("doc_id").alias("least")).withColumnRenamed("digest", "same"))
     copies = narrow_rows.join(least, F.col("digest") == F.col("same")).where("doc_id > least")
     copies = copies.select("block", F.lit(COPY).alias("kind"), F.col("row").alias("part"), F.lit(None).cast("binary").alias("data"))
 
