@@ -10,11 +10,11 @@ from quern.streaming import append
 
 
 def test_csv(spark, tmp_path):
-    (tmp_path / "a.csv").write_text('oare_id,transliteration,x\n1,"a ""b""\nc",\n2,,z\n')
-    d = tables.csv_strings(spark, str(tmp_path / "a.csv"), ["oare_id", "transliteration", "x"])
-    assert [tuple(r) for r in d.orderBy("oare_id").collect()] == [("1", 'a "b"\nc', ""), ("2", "", "z")]
+    (tmp_path / "a.csv").write_text('row_id,source,x\n1,"a ""b""\nc",\n2,,z\n')
+    d = tables.csv_strings(spark, str(tmp_path / "a.csv"), ["row_id", "source", "x"])
+    assert [tuple(r) for r in d.orderBy("row_id").collect()] == [("1", 'a "b"\nc', ""), ("2", "", "z")]
     with pytest.raises(ValueError, match="lacks columns: nope"):
-        tables.csv_strings(spark, str(tmp_path / "a.csv"), ["oare_id"], needed=["nope"])
+        tables.csv_strings(spark, str(tmp_path / "a.csv"), ["row_id"], needed=["nope"])
 
 
 def test_pairs_of(spark, tmp_path):
