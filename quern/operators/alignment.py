@@ -156,3 +156,41 @@ def keep_records(df: DataFrame, key: str) -> DataFrame:
 
 def english_in_source(text: Column, stop: tuple[str, ...] = ("the", "of", "and", "to", "from", "with", "for", "that")) -> Column:
     return F.arrays_overlap(F.split(F.lower(text), r"\s+"), F.array(*map(F.lit, stop)))
+
+
+def best_window(part: str, source: list[str], start: int = 0) -> tuple[int, int]:
+    """The [start, stop) of the source's words most like a part, from `start` on: the place of its best match by shared words in order."""
+    want = part.split()
+    if not want or start >= len(source):
+        return start, start
+    m = difflib.SequenceMatcher(None, source[start:], want, autojunk=False)
+    blocks = [b for b in m.get_matching_blocks() if b.size]
+    if not blocks:
+        return start, min(start + len(want), len(source))
+    first, last = blocks[0], blocks[-1]
+    lo = max(0, first.a - first.b)
+    hi = last.a + last.size + len(want) - last.b - last.size
+    return start + lo, min(start + hi, len(source))
+
+
+def resliced(pairs: list[dict], source: str) -> list[dict]:
+    """Pairs whose source side is cut from the source itself, one after the other, so that nothing in it is made up."""
+    ws, at, out = source.split(), 0, []
+    for i, p in enumerate(pairs):
+        lo, hi = best_window(p["source"], ws, at)
+        if i == len(pairs) - 1:
+            hi = len(ws)
+        out.append({"source": " ".join(ws[at if i else 0 : hi]), "target": p["target"]})
+        at = max(hi, lo)
+    return out
+
+
+def suspicious_forms(text: Column, letters: str = "a-zšṣṭḫāēīūâêîûáàéèíìúù") -> Column:
+    """Words of a source text, in order, with letters that such texts do not have."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w.rlike(rf"[^{letters}0-9.\-{{}}<>½⅓⅔¼¾⅚⅙]"))
+    return F.array_sort(F.array_distinct(words))
+
+
+def reject_records(df: DataFrame, key: str) -> DataFrame:
+    """One row for each alignment that was not kept: key, reason, and the proposed pairs as JSON."""
+    return df.where(~F.col("keep")).select(key, "reason", F.to_json("pairs").alias("proposed"))

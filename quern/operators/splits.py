@@ -143,3 +143,25 @@ def exact_by_source(df: DataFrame, key: str, source: str, share: float, noisy_sh
             last = df.where(noisy if side else ~noisy).select(d.alias("d"), F.col(key).alias("k")).orderBy("d", "k").limit(m).agg(F.max(F.struct("d", "k")).alias("x")).first()["x"]
             chosen = chosen | ((noisy if side else ~noisy) & ((d < last["d"]) | ((d == last["d"]) & (F.col(key) <= last["k"]))))
     return df.withColumn("split", F.when(chosen, "eval").otherwise("train"))
+
+
+def exact_group_holdout(df: DataFrame, group: str, want: int, seed: int = 42, max_groups: int = 200_000) -> DataFrame:
+    """Adds `split`: whole groups, in hash order while they fit, make up as near to `want` eval rows as they can without passing it.
+
+    One row a group is looked at on the driver, up to `max_groups`; more
+    groups are split by their hash, which comes near enough with so many.
+    """
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
+    if (n := sizes.count()) > max_groups:
+        return hash_split(df, group, want / max(df.count(), 1), seed)
+    left, taken = want, []
+    for r in sizes.withColumn("h", draw(seed, F.col(group))).orderBy("h", group).limit(n).collect():
+        if r["n"] <= left:
+            taken.append(r[group])
+            left -= r["n"]
+    spark = df.sparkSession
+    if not taken:
+        return df.withColumn("split", F.lit("train"))
+    chosen = spark.createDataFrame([(g,) for g in taken], f"`__g` {df.schema[group].dataType.simpleString()}").withColumn("__e", F.lit(True))
+    d = df.join(chosen, F.col(group).eqNullSafe(F.col("__g")), "left")
+    return d.withColumn("split", F.when(F.col("__e"), "eval").otherwise("train")).drop("__g", "__e")

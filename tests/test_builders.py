@@ -45,3 +45,23 @@ def test_missed(spark):
     assert got == {"assur": (2, 1), "puzur": (1, 1)}
     b = spark.createDataFrame([(0, 4, 4), (0, 2, 2), (1, 5, 5)], "b int, s int, t int")
     assert tuple(evaluation.batch_fill(b, "b", "s", "t").first()) == (2, 1.5, 0.875)
+
+
+def test_exact_groups(spark):
+    d = spark.createDataFrame([(i, f"g{i % 9}") for i in range(90)], "id long, g string")
+    got = splits.exact_group_holdout(d, "g", 25)
+    assert got.where("split = 'eval'").count() == 20 and got.groupBy("g").agg(F.count_distinct("split").alias("n")).where("n > 1").count() == 0
+    assert splits.exact_group_holdout(d, "g", 5).where("split = 'eval'").count() == 0
+
+
+def test_reslice(spark):
+    from quern.operators import alignment
+
+    source = "a b c d e f g"
+    got = alignment.resliced([{"source": "a b x", "target": "1"}, {"source": "d e", "target": "2"}, {"source": "f", "target": "3"}], source)
+    assert " ".join(p["source"] for p in got) == source and got[0]["source"].startswith("a b") and got[2]["source"].endswith("g")
+    d = spark.createDataFrame([("a-na bé? xyz$",), (None,)], "t string").select(alignment.suspicious_forms(F.col("t")).alias("s"))
+    assert [r["s"] for r in d.collect()] == [["bé?", "xyz$"], []]
+    v = spark.createDataFrame([(1, True, "", []), (2, False, "why", [("a", "b")])], "id int, keep boolean, reason string, pairs array<struct<source:string,target:string>>")
+    r = alignment.reject_records(v, "id").collect()
+    assert [(x["id"], x["reason"], x["proposed"]) for x in r] == [(2, "why", '[{"source":"a","target":"b"}]')]
