@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import map_arrow, narrow, persisted
@@ -57,16 +57,24 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def _digest(text: Column) -> Column:
+    """What tells rows that share an id apart; empty for a null text."""
+    return F.coalesce(F.unhex(F.md5(text.cast("string"))), F.lit(b""))
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, with_digest: bool = False) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint as a signed long; with_digest adds the text's digest."""
     d = narrow(docs, id_col, text_col)
+    if with_digest:
+        d = d.withColumn("digest", _digest(F.col("text")))
+    names = ["doc_id", "fp", *d.columns[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), *batch.columns[2:]], names)
 
-    return map_arrow(d, run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, fp long")
+    return map_arrow(d, run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, fp long" + ", digest binary" * with_digest)
 
 
 def _halves(fp: np.ndarray) -> list[np.ndarray]:
@@ -190,25 +198,38 @@ def links(prints: DataFrame, fp: str = "fp") -> DataFrame:
     return map_arrow(sent.repartition(F.col("key")).sortWithinPartitions("key"), _compare, "a long, b long")
 
 
+def _firsts(prints: DataFrame, least: Column) -> DataFrame:
+    """(k, first): of each distinct fingerprint k, the smallest `least` (an aggregate that takes a minimum) of its component."""
+    nodes = persisted(components(links(prints)))
+    of_print = prints.groupBy("fp").agg(least.alias("least"))
+    of_fp = persisted(of_print.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"), "least"))
+    # written, so that the join meets exchanges on both sides and a large component can be split
+    of_component = persisted(of_fp.groupBy("component").agg(F.min("least").alias("first")))
+    return of_fp.join(of_component, "component").select(F.col("fp").alias("k"), "first")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """Per document: doc_id, fp (signed long), component_id (the smallest doc_id linked to it, directly or not)."""
     prints = persisted(fingerprints(docs, id_col, text_col, width))
-    nodes = persisted(components(links(prints)))
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    of_fp = persisted(least.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"), "least"))
-    # written, so that the join meets exchanges on both sides and a large component can be split
-    of_component = persisted(of_fp.groupBy("component").agg(F.min("least").alias("component_id")))
-    ids = of_fp.join(of_component, "component").select(F.col("fp").alias("k"), "component_id")
-    return prints.join(ids, F.col("fp") == F.col("k")).select("doc_id", "fp", "component_id")
+    ids = _firsts(prints, F.min("doc_id"))
+    return prints.join(ids, F.col("fp") == F.col("k")).select("doc_id", "fp", F.col("first").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, that have the smallest id of their component; of rows that share an id one stays."""
-    found = persisted(near_duplicates(docs, id_col, text_col))
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(gone, docs[id_col].eqNullSafe(F.col("__id")), "left_anti")
-    twice = persisted(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("__id")))
+    """One row of each component of `docs`, all columns: that of the smallest id, null last, and of its texts the one of the smallest digest.
+
+    A row is told by its id and its text's digest, so null and repeated ids
+    cost no other row; of rows alike in both one stays.
+    """
+    prints = persisted(fingerprints(docs, id_col, text_col, with_digest=True))
+    ids = _firsts(prints, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")))
+    first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
+    found = persisted(prints.join(ids, F.col("fp") == F.col("k")).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), first.alias("__first")))
+    same_row = docs[id_col].eqNullSafe(F.col("__id")) & (_digest(docs[text_col]) == F.col("__digest"))
+    kept = docs.join(found.where("NOT __first").select("__id", "__digest").distinct(), same_row, "left_anti")
+    twice = persisted(found.where("__first").groupBy("__id", "__digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     if twice.isEmpty():
         return kept
-    same = kept.join(twice, kept[id_col].eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col])
-    return kept.join(twice, kept[id_col].eqNullSafe(F.col("__id")), "left_anti").unionByName(same)
+    ids_twice = kept[id_col].eqNullSafe(F.col("__id")) & (_digest(kept[text_col]) == F.col("__digest"))
+    same = kept.join(twice, ids_twice, "left_semi").withColumn("__digest", _digest(F.col(text_col))).dropDuplicates([id_col, "__digest"]).drop("__digest")
+    return kept.join(twice, ids_twice, "left_anti").unionByName(same)

@@ -244,6 +244,21 @@ def test_simhash_odd(odd, empty):
     assert kept.columns == odd.columns and sorted(ids, key=str) == sorted({c for _, c in linked([(r[0], simhash.fingerprint(r[1])) for r in ODD])}, key=str)
 
 
+def test_deduplicate_by_row(spark):
+    """One row of each component, whether ids are null or shared."""
+    a, b, c, e = (" ".join(f"{w}{i}" for i in range(40)) for w in ("ab", "cd", "ef", "gh"))
+    given = [(None, a, 1), (None, b, 2), (None, b, 3), (1, a, 4), (5, b, 5), (5, c, 6), (7, c, 7), (8, e, 8), (8, "x " + b, 9), (None, "only null", 10), (None, "only nil", 11), (8, None, 12), (9, "", 13)]
+    d = spark.createDataFrame(given, "doc_id long, text string, n long").repartition(3)
+    print_of = {n: simhash.fingerprint(t) for _, t, n in given}
+    parts = defaultdict(list)
+    for i, t, n in given:
+        root = min(fp for fp in set(print_of.values()) if (fp ^ print_of[n]).bit_count() <= 3)
+        parts[root].append((i is None, i or 0, hashlib.md5(t.encode()).digest() if t is not None else b"", i, t))
+    assert len(parts) >= 6
+    got = [(r["doc_id"], r["text"]) for r in simhash.deduplicate(d).collect()]
+    assert sorted(got, key=str) == sorted((min(p)[3:] for p in parts.values()), key=str)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (101, 100), (7, 7)] + [(200, 200 + i) for i in range(1, 40)]
     got = {(r["node"], r["component"]) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
