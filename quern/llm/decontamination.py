@@ -12,8 +12,8 @@ windows are split into as many blocks as needed, each scanned in its own
 pass, and a document's hits are merged: exact at any benchmark size.
 
 Defined results: null or empty texts have no words and no hits; benchmark
-items without words never match; equal items both match; an empty benchmark
-hits nothing; repeated documents are judged alike. Extra columns, clashing
+items without words never match; equal items both match; items with a null id
+match and count as one; an empty benchmark hits nothing; repeated documents are judged alike. Extra columns, clashing
 names included, are left out.
 """
 
@@ -44,9 +44,9 @@ def windows(words: list[bytes], size: int) -> list[bytes]:
     return [b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)]
 
 
-def automaton(items: list[tuple[str, str | None]], size: int) -> ahocorasick.Automaton | None:
+def automaton(items: list[tuple[str | None, str | None]], size: int) -> ahocorasick.Automaton | None:
     """Patterns are windows between spaces, so that only whole words match; a pattern's value is its words and items."""
-    found: dict[bytes, tuple[int, set[str]]] = {}
+    found: dict[bytes, tuple[int, set[str | None]]] = {}
     for item, text in items:
         for w in windows(normal(text), size):
             found.setdefault(w, (w.count(b" ") + 1, set()))[1].add(item)
@@ -55,18 +55,18 @@ def automaton(items: list[tuple[str, str | None]], size: int) -> ahocorasick.Aut
     a = ahocorasick.Automaton()
     for w, (n, ids) in found.items():
         # latin-1 maps each byte to one character, and so keeps byte offsets
-        a.add_word(f" {w.decode('latin-1')} ", (n, tuple(sorted(ids))))
+        a.add_word(f" {w.decode('latin-1')} ", (n, tuple(ids)))
     a.make_automaton()
     return a
 
 
-def scan(a: ahocorasick.Automaton | None, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+def scan(a: ahocorasick.Automaton | None, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
     """Maximal runs [first, last] of hit words, and the items with a window in the text."""
     if a is None or not words:
         return [], set()
     ends: list[int] = []
     sizes: list[int] = []
-    items: set[str] = set()
+    items: set[str | None] = set()
     for end, (n, ids) in a.iter(f" {b' '.join(words).decode('latin-1')} "):
         ends.append(end)
         sizes.append(n)
@@ -100,7 +100,7 @@ def word_spans(text: str) -> list[tuple[int, int]]:
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, max_pattern_bytes: int = 64 << 20, with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, hits (runs of hit words), items (sorted as strings); with_text adds text."""
     d = narrow(docs, id_col, text_col)
-    b = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("item IS NOT NULL")
+    b = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text"))
     # a window is at most `window` times as long in sum as its text
     size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size * window // max_pattern_bytes))
@@ -119,7 +119,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                     got, ids = scan(a, words)
                     n.append(len(words))
                     runs.append([{"first": x, "last": y} for x, y in got])
-                    found.append(sorted(ids))
+                    found.append(sorted(ids, key=lambda x: (x is None, x)))  # null last
                 texts = batch.column(1)
                 cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(runs, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), pa.array(found, pa.list_(pa.string()))]
                 names = ["doc_id", "n_words", "hits", "items"]
@@ -172,13 +172,18 @@ def spans(found: DataFrame) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_pattern_bytes: int = 64 << 20) -> DataFrame:
-    """The rows of `docs`, all columns, whose text is not contaminated; rows pass through one scan, without a join."""
-    b = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).where("item IS NOT NULL")
+    """The rows of `docs`, all columns, whose text is not contaminated.
+
+    Rows pass through one scan, without a join. Beyond one block each distinct
+    text is judged once, and rows go by their text alone, never by their id.
+    """
+    b = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text"))
     size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size * window // max_pattern_bytes))
     if blocks > 1:
-        bad = decided(hits(docs, benchmark, id_col, text_col, item_id, item_text, window, max_pattern_bytes)).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-        return docs.join(bad, docs[id_col].eqNullSafe(F.col("__bad")), "left_anti")
+        texts = docs.select(F.md5(F.col(text_col).cast("string")).alias("doc_id"), F.col(text_col).cast("string").alias("text")).dropDuplicates(["doc_id"])
+        bad = decided(hits(texts, benchmark, "doc_id", "text", item_id, item_text, window, max_pattern_bytes)).where("contaminated").select(F.col("doc_id").alias("__bad"))
+        return docs.join(bad, F.md5(docs[text_col].cast("string")) == F.col("__bad"), "left_anti")
     items = [(r[0], r[1]) for r in b.collect()]  # bounded by max_pattern_bytes
     shared = docs.sparkSession.sparkContext.broadcast(items)
     at = docs.columns.index(text_col)

@@ -203,6 +203,22 @@ def test_decontamination_odd(spark, odd, empty):
     assert {r["doc_id"] for r in decontamination.remove_contaminated(odd, bench, max_pattern_bytes=100).collect()} == {1, 2, 3, 7, 8, 9}
 
 
+def test_decontamination_by_row(spark, duck):
+    """Null and shared ids of documents, and null ids of items, at any number of blocks."""
+    given = [(None, PASSAGE), (None, "a clean text of its own"), (1, PASSAGE), (1, "another clean text"), (2, None), (None, None), (3, PASSAGE), (3, PASSAGE)]
+    d = spark.createDataFrame(given, "doc_id long, text string")
+    bench = spark.createDataFrame([(None, PASSAGE), (None, "second an"), (7, "some other words")], "item_id long, text string")
+    want = sorted([r for r in given if r[1] != PASSAGE], key=str)
+    for size in (64 << 20, 100):
+        assert sorted(map(tuple, decontamination.remove_contaminated(d, bench, max_pattern_bytes=size).collect()), key=str) == want
+        found = decontamination.decided(decontamination.hits(d, bench, max_pattern_bytes=size)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").toPandas()
+        con = duck.cursor()
+        con.register("documents", d.toPandas().astype({"doc_id": "Int64"}))
+        con.register("benchmark", bench.toPandas().astype({"item_id": "Int64"}))
+        sql = ORACLE["op5_decontamination"].replace("FROM documents", "FROM temp.documents").replace("FROM benchmark", "FROM temp.benchmark")
+        assert rows(found.astype({"doc_id": "Int64"}), list(found.columns)) == rows(con.execute(sql).df().astype({"doc_id": "Int64"}), list(found.columns))
+
+
 # 6
 
 
