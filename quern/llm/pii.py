@@ -13,7 +13,8 @@ is its own pseudonym with a chance of one in the size of its set.)
 
 Defined results: null stays null, empty stays empty; a value that fails
 validation (a wrong check digit, a date of a 13th month, an octet over 255)
-is no PII and stays; of overlapping finds the earlier, then the longer counts.
+is no PII and stays; secrets may be of any length; a date may have its month's
+English name; an IBAN ends where it is valid, whatever follows; of overlapping finds the earlier, then the longer counts.
 Repeated rows change alike. All columns stay; only the text changes.
 """
 
@@ -107,8 +108,29 @@ _PLACE = {c: (a, i) for a in _ALPHABETS for i, c in enumerate(a)}
 _HEX = "0123456789abcdef"
 
 
+#: Characters that are permuted as one number; a half of it fits a digest.
+_PIECE = 200
+
+
 def _template(s: str, key: bytes, tweak: bytes, place: dict[str, tuple[str, int]] = _PLACE) -> str:
-    """Each character stays in its alphabet; others stay."""
+    """Each character stays in its alphabet; others stay.
+
+    A long value goes piece by piece, forth and back, under a digest of the
+    pieces before: one-to-one, in linear time, and each piece depends on all.
+    """
+    if len(s) <= _PIECE:
+        return _template_piece(s, key, tweak, place)
+    pieces = [s[i : i + _PIECE] for i in range(0, len(s), _PIECE)]
+    for way in (b"forth", b"back"):
+        before = hashlib.blake2b(way + tweak + str(len(s)).encode())
+        for i, piece in enumerate(pieces):
+            pieces[i] = _template_piece(piece, key, tweak + before.copy().digest(), place)
+            before.update(piece.encode())
+        pieces.reverse()
+    return "".join(pieces)
+
+
+def _template_piece(s: str, key: bytes, tweak: bytes, place: dict[str, tuple[str, int]]) -> str:
     value, size, shape = 0, 1, []
     for c in s:
         if c in place:
@@ -164,27 +186,89 @@ def _date(s: str, key: bytes) -> str | None:
     return parts[0] + seps[0] + parts[1] + seps[1] + parts[2]
 
 
+_NAMES = {name: (i + 1, short) for i, m in enumerate(_MONTHS) for name, short in ((m, False), (m[:3], m != "may"), *((("sept", True),) if m == "september" else ()))}
+_NAME = "|".join(sorted(_NAMES, key=len, reverse=True))
+_NAMED = rf"""(?<![\w./-])(?:(?P<d>\d{{1,2}})(?P<o>st|nd|rd|th)?(?:\.?\s+(?:of\s+)?|-)(?P<m>{_NAME})\b(?:\.?,?\s+|-)|(?P<m2>{_NAME})\b\.?\s+(?P<d2>\d{{1,2}})(?P<o2>st|nd|rd|th)?(?:\s*,\s*|\s+))(?P<y>\d{{4}})(?![\w]|[./-]\d)"""
+_NAMED_DATE = re.compile(_NAMED, re.I | re.A)
+
+
+def _named_date(s: str, key: bytes) -> str | None:
+    """A date with its month's English name, in full or cut to three letters, written alike; the same date as in digits gets the same pseudonym."""
+    x = _NAMED_DATE.fullmatch(s)
+    day, ordinal, month = ("d", "o", "m") if x["d"] else ("d2", "o2", "m2")
+    number, short = _NAMES[x[month].lower()]
+    try:
+        old = datetime.date(int(x["y"]), number, int(x[day]))
+    except ValueError:
+        return None
+    if not 1900 <= old.year < 2100:
+        return None
+    new = _moved(old, key)
+    name = _MONTHS[new.month - 1]
+    name = name[:3] if short else name
+    name = name.upper() if x[month].isupper() else name.capitalize() if x[month][0].isupper() else name
+    parts = {day: f"{new.day:02d}" if x[day][0] == "0" else str(new.day), month: name, "y": f"{new.year:04d}"}
+    if x[ordinal]:
+        end = "th" if 10 < new.day < 14 else {1: "st", 2: "nd", 3: "rd"}.get(new.day % 10, "th")
+        parts[ordinal] = end.upper() if x[ordinal].isupper() else end
+    out, at = [], 0
+    for group in sorted(parts, key=x.start):
+        out += s[at : x.start(group)], parts[group]
+        at = x.end(group)
+    return "".join(out)
+
+
+#: The length of an IBAN in each country that has one.
+_IBAN_LENGTH = {c[:2]: int(c[2:]) for c in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 "
+    "HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 "
+    "QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+).split()}
+
+
+def _ibans(text: str, pattern: re.Pattern) -> Iterator[tuple[int, int]]:
+    """The places of valid IBANs; what follows one, in capitals or digits, may look like more of it.
+
+    Of the ends between words the one of the country's length goes first,
+    then the longest.
+    """
+    m = pattern.search(text)
+    while m:
+        s, start = m[0], m.start()
+        ends = [i for i in range(len(s), 0, -1) if i == len(s) or s[i] == " "]
+        ends.sort(key=lambda i: len(s[:i].replace(" ", "")) != _IBAN_LENGTH.get(s[:2]))
+        end = next((i for i in ends if _iban_ok(s[:i].replace(" ", ""))), 0)
+        if end:
+            yield start, start + end
+        m = pattern.search(text, start + (end or 1))
+
+
+def _iban_mod(flat: str) -> int:
+    return int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97
+
+
+def _iban_ok(flat: str) -> bool:
+    return 15 <= len(flat) <= 34 and _iban_mod(flat) == 1
+
+
 def _iban(s: str, key: bytes) -> str | None:
     """The account part is permuted and the check digits are made anew; None if they are wrong."""
     flat = s.replace(" ", "")
-
-    def mod(x: str) -> int:
-        return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
-
-    if not 15 <= len(flat) <= 34 or mod(flat) != 1:
+    if not _iban_ok(flat):
         return None
     body = _template(flat[4:], key, b"iban" + flat[:2].encode())
-    new = iter(flat[:2] + f"{98 - mod(flat[:2] + '00' + body):02d}" + body)
+    new = iter(flat[:2] + f"{98 - _iban_mod(flat[:2] + '00' + body):02d}" + body)
     return "".join(c if c == " " else next(new) for c in s)
 
 
 #: Kind, pattern, and what gives the pseudonym (None: no PII after all). Earlier kinds go first at the same place.
 KINDS: tuple[tuple[str, re.Pattern, Callable[[str, bytes], str | None]], ...] = (
     ("email", re.compile(r"[^\W_][\w.+%-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}"), _email),
-    ("credential", re.compile(r"(?P<known>(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![0-9A-Za-z]))|(?<=[\"'])[^\s\"']{8,200}(?=[\"'])(?<!\s)"), _credential),
+    ("credential", re.compile(r"(?P<known>(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,})(?![0-9A-Za-z]))|(?<=[\"'])[^\s\"']{8,}(?=[\"'])(?<!\s)"), _credential),
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"), _iban),
     ("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"), _ip),
     ("date", re.compile(r"(?<![\d./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\d]|[./-]\d)"), _date),
+    ("date", _NAMED_DATE, _named_date),
     ("ssn", re.compile(r"(?<![\d-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])"), lambda s, key: _digits(s, key, b"ssn")),
     ("card", re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?!\d)"), _card),
     ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{2,4}[ .-]\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\1\d{4})(?!\d|\.\d)"), lambda s, key: _digits(s, key, b"phone")),
@@ -200,6 +284,9 @@ def _find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     for order, (kind, pattern, fn) in enumerate(KINDS):
         if kind == "email" and not has_at or kind not in ("email", "credential") and not has_digit:
             continue
+        if kind == "iban":
+            got.extend((a, -b, order, b, kind, text[a:b], fn) for a, b in _ibans(text, pattern))
+            continue
         for m in pattern.finditer(text):
             s = m[0]
             if kind == "credential" and m["known"] is None and not _ASSIGN.search(text, max(0, m.start() - 60), m.start() - 1):

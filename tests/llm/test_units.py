@@ -226,6 +226,56 @@ def test_what_fails_validation_stays(text):
     assert pii.pseudonymise(text, b"k") == (text, [])
 
 
+def test_long_secrets():
+    key = b"key"
+    for n in (200, 201, 437, 5000, 300_000):
+        secret = ("eyJhbGciOiJIUzI1NiJ9.aB3_" * (n // 25 + 1))[:n]
+        for text in (f'token = "{secret}"', f"token: '{secret}'"):
+            out, found = pii.pseudonymise(text, key)
+            assert [k for _, _, k in found] == ["credential"] and len(out) == len(text) and secret not in out
+            a, b = secret, out[found[0][0] : found[0][1]]
+            assert len(b) == n and [c.isdigit() for c in a] == [c.isdigit() for c in b] and a[-100:] != b[-100:] and a[:100] != b[:100]
+    for n in (64, 65, 400):
+        text = "see sk-" + "aB3d" * (n // 4) + "x" * (n % 4)
+        out, found = pii.pseudonymise(text, key)
+        assert [x[2] for x in found] == ["credential"] and found[0][1] == len(text) and "aB3daB3d" not in out
+    x, y = "ab1" * 150, "ab1" * 149 + "ab2"  # a change at the end changes the beginning
+    assert pii._template(x, key, b"t")[:100] != pii._template(y, key, b"t")[:100]
+    assert "@" in pii.pseudonymise("mail " + "ab.c" * 100 + "@mail.example.com", key)[0]
+
+
+@pytest.mark.parametrize(
+    ("text", "ibans"),
+    [
+        ("BE68 5390 0754 7034 BIC KREDBEBB", ["BE68 5390 0754 7034"]), ("BE68539007547034 12 EUR", ["BE68539007547034"]), ("BE68 5390 0754 7034 KREDBEBB", ["BE68 5390 0754 7034"]),
+        ("BE68 5390 0754 7034 GB82 WEST 1234 5698 7654 32 EUR", ["BE68 5390 0754 7034", "GB82 WEST 1234 5698 7654 32"]), ("AB13 BE68 5390 0754 7034", ["BE68 5390 0754 7034"]), ("BE69 5390 0754 7034 BIC", []),
+    ],
+)
+def test_ibans_end_where_they_are_valid(text, ibans):
+    out, found = pii.pseudonymise(text, b"key")
+    assert [text[a:b] for a, b, k in found if k == "iban"] == ibans and len(found) == len(ibans)
+    for value in ibans:
+        assert value not in out and pii.pseudonymise(value, b"key")[0] in out
+
+
+@pytest.mark.parametrize("style", ["12 March 2024", "March 12, 2024", "12th of March 2024", "MARCH 12th 2024", "12-Mar-2024", "12 mar. 2024", "12. March 2024"])
+def test_dates_with_names(style):
+    import datetime
+
+    out, found = pii.pseudonymise(f"on {style}, then", b"key")
+    assert [k for _, _, k in found] == ["date"] and style not in out
+    y, m, d = map(int, pii.pseudonymise("2024-03-12", b"key")[0].split("-"))
+    new, name = datetime.date(y, m, d), pii._MONTHS[m - 1]
+    assert str(new.year) in out and str(new.day) in out and name[:3] in out.lower()  # the pseudonym of the date in digits
+    again = pii.pseudonymise(out, b"key")[1]
+    assert [k for _, _, k in again] == ["date"]
+
+
+@pytest.mark.parametrize("text", ["30 February 2024", "12 Marchland 2024", "32 May 2024", "may 2024", "1 March 1850", "12 March 20245", "march on 12 2024"])
+def test_no_dates_with_names(text):
+    assert pii.pseudonymise(text, b"key") == (text, [])
+
+
 # 8, licenses
 
 
