@@ -4,7 +4,9 @@ The page is read into a tree of block elements. Boilerplate elements (by tag,
 role, class or id) go with all they hold. Each paragraph of some length gives
 points for its length and its commas to its ancestors, halved at each step
 up; a container's points are discounted by its share of link text. The best
-container is kept with those siblings that score or read like it.
+container is kept with those siblings that score or read like it; one that
+an article or main holds is kept as that whole article or main, whatever its
+length (of nested articles the outermost).
 
 One page at a time, in one pass over its tags: no exchange, memory bounded
 by the longest page. Defined results: a null or empty page, or one without
@@ -169,6 +171,18 @@ def _inside(x: Node | None) -> int:
     return 0
 
 
+def _holder(x: Node | None) -> Node | None:
+    """The outermost article around x, or x itself; where there is none, the nearest main."""
+    article = main = None
+    while x is not None:
+        if x.tag == "article":
+            article = x
+        elif x.tag == "main":
+            main = main or x
+        x = x.parent
+    return article or main
+
+
 def _prune(node: Node) -> list[Node]:
     """Takes boilerplate out; the nodes left, parents first."""
     out, stack = [], [node]
@@ -243,6 +257,9 @@ def extract(page: str | None, min_length: int = 25) -> str:
     if best.parent is None:
         return " ".join(_blocks(best))
     value_of = {id(x): v for v, x in scored}
+    whole = _holder(best)
+    if whole is not None:
+        best, top = whole, value_of.get(id(whole), top)
     keep = []
     for c in best.parent.children:
         if isinstance(c, str):

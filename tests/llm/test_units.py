@@ -311,6 +311,22 @@ def test_pages(page, text):
     assert html_extraction.extract(page) == text
 
 
+@pytest.mark.parametrize("n", [1, 5, 40, 400])
+@pytest.mark.parametrize("tag", ["article", "main"])
+def test_articles_are_whole_at_any_length(n, tag):
+    paragraphs = [f"Paragraph {i}, with some commas, some words, and a length that counts for points in the tree." for i in range(n)]
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    page = f"<body><nav>Menu</nav><{tag}><h1>Title</h1><p>Lead.</p><div class='content'>{body}</div><ul><li>One</li><li>Two</li></ul><table><tr><td>Cell</td></tr></table><section><h2>More</h2><p>Short end.</p></section></{tag}><div><p>Other, text, outside.</p></div></body>"
+    assert html_extraction.extract(page) == " ".join(["Title", "Lead.", *paragraphs, "One", "Two", "Cell", "More", "Short end."])
+
+
+def test_alike_articles_stay():
+    body = "".join(f"<p>Paragraph {i}, with some commas, some words, and a length that counts.</p>" for i in range(30))
+    page = f"<main><article><h2>First</h2><div>{body}</div></article><article><h2>Second</h2><div>{body}</div></article></main>"
+    got = html_extraction.extract(page)
+    assert got.startswith("First ") and " Second " in got and got.count("Paragraph 29") == 2
+
+
 # 10, lines
 
 
