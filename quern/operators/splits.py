@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def draw(seed: int, *keys: Column) -> Column:
@@ -55,7 +58,7 @@ def greedy_folds(groups: list[tuple], folds: int, size_weight: float = 0.20, num
     A group is (id, size, {label: count}, [numeric sums]). Ties go to the
     smaller, then the first fold.
     """
-    labels = sorted({x for g in groups for x in g[2]})
+    labels = sorted({x for g in groups for x in g[2]}, key=lambda x: (x is not None, x))  # null first
     at = {x: i for i, x in enumerate(labels)}
     counts = np.zeros((len(groups), len(labels)))
     for i, g in enumerate(groups):
@@ -86,28 +89,43 @@ def greedy_folds(groups: list[tuple], folds: int, size_weight: float = 0.20, num
 
 
 def stratified_folds(df: DataFrame, group: str, label: str, numeric: list[str], folds: int, seed: int = 42, max_groups: int = 200_000) -> DataFrame:
-    """Adds `fold`. Up to `max_groups` groups are placed one by one on the driver, from one row of sums a group and label.
+    """Adds `fold`: `greedy_folds` at every size, from one row of sums a group and label.
 
-    More groups are dealt by their place in hash order within strata of equal
-    size and main label, which needs no driver and balances as well as the
-    number of groups allows.
+    Up to `max_groups` groups are placed on the driver; more are placed by the
+    same rule in one task, so that the driver holds none of them. A task of
+    its own is needed, as each place depends on all before.
     """
-    stats = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("c"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(numeric)])
-    n = df.select(group).distinct().count()
-    if n > max_groups:
-        main = stats.groupBy(group).agg(F.max_by(label, F.struct("c", label)).alias("__l"))
-        place = main.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), group, "__l"), F.lit(folds)).cast("int")).drop("__l").withColumnRenamed(group, "__g")
-        return df.join(place, F.col(group) == F.col("__g")).drop("__g")
-    found: dict = {}
-    for r in stats.orderBy(group, label).collect():
-        g = found.setdefault(r[group], [r[group], 0, {}, [0.0] * len(numeric)])
-        g[1] += r["c"]
-        g[2][r[label]] = r["c"]
-        g[3] = [a + float(r[f"s{i}"] or 0) for i, a in enumerate(g[3])]
-    fold_of = greedy_folds([tuple(g) for g in found.values()], folds, seed=seed)
-    spark = df.sparkSession
-    schema = f"`__g` {df.schema[group].dataType.simpleString()}, fold int"
-    place = spark.createDataFrame(list(fold_of.items()), schema)
+    stats = df.groupBy(group, label).agg(F.count(F.lit(1)).alias("c"), *[F.sum(x).cast("double").alias(f"s{i}") for i, x in enumerate(numeric)])
+    stats = stats.select(F.col(group).alias("g"), F.col(label).alias("l"), "c", *[f"s{i}" for i in range(len(numeric))])
+
+    def placed(rows: Iterable[tuple]) -> dict:
+        found: dict = {}
+        for g, x, c, *sums in rows:
+            have = found.setdefault(g, [g, 0, {}, [0.0] * len(numeric)])
+            have[1] += c
+            have[2][x] = c
+            have[3] = [a + (b or 0.0) for a, b in zip(have[3], sums, strict=True)]
+        return greedy_folds([tuple(g) for g in found.values()], folds, seed=seed)
+
+    schema = T.StructType([T.StructField("__g", df.schema[group].dataType), T.StructField("fold", T.IntegerType())])
+    if df.select(group).distinct().count() > max_groups:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kind = None
+
+            def rows() -> Iterator[tuple]:
+                nonlocal kind
+                for batch in batches:
+                    kind = batch.schema.field(0).type
+                    yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+            fold_of = placed(rows())
+            if fold_of:
+                yield pa.RecordBatch.from_arrays([pa.array(list(fold_of), kind), pa.array(list(fold_of.values()), pa.int32())], ["__g", "fold"])
+
+        place = stats.repartition(1).sortWithinPartitions("g", "l").mapInArrow(run, schema)
+    else:
+        place = df.sparkSession.createDataFrame(list(placed(stats.orderBy("g", "l").collect()).items()), schema)
     return df.join(place, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
 
 
@@ -148,20 +166,36 @@ def exact_by_source(df: DataFrame, key: str, source: str, share: float, noisy_sh
 def exact_group_holdout(df: DataFrame, group: str, want: int, seed: int = 42, max_groups: int = 200_000) -> DataFrame:
     """Adds `split`: whole groups, in hash order while they fit, make up as near to `want` eval rows as they can without passing it.
 
-    One row a group is looked at on the driver, up to `max_groups`; more
-    groups are split by their hash, which comes near enough with so many.
+    One row a group is looked at: on the driver up to `max_groups`, and by the
+    same rule in one task, batch by batch, where there are more.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    if (n := sizes.count()) > max_groups:
-        return hash_split(df, group, want / max(df.count(), 1), seed)
-    left, taken = want, []
-    for r in sizes.withColumn("h", draw(seed, F.col(group))).orderBy("h", group).limit(n).collect():
-        if r["n"] <= left:
-            taken.append(r[group])
-            left -= r["n"]
-    spark = df.sparkSession
-    if not taken:
-        return df.withColumn("split", F.lit("train"))
-    chosen = spark.createDataFrame([(g,) for g in taken], f"`__g` {df.schema[group].dataType.simpleString()}").withColumn("__e", F.lit(True))
+    n = sizes.count()
+    sizes = sizes.select(F.col(group).alias("__g"), "n", draw(seed, F.col(group)).alias("h"))
+
+    def taken(rows: Iterable[tuple], left: int) -> Iterator:
+        for g, size in rows:
+            if size <= left:
+                left -= size
+                yield g
+
+    schema = T.StructType([T.StructField("__g", df.schema[group].dataType)])
+    if n > max_groups:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            left = want
+            for batch in batches:
+                sizes_of = batch.column(1).to_pylist()
+                keep = list(taken(enumerate(sizes_of), left))
+                left -= sum(sizes_of[i] for i in keep)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64()))], ["__g"])
+
+        chosen = sizes.repartition(1).sortWithinPartitions("h", "__g").select("__g", "n").mapInArrow(run, schema)
+    else:
+        groups = list(taken(((r["__g"], r["n"]) for r in sizes.orderBy("h", "__g").limit(n).collect()), want))
+        if not groups:
+            return df.withColumn("split", F.lit("train"))
+        chosen = df.sparkSession.createDataFrame([(g,) for g in groups], schema)
+    chosen = chosen.withColumn("__e", F.lit(True))
     d = df.join(chosen, F.col(group).eqNullSafe(F.col("__g")), "left")
     return d.withColumn("split", F.when(F.col("__e"), "eval").otherwise("train")).drop("__g", "__e")

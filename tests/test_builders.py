@@ -54,6 +54,19 @@ def test_exact_groups(spark):
     assert splits.exact_group_holdout(d, "g", 5).where("split = 'eval'").count() == 0
 
 
+def test_splits_are_alike_at_any_size(spark):
+    """Above max_groups: the same folds and splits, and rows of a null group stay."""
+    given = [(i, None if i % 11 == 10 else f"g{i % 11}", None if i % 7 == 6 else f"l{i % 7}", float(i)) for i in range(300)]
+    d = spark.createDataFrame(given, "id long, grp string, lab string, v double").repartition(3)
+    for run in (lambda m: splits.stratified_folds(d, "grp", "lab", ["v"], 4, max_groups=m), lambda m: splits.exact_group_holdout(d, "grp", 90, max_groups=m), lambda m: splits.exact_group_holdout(d, "grp", 5, max_groups=m)):
+        small, large = (sorted((r["id"], r[-1]) for r in run(m).collect()) for m in (200_000, 3))
+        assert small == large and [i for i, _ in small] == list(range(300))
+    folds = splits.stratified_folds(d, "grp", "lab", ["v"], 4, max_groups=3).groupBy("fold").count().collect()
+    assert len(folds) == 4 and max(r["count"] for r in folds) - min(r["count"] for r in folds) <= 28
+    got = splits.exact_group_holdout(d, "grp", 90, max_groups=3).where("split = 'eval'")
+    assert 63 <= got.count() <= 90
+
+
 def test_reslice(spark):
     from quern.operators import alignment
 
