@@ -65,6 +65,22 @@ def test_marks(spark):
     assert one(spark, "a / b 1 / 2 x/y", lambda c: correction.slash_alternatives(c, [("x/y", "x")])).split() == ["a", "b", "1/2", "x"]
 
 
+def test_marks_of_whole_texts(spark, sf):
+    """Every document has a row, long ones and nulls too."""
+    import re
+
+    from quern.plans.registry import QUERIES
+
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        now, old = (x if x is None else x.strip(" ") for x in (r["text"], r["text"] and re.sub("(?<=e)s ", "'s ", r["text"])))
+        want[r["doc_id"]] = now if not old or "'" not in old or now == old else " ".join(old.split())
+    assert max(len(x or "") for x in want.values()) > 2000
+    assert {r["doc_id"]: r["text"] for r in QUERIES["restored_marks"](spark, sf).collect()} == want
+    long = "the kings house is here " * 3000
+    assert correction.with_marks(long, long.replace("kings", "king's")) == long.replace("kings", "king's").strip()
+
+
 def test_errors(spark):
     d = spark.createDataFrame([(1, "one two three one two three", "5 sheep [[E01]] of Puzur"), (2, "5 sheep [[E01]] of Puzur", "5 sheep [[E01]] of Puzur"), (3, None, None)], "id long, p string, r string")
     f = {r["id"]: r for r in evaluation.error_flags(d, "p", "r", ["Puzur"]).collect()}
