@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from quern.llm import decontamination, packing, pii, quality_rules, simhash
 from quern.llm.common import persisted, table
-from quern.llm.queries import pii_key
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +34,7 @@ def keep_clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: personal data in the text becomes pseudonyms; n_chars follows the text where the table has it."""
-    out = pii.replace(docs, pii_key(spark))
+    out = pii.replace(docs, pii.session_key(spark))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
