@@ -53,13 +53,40 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(run, schema)
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """`name`, with underscores until no table has such a column, in any case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def work_dir(spark: SparkSession) -> str:
-    """A new path in the shared checkpoint folder; sets a folder only where the session has none, as in tests."""
+    """A new path in the shared checkpoint folder, deleted when the application ends.
+
+    Without such a folder a local session, as in tests, gets one of its own;
+    on a cluster that is an error, since a machine's own folder is not shared.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = got.get() if got.isDefined() else "/tmp/checkpoints/quern"
-    return f"{base.rstrip('/')}/quern-{uuid.uuid4().hex}"
+        if got.isDefined():
+            base = got.get()
+        elif spark.sparkContext.master.startswith("local"):
+            base = "/tmp/checkpoints/quern"
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = f"{base.rstrip('/')}/quern-{spark.sparkContext.applicationId}"
+    p, fs = _path(spark, root)
+    if not fs.exists(p):
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+    return f"{root}/{uuid.uuid4().hex}"
 
 
 def persisted(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -68,3 +95,10 @@ def persisted(df: DataFrame, path: str | None = None) -> DataFrame:
     path = path or work_dir(spark)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders that nothing reads any more."""
+    for path in paths:
+        p, fs = _path(spark, path)
+        fs.delete(p, True)
