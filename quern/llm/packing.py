@@ -12,6 +12,10 @@ A task tokenises and packs its own partition, block by block: no exchange,
 memory bounded by `block_docs` rests, and a hot source or one very long text
 changes nothing. Sequence ids are the partition's number and a counter.
 
+Ids are those of `tokenizers` with add_special_tokens=False: a special token's
+string in a text becomes that token, as it does there; `plain_specials` makes
+such strings ordinary text.
+
 Defined results: a null or empty text is the end id alone; repeated rows are
 packed each; an empty table gives an empty table; extra columns are left out.
 """
@@ -23,8 +27,8 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +42,18 @@ _LONG = 1 << 18
 _SAFE = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
 
 
-def tokenizer(path: str):
+def tokenizer(path: str, plain_specials: bool = False):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
+    if plain_specials:
+        t.encode_special_tokens = True
     return t
 
 
 def _parts(text: str) -> list[str]:
-    """Very long texts in parts that tokenise as the whole does."""
+    """Very long texts in parts that tokenise as the whole does, by a pre-tokeniser that always cuts at `_SAFE`."""
     if len(text) <= _LONG:
         return [text]
     out, at = [], 0
@@ -81,19 +86,24 @@ class Encoder:
     faster; a probe decides, and any other file is encoded by tokenizers.
     """
 
-    def __init__(self, path: str) -> None:
-        self.tokenizer = tokenizer(path)
-        self.fast = None
+    def __init__(self, path: str, plain_specials: bool = False) -> None:
+        self.tokenizer = tokenizer(path, plain_specials)
+        self.fast: Callable[[str], list[int]] | None = None
         alphabet = _byte_alphabet()
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        added = self.tokenizer.get_added_tokens_decoder()
+        special = {t.content: i for i, t in added.items()}
         words = {w: i for w, i in self.tokenizer.get_vocab(with_added_tokens=True).items() if w not in special}
-        if all(c in alphabet for w in words for c in w):
+        # a special token that takes white space along or whole words alone, or that a cut could part, is left to tokenizers
+        plain = all(not (t.lstrip or t.rstrip or t.single_word or _SAFE.search(t.content)) for t in added.values())
+        if plain and all(c in alphabet for w in words for c in w):
             import tiktoken
 
             ranks = {bytes(alphabet[c] for c in w): i for w, i in words.items()}
             try:
-                fast = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
-                if all(fast.encode_ordinary(t) == self._slow(t) for t in _PROBE):
+                table = tiktoken.Encoding("ranks", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={} if plain_specials else special)
+                fast = table.encode_ordinary if plain_specials else partial(table.encode, allowed_special="all", disallowed_special=())
+                probes = [*_PROBE, *(f"a {s}  b\n{s}{s}" for s in special)]
+                if all(fast(t) == self._slow(t) for t in probes):
                     self.fast, self.tokenizer = fast, None
             except (KeyError, ValueError):
                 pass
@@ -103,15 +113,19 @@ class Encoder:
 
     def encode(self, text: str | None, end_id: int = 0) -> np.ndarray:
         """A text's ids and the end id, as little-endian unsigned 32-bit."""
-        one = self._slow if self.fast is None else self.fast.encode_ordinary
-        ids = one(text) if text and len(text) <= _LONG else [i for p in _parts(text) for i in one(p)] if text else []
+        if not text:
+            ids = []
+        elif self.fast is None:
+            ids = self._slow(text)
+        else:
+            ids = [i for p in _parts(text) for i in self.fast(p)]
         ids.append(end_id)
         return np.frombuffer(array("I", ids), "<u4")
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, plain_specials: bool = False) -> Encoder:
+    return Encoder(path, plain_specials)
 
 
 def pack_block(lengths: list[int], size: int, linear: float, quadratic: float) -> list[tuple[int, int, int, int, int]]:
@@ -148,14 +162,14 @@ def pack_block(lengths: list[int], size: int, linear: float, quadratic: float) -
     return out
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 0, linear: float = 1.0, quadratic: float = 1 / 2048, block_docs: int = 2048, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, end_id: int = 0, linear: float = 1.0, quadratic: float = 1 / 2048, block_docs: int = 2048, with_ids: bool = False, plain_specials: bool = False) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with_ids adds the ids."""
     d = narrow(docs, id_col, text_col)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 33
-        encode = encoder(tokenizer_path).encode
+        encode = encoder(tokenizer_path, plain_specials).encode
         seq = 0
         rests: list[tuple[int, int, np.ndarray]] = []  # document, its ids before the rest, the rest's ids
         rows: list[list] = [[] for _ in range(8)]
