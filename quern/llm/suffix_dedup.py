@@ -10,20 +10,29 @@ leftmost of its k-mers with the least hash; equal strings have equal anchors
 at equal places, and about one byte in twenty starts an anchor. Three rounds
 go over the blocks:
 
-1. Each block sends the sorted hashes of its anchors' k-mers, as differences;
-   where two blocks have the same one, both are told.
-2. For those anchors only, each block sends a run of suffixes (from the
-   anchor, with the bytes before it), sorted, distinct and front-coded. The
-   runs of a range are combined by a loser tree that keeps, for each head,
-   the prefix it is known to share with the last string put out, and never
-   compares it again. From the common prefixes to both sides of the anchor it
-   follows which strings an earlier block has: one bit each goes back.
+1. Each block sends the sorted hashes of its anchors' k-mers; those that two
+   blocks have come back.
+2. For those anchors only, each block sends its suffixes (from the anchor,
+   with the bytes before it), sorted, distinct and front-coded. Runs are
+   combined by a loser tree that keeps, for each head, the prefix it is known
+   to share with the last string put out, and never compares it again. From
+   the common prefixes to both sides of the anchor it follows which strings
+   an earlier block has: one bit each goes back.
 3. Each block adds what repeats among its own documents and removes.
 
+The exchange goes in levels of at most `fan` branches. At each level the runs
+of a group of blocks meet for one range of hashes, are merged, and are split
+into narrower ranges for a wider group, until one narrow range meets all
+blocks; answers come back the same way. So a block sends and gets `fan`
+messages a level at any size of the corpus, and the levels are a logarithm of
+the number of blocks. What a group has more than once is answered there and
+goes up once, so that a string that all blocks have is `fan` entries of a
+task, not one a block.
+
 Copies of whole texts are known by their digest beforehand and take no part.
-A run holds a string once however often the block has it, so that a passage
-in a third of all documents costs one entry a block. Memory follows the block
-and the range, whose numbers grow with the data.
+A run holds a string once however often the block has it. Memory follows the
+block and the range, whose numbers grow with the data; intermediate tables
+are dropped before the result is returned.
 
 Defined results: null and empty texts, and those shorter than `length`, lose
 nothing; strings within one document, or in rows that share an id, do not
@@ -43,13 +52,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import narrow, persisted, work_dir
+from quern.llm.common import discard, narrow, persisted, work_dir
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
-#: Kinds of messages to a block: a copy of another text, flags of its hashes, marks of its suffixes.
+#: Kinds of messages to a block: a copy of another text, hashes that repeat, marks of its suffixes.
 COPY, REPEATED, EARLIER = 0, 1, 2
-_MESSAGE = "block int, kind int, part long, data binary"
+_MESSAGE = "up boolean, part long, grp long, data binary"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -132,6 +141,36 @@ def front_decode(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, lcp
 
 
+def pack_numbers(*columns: np.ndarray) -> bytes:
+    """Columns of as many whole numbers: each as its first and the differences, in as few bytes as hold them."""
+    out = [len(columns[0]).to_bytes(8, "little")]
+    for c in columns:
+        c = c.astype(np.int64)
+        d = np.diff(c)
+        low = int(d.min()) if len(d) else 0
+        size = next(w for w in (0, 1, 2, 4, 8) if w == 8 or not len(d) or int(d.max()) - low < 1 << 8 * w)
+        out += [bytes([size]), c[:1].tobytes(), np.int64(low).tobytes()]
+        if size:
+            out.append((d - low).astype(f"<u{size}").tobytes())
+    return b"".join(out)
+
+
+def unpack_numbers(data: bytes, columns: int) -> list[np.ndarray]:
+    n = int.from_bytes(data[:8], "little")
+    out, at = [], 8
+    for _ in range(columns):
+        size = data[at]
+        if not n:
+            out.append(np.empty(0, np.int64))
+            at += 9
+            continue
+        first, low = np.frombuffer(data, np.int64, 2, at + 1)
+        d = np.frombuffer(data, f"<u{size}", n - 1, at + 17).astype(np.int64) if size else np.zeros(n - 1, np.int64)
+        out.append(np.cumsum(np.concatenate(([first], d + low))))
+        at += 17 + size * (n - 1)
+    return out
+
+
 class LoserTree:
     """Merges sorted runs of strings of one length by their known common prefixes.
 
@@ -286,51 +325,88 @@ class Block:
         return np.searchsorted(self.ends, self.place[at], side="right")
 
 
-def _ranges(keys: np.ndarray, hash_bits: int, n_ranges: int) -> np.ndarray:
-    """The range of each hash: ranges are of equal width, and hashes spread evenly."""
-    return (keys.astype(np.float64) * (n_ranges / 2.0**hash_bits)).astype(np.int64).clip(0, n_ranges - 1)
+class Levels:
+    """The tree of the exchange: `fan` branches a level, as many levels as `blocks` need, and a range of hashes for each leaf."""
+
+    def __init__(self, blocks: int, fan: int, hash_bits: int) -> None:
+        self.depth = 1
+        while fan**self.depth < blocks:
+            self.depth += 1
+        self.fan = 1
+        while self.fan**self.depth < blocks:
+            self.fan += 1
+        self.hash_bits = hash_bits
 
+    def range_of(self, keys: np.ndarray, level: int) -> np.ndarray:
+        """The range of each hash at a level: ranges are of equal width, and hashes spread evenly."""
+        n = self.fan**self.depth
+        leaf = (keys.astype(np.float64) * (n / 2.0**self.hash_bits)).astype(np.int64).clip(0, n - 1)
+        return leaf // self.fan ** (self.depth - level)
 
-def _sorted_runs(keys: np.ndarray) -> bytes:
-    """Increasing hashes as differences, in 4 bytes each where all fit."""
-    d = np.diff(keys, prepend=np.uint64(0))
-    small = len(d) < 2 or int(d[1:].max()) < 1 << 32
-    return bytes([small]) + d[:1].tobytes() + d[1:].astype("<u4" if small else "<u8").tobytes()
+    def group_of(self, blocks: np.ndarray, level: int) -> np.ndarray:
+        return blocks // self.fan**level
 
 
-def _read_run(data: bytes) -> np.ndarray:
-    first = np.frombuffer(data, "<u8", 1, 1)
-    rest = np.frombuffer(data, "<u4" if data[0] else "<u8", offset=9).astype(np.uint64)
-    return np.cumsum(np.concatenate((first, rest)), dtype=np.uint64)
+def _cuts(numbers: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(number, slice) of each run of equal numbers."""
+    if len(numbers):
+        start = np.flatnonzero(np.concatenate(([True], numbers[1:] != numbers[:-1])))
+        for a, b in zip(start.tolist(), [*start[1:].tolist(), len(numbers)], strict=True):
+            yield int(numbers[a]), slice(a, b)
 
 
 def _rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
 
-def _message(rows: list[tuple]) -> pa.Table:
-    return _rows(rows, ["block", "kind", "part", "data"], [pa.int32(), pa.int32(), pa.int64(), pa.binary()])
-
-
-def _received(mail: pa.Table) -> tuple[set[int], dict[int, bytes], dict[int, bytes]]:
-    gone, repeated, earlier = set(), {}, {}
-    for kind, part, data in zip(mail.column("kind").to_pylist(), mail.column("part").to_pylist(), mail.column("data").to_pylist(), strict=True):
-        if kind == COPY:
-            gone.add(part)
-        else:
-            (repeated if kind == REPEATED else earlier)[part] = data
-    return gone, repeated, earlier
-
-
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 16, block_bytes: int = 8 << 20, with_text: bool = False) -> DataFrame:
+def _messages(rows: list[tuple]) -> pa.Table:
+    return _rows(rows, ["up", "part", "grp", "data"], [pa.bool_(), pa.int64(), pa.int64(), pa.binary()])
+
+
+def merge_runs(data: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, prefix shared with the row before, block, index) of front-coded runs, merged; equal rows in order of their blocks."""
+    decoded, numbers = [], []
+    for x in data:
+        size = int.from_bytes(x[:8], "little")
+        decoded.append(front_decode(x[8 : 8 + size], width))
+        numbers.append(unpack_numbers(x[8 + size :], 2))
+    strings = [[x.tobytes() for x in rows] for rows, _ in decoded]
+    merged = list(LoserTree(strings, [lcp.tolist() for _, lcp in decoded]))
+    run = np.array([x for x, _ in merged], np.int64)
+    lcp = np.array([x for _, x in merged], np.int64)
+    at = np.empty(len(run), np.int64)  # each string's place among all
+    start = 0
+    for i, (rows, _) in enumerate(decoded):
+        at[run == i] = np.arange(start, start + len(rows))
+        start += len(rows)
+    rows = np.concatenate([rows for rows, _ in decoded])[at]
+    block, index = (np.concatenate([x[k] for x in numbers])[at] for k in (0, 1))
+    # runs come in no order: equal rows are put in that of their blocks
+    same = np.cumsum(lcp < width)
+    by = np.lexsort((block, same))
+    return rows, lcp, block[by], index[by]
+
+
+def coded_run(rows: np.ndarray, block: np.ndarray, index: np.ndarray) -> bytes:
+    front = front_code(rows)
+    return len(front).to_bytes(8, "little") + front + pack_numbers(block, index)
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 16, block_bytes: int = 8 << 20, fan: int = 1024, with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_text adds the bytes that stay."""
     d = narrow(docs, id_col, text_col)
     spark = d.sparkSession
     id_type = d.schema["doc_id"].dataType.simpleString()
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
-    n_ranges = max(1, n_blocks)
     hash_bits = min(62, max(44, math.ceil(math.log2(total + 2)) + 14))
+    levels = Levels(n_blocks, fan, hash_bits)
+    depth, width = levels.depth, 2 * length - k + 2
+    folders: list[str] = []
+
+    def written(df: DataFrame) -> DataFrame:
+        folders.append(work_dir(spark))
+        return persisted(df, folders[-1])
 
     # blocks by ranges of the id, written once: every round reads a bucket's blocks without an exchange
     dealt = d.repartitionByRange(n_blocks, "doc_id").sortWithinPartitions("doc_id").select(
@@ -338,104 +414,116 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("row"),
         "doc_id", "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"),
     )
-    path, name = work_dir(spark), f"quern_blocks_{uuid.uuid4().hex}"
-    dealt.write.bucketBy(n_blocks, "block").option("path", path).saveAsTable(name)
+    name = f"quern_blocks_{uuid.uuid4().hex}"
+    folders.append(work_dir(spark))
+    dealt.write.bucketBy(n_blocks, "block").option("path", folders[-1]).saveAsTable(name)
     t = spark.table(name)
 
     # copies of a whole text in a document of a smaller id
     narrow_rows = t.where("doc_id IS NOT NULL").select("block", "row", "doc_id", "digest")
     # written, so that the join meets exchanges on both sides and a digest of many copies can be split
-    least = persisted(narrow_rows.groupBy("digest").agg(F.min("doc_id").alias("least")).withColumnRenamed("digest", "same"))
+    least = written(narrow_rows.groupBy("digest").agg(F.min("doc_id").alias("least")).withColumnRenamed("digest", "same"))
     copies = narrow_rows.join(least, F.col("digest") == F.col("same")).where("doc_id > least")
     copies = copies.select("block", F.lit(COPY).alias("kind"), F.col("row").alias("part"), F.lit(None).cast("binary").alias("data"))
 
-    def block_of(left: pa.Table, mail: pa.Table) -> tuple[Block, list[int], dict[int, bytes], dict[int, bytes]]:
+    def block_of(left: pa.Table, mail: pa.Table) -> tuple[Block, int, list[bytes], list[bytes]]:
         left = left.sort_by("row")
         rows = left.column("row").to_pylist()
-        gone, repeated, earlier = _received(mail)
+        kinds, parts, data = (mail.column(c).to_pylist() for c in ("kind", "part", "data"))
+        gone = {x for kind, x in zip(kinds, parts, strict=True) if kind == COPY}
+        repeated, earlier = ([x for kind, x in zip(kinds, data, strict=True) if kind == wanted] for wanted in (REPEATED, EARLIER))
         place = {r: i for i, r in enumerate(rows)}
-        return Block(left.column("doc_id").to_pylist(), left.column("text").to_pylist(), {place[r] for r in gone if r in place}, length, k, hash_bits), left.column("block").to_pylist()[:1], repeated, earlier
+        b = Block(left.column("doc_id").to_pylist(), left.column("text").to_pylist(), {place[r] for r in gone if r in place}, length, k, hash_bits)
+        return b, left.column("block")[0].as_py(), repeated, earlier
 
-    def number(rows: pa.Table) -> int:
-        return rows.column("block")[0].as_py()
+    def down(level: int, part: int, block: np.ndarray, *more: np.ndarray) -> list[tuple]:
+        """Answers for blocks, to the groups of the level below."""
+        by = np.lexsort((more[0], block))
+        block, more = block[by], [x[by] for x in more]
+        return [(False, part // levels.fan, g, pack_numbers(block[at], *[x[at] for x in more])) for g, at in _cuts(levels.group_of(block, level - 1))]
 
     def send_hashes(left: pa.Table, mail: pa.Table) -> pa.Table:
         out = []
         if left.num_rows:
-            b = block_of(left, mail)[0]
-            part = _ranges(b.unique, hash_bits, n_ranges)
-            cut = np.searchsorted(part, np.arange(n_ranges + 1))
-            out = [(int(r), number(left), _sorted_runs(b.unique[cut[r] : cut[r + 1]])) for r in range(n_ranges) if cut[r] < cut[r + 1]]
-        return _rows(out, ["part", "block", "data"], [pa.int64(), pa.int32(), pa.binary()])
-
-    def find_repeated(runs: pa.Table) -> pa.Table:
-        keys = [_read_run(x) for x in runs.column("data").to_pylist()]
-        flat = np.sort(np.concatenate(keys))
-        again = np.unique(flat[1:][flat[1:] == flat[:-1]])  # a run has a hash once
-        part = runs.column("part")[0].as_py()
-        out = []
-        for block, own in zip(runs.column("block").to_pylist(), keys, strict=True):
-            at = np.searchsorted(again, own)
-            hit = at < len(again)
-            hit[hit] = again[at[hit]] == own[hit]
-            if hit.any():
-                out.append((block, REPEATED, part, np.packbits(hit).tobytes()))
-        return _message(out)
-
-    def chosen(b: Block, repeated: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Of the distinct hashes, those that another block has."""
-        part = _ranges(b.unique, hash_bits, n_ranges)
-        cut = np.searchsorted(part, np.arange(n_ranges + 1))
-        flag = np.zeros(len(b.unique), bool)
-        for r, data in repeated.items():
-            size = cut[r + 1] - cut[r]
-            flag[cut[r] : cut[r + 1]] = np.unpackbits(np.frombuffer(data, np.uint8), count=int(size)).astype(bool)
-        return flag, part
-
-    def runs_of(b: Block, repeated: dict[int, bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(range, anchors, distinct rows in order, each anchor's row) of every range that another block shares."""
-        flag, part = chosen(b, repeated)
+            b, block, _, _ = block_of(left, mail)
+            for part, at in _cuts(levels.range_of(b.unique, 1)):
+                keys = b.unique[at].astype(np.int64)
+                out.append((True, part, block // levels.fan, pack_numbers(keys, np.full(len(keys), block))))
+        return _messages(out)
+
+    def meet_hashes(level: int):
+        """What two blocks of a group have is answered; each hash goes up once, with its least block."""
+
+        def run(got: pa.Table) -> pa.Table:
+            keys, blocks = (np.concatenate(x) for x in zip(*[unpack_numbers(x, 2) for x in got.column("data").to_pylist()], strict=True))
+            by = np.lexsort((blocks, keys))
+            keys, blocks = keys[by], blocks[by]
+            first = np.concatenate(([True], keys[1:] != keys[:-1]))
+            again = ~first | np.append(~first[1:], False)
+            part, group = got.column("part")[0].as_py(), got.column("grp")[0].as_py()
+            out = down(level, part, blocks[again], keys[again])
+            if level < depth:
+                keys, blocks = keys[first], blocks[first]
+                out += [(True, p, group // levels.fan, pack_numbers(keys[at], blocks[at])) for p, at in _cuts(levels.range_of(keys, level + 1))]
+            return _messages(out)
+
+        return run
+
+    def runs_of(b: Block, repeated: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(range, anchors, distinct rows in order, each anchor's row) of every first range that another block shares."""
+        if not repeated:
+            return
+        keys = np.concatenate([unpack_numbers(x, 2)[1] for x in repeated]).astype(np.uint64)
+        flag = np.isin(b.unique, keys)
         at = np.flatnonzero(flag[b.which])
-        ranges = part[b.which[at]]
+        ranges = levels.range_of(b.unique, 1)[b.which[at]]
         by = np.argsort(ranges, kind="stable")
-        at, ranges = at[by], ranges[by]
-        cut = np.searchsorted(ranges, np.arange(n_ranges + 1))
-        for r in np.flatnonzero(cut[1:] > cut[:-1]):
-            own = at[cut[r] : cut[r + 1]]
+        for r, own in _cuts(ranges[by]):
+            own = at[by[own]]
             rows = b.suffixes(own)
-            distinct, row = np.unique(rows.view(f"S{rows.shape[1]}").ravel(), return_inverse=True)
-            yield int(r), own, np.frombuffer(distinct.tobytes(), np.uint8).reshape(-1, rows.shape[1]), row
+            distinct, row = np.unique(rows.view(f"S{width}").ravel(), return_inverse=True)
+            yield r, own, np.frombuffer(distinct.tobytes(), np.uint8).reshape(-1, width), row
 
     def send_suffixes(left: pa.Table, mail: pa.Table) -> pa.Table:
-        out = []
+        out, start = [], 0
         if left.num_rows:
-            b, _, repeated, _ = block_of(left, mail)
-            out = [(r, number(left), front_code(rows)) for r, _, rows, _ in runs_of(b, repeated)]
-        return _rows(out, ["part", "block", "data"], [pa.int64(), pa.int32(), pa.binary()])
-
-    width = 2 * length - k + 2
-
-    def merge(runs: pa.Table) -> pa.Table:
-        numbers = runs.column("block").to_pylist()
-        decoded = [front_decode(x, width) for x in runs.column("data").to_pylist()]
-        strings = [[x.tobytes() for x in rows] for rows, _ in decoded]
-        merged = list(LoserTree(strings, [lcp.tolist() for _, lcp in decoded]))
-        run = np.array([x for x, _ in merged], np.int64)
-        lcp = np.minimum(np.array([x for _, x in merged], np.int64), length)
-        at = np.empty(len(run), np.int64)  # each string's place in its run
-        for i in range(len(decoded)):
-            own = run == i
-            at[own] = np.arange(int(own.sum()))
-        starts = np.cumsum([0] + [len(rows) for rows, _ in decoded])
-        rows = np.concatenate([rows for rows, _ in decoded])[starts[run] + at]
-        bits = marks(lcp, rows[:, length:-2], rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64), np.array(numbers)[run], length)
-        part = runs.column("part")[0].as_py()
-        out = []
-        for i, block in enumerate(numbers):
-            own = bits[run == i]
-            if own.any():
-                out.append((block, EARLIER, part, own.tobytes()))
-        return _message(out)
+            b, block, repeated, _ = block_of(left, mail)
+            for r, _, rows, _ in runs_of(b, repeated):
+                out.append((True, r, block // levels.fan, coded_run(rows, np.full(len(rows), block), np.arange(start, start + len(rows)))))
+                start += len(rows)
+        return _messages(out)
+
+    def meet_suffixes(level: int):
+        """Below the last level, rows that an earlier block of the group has whole are answered; the others go up. At the last, all are."""
+
+        def run(got: pa.Table) -> pa.Table:
+            rows, lcp, block, index = merge_runs(got.column("data").to_pylist(), width)
+            low, high = rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64)
+            part, group = got.column("part")[0].as_py(), got.column("grp")[0].as_py()
+            if level == depth:
+                bits = marks(np.minimum(lcp, length), rows[:, length:-2], low, high, block, length)
+                some = bits > 0
+                return _messages(down(level, part, block[some], index[some], bits[some].view(np.int64)))
+            again = lcp == width
+            bits = (np.uint64(2) << high[again].astype(np.uint64)) - (np.uint64(1) << low[again].astype(np.uint64))
+            out = down(level, part, block[again], index[again], bits.view(np.int64))
+            rows, block, index = rows[~again], block[~again], index[~again]
+            h = _mixed(kmer_hashes(np.ascontiguousarray(rows[:, :k]).ravel(), k)[::k]) >> np.uint64(64 - hash_bits)
+            narrower = levels.range_of(h, level + 1)
+            by = np.argsort(narrower, kind="stable")  # rows stay in order within a range
+            for p, at in _cuts(narrower[by]):
+                at = by[at]
+                out.append((True, p, group // levels.fan, coded_run(rows[at], block[at], index[at])))
+            return _messages(out)
+
+        return run
+
+    def pass_down(level: int, columns: int):
+        def run(got: pa.Table) -> pa.Table:
+            cols = [np.concatenate(x) for x in zip(*[unpack_numbers(x, columns) for x in got.column("data").to_pylist()], strict=True)]
+            return _messages(down(level, got.column("part")[0].as_py(), *cols))
+
+        return run
 
     def finish(left: pa.Table, mail: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -448,9 +536,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
                 hit = (bits >> np.uint64(o)) & np.uint64(1) > 0
                 start[b.place[at[hit]] - o] = True
 
-        for r, own, _, row in runs_of(b, repeated):
-            if r in earlier:
-                remove(own, np.frombuffer(earlier[r], "<u8")[row])
+        if earlier:
+            parts = [unpack_numbers(x, 3) for x in earlier]
+            index, bits = np.concatenate([x[1] for x in parts]), np.concatenate([x[2] for x in parts]).view(np.uint64)
+            anchor, row, n = [], [], 0
+            for _, own, rows, which in runs_of(b, repeated):
+                anchor.append(own)
+                row.append(which + n)
+                n += len(rows)
+            of_row = np.zeros(n, np.uint64)
+            np.bitwise_or.at(of_row, index, bits)
+            remove(np.concatenate(anchor), of_row[np.concatenate(row)])
         # what an earlier document of the block has
         at = np.flatnonzero(b.times[b.which] > 1)
         if len(at):
@@ -486,11 +582,24 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         mail = mail.select(F.col("block").alias("block"), *[F.col(c).alias(c) for c in ("kind", "part", "data")])
         return blocks.groupBy("block").cogroup(mail.groupBy("block")).applyInArrow(fn, schema)
 
-    run_schema = "part long, block int, data binary"
-    # what goes back is a bit or a word for each hash or suffix; written, so that no round runs twice
-    copies = persisted(copies)
-    repeated = persisted(rounds(copies, send_hashes, run_schema).groupBy("part").applyInArrow(find_repeated, _MESSAGE))
-    mail = copies.unionByName(repeated)
-    earlier = persisted(rounds(mail, send_suffixes, run_schema).groupBy("part").applyInArrow(merge, _MESSAGE))
+    def exchange(sent: DataFrame, meet, columns: int, kind: int) -> DataFrame:
+        """Messages up through the levels and the answers back to their blocks; what a level makes is written, so that no round runs twice."""
+        answers = []
+        for level in range(1, depth + 1):
+            made = written(sent.groupBy("part", "grp").applyInArrow(meet(level), _MESSAGE))
+            sent = made.where("up")
+            answers.append(made.where("NOT up"))
+        back = answers[-1]
+        for level in range(depth - 1, 0, -1):
+            back = back.groupBy("part", "grp").applyInArrow(pass_down(level, columns), _MESSAGE).unionByName(answers[level - 1])
+        return back.select(F.col("grp").cast("int").alias("block"), F.lit(kind).alias("kind"), "part", "data")
+
+    copies = written(copies)
+    repeated = exchange(rounds(copies, send_hashes, _MESSAGE), meet_hashes, 2, REPEATED)
+    mail = copies.unionByName(repeated if depth == 1 else written(repeated))
+    earlier = exchange(rounds(mail, send_suffixes, _MESSAGE), meet_suffixes, 3, EARLIER)
     schema = f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return rounds(mail.unionByName(earlier), finish, schema)
+    result = persisted(rounds(mail.unionByName(earlier), finish, schema))
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    discard(spark, *folders)
+    return result
