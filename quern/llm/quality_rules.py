@@ -3,7 +3,10 @@
 DataFrame functions only. Every measure is computed inside the row, so the
 plan has no exchange: a hot source, a group of copies or a very long text
 costs its own length and nothing else. A repeated word window is found by
-sorting the row's own (hash, position) pairs, which is n log n in its words.
+sorting the row's own (hash, position) pairs, which is n log n in its words;
+neighbours of equal hash are compared by their words, so windows of other
+words never count as equal (two of one 64-bit hash that stand between equal
+ones in a text could part them).
 
 Defined results: a null or empty text has no words, all counts 0 and fails
 the base rule. Ties and repeated rows are judged row by row, alike. An empty
@@ -56,6 +59,11 @@ def _sql_list(words: tuple[str, ...]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
+def _same(other: str) -> str:
+    """SQL for: the window at place `other` has the words of the one at x.i."""
+    return " and ".join(f"w[x.i + {k}] = w[{other} + {k}]" for k in range(3))
+
+
 def measures(df: DataFrame, text_col: str = "text", stop_words: tuple[str, ...] = STOP_WORDS) -> DataFrame:
     """`df` with the base counts and the counts that the rules use.
 
@@ -83,7 +91,7 @@ def measures(df: DataFrame, text_col: str = "text", stop_words: tuple[str, ...]
     d = d.select(
         "row", "w", "lines", "joined", "n_symbols",
         # places whose window equals the one before or after it in the sorted order
-        F.expr("transform(filter(g, (x, j) -> (j > 0 and x.h = get(g, j - 1).h) or x.h = get(g, j + 1).h), x -> x.i)").alias("p"),
+        F.expr(f"transform(filter(g, (x, j) -> (j > 0 and x.h = get(g, j - 1).h and {_same('get(g, j - 1).i')}) or (x.h = get(g, j + 1).h and {_same('get(g, j + 1).i')})), x -> x.i)").alias("p"),
     )
     d = d.select(
         "row",
