@@ -6,20 +6,24 @@ words (a shorter one is a single window). All windows go into one automaton;
 each document's normalised text is scanned once, matches are mapped to word
 places and from there to offsets in the original text.
 
-Memory: the automaton's size is measured before it is built. Up to
-`max_pattern_bytes` of windows it is one automaton for one scan; beyond, the
-windows are split into as many blocks as needed, each scanned in its own
-pass, and a document's hits are merged: exact at any benchmark size.
+Memory: the windows' size is measured before anything is sent. Up to
+`max_pattern_bytes` of them the benchmark texts are broadcast, and each
+worker builds one automaton, once, for one scan. Beyond, the texts are cut
+into pieces that overlap by a window less a word, so that each window is in
+one piece, however long an item is; pieces are dealt into blocks whose sizes
+are measured too, each block is scanned in its own pass, and a document's
+hits are merged: exact at any benchmark size.
 
 Defined results: null or empty texts have no words and no hits; benchmark
 items without words never match; equal items both match; items with a null id
-match and count as one; an empty benchmark hits nothing; repeated documents are judged alike. Extra columns, clashing
-names included, are left out.
+match and count as one; an empty benchmark hits nothing; repeated documents
+are judged alike. Extra columns, clashing names included, are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ALNUM_TABLE, map_arrow, narrow
+from quern.llm.common import ALNUM_TABLE, map_arrow, narrow, unused
 
 _HITS = "n_words long, hits array<struct<first:long,last:long>>, items array<string>"
 
@@ -60,6 +64,42 @@ def automaton(items: list[tuple[str | None, str | None]], size: int) -> ahocoras
     return a
 
 
+_BUILT: dict[str, ahocorasick.Automaton | None] = {}
+
+
+def automaton_of(name: str, items: list[tuple[str | None, str | None]], size: int) -> ahocorasick.Automaton | None:
+    """The automaton of one scan, built once in a worker; the last ones stay."""
+    if name not in _BUILT:
+        while len(_BUILT) >= 2:
+            _BUILT.pop(next(iter(_BUILT)))
+        _BUILT[name] = automaton(items, size)
+    return _BUILT[name]
+
+
+def blocks_of(benchmark: DataFrame, item_id: str, item_text: str, window: int, max_pattern_bytes: int) -> tuple[DataFrame, int]:
+    """(item, text, block) of the benchmark's texts, or of their pieces, and the number of blocks, none over the bound or two pieces."""
+    b = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text"))
+    # a text's windows are at most `window` times as long in sum as it is
+    size = (b.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * window
+    if size <= max_pattern_bytes:
+        return b.withColumn("block", F.lit(0)), 1
+    step = max(1, min(4096, max_pattern_bytes // (64 * window)))
+    words = F.filter(F.split(F.regexp_replace("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "), " "), lambda w: w != "")
+    d = b.select("item", words.alias("w")).where("size(w) > 0")
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(step))
+    d = d.select("item", "w", F.explode(starts).alias("at")).select("item", F.array_join(F.expr(f"slice(w, at + 1, {step + window - 1})"), " ").alias("text"))
+    length = F.octet_length("text") * window
+    total, longest = d.agg(F.sum(length), F.max(length)).first()
+    bound = max(max_pattern_bytes, 2 * (longest or 0))  # no block is less than a piece, however long its words
+    blocks = first = -(-3 * (total or 0) // (2 * bound)) or 1
+    while True:
+        dealt = d.withColumn("block", F.pmod(F.xxhash64("text", "item"), F.lit(blocks)))
+        largest = dealt.groupBy("block").agg(F.sum(length).alias("n")).agg(F.max("n")).first()[0] or 0
+        if largest <= bound or blocks >= 64 * first:  # equal pieces of equal items go together
+            return dealt, blocks
+        blocks *= 2
+
+
 def scan(a: ahocorasick.Automaton | None, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
     """Maximal runs [first, last] of hit words, and the items with a window in the text."""
     if a is None or not words:
@@ -100,18 +140,14 @@ def word_spans(text: str) -> list[tuple[int, int]]:
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, max_pattern_bytes: int = 64 << 20, with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, hits (runs of hit words), items (sorted as strings); with_text adds text."""
     d = narrow(docs, id_col, text_col)
-    b = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text"))
-    # a window is at most `window` times as long in sum as its text
-    size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size * window // max_pattern_bytes))
+    b, blocks = blocks_of(benchmark, item_id, item_text, window, max_pattern_bytes)
 
     def one(block: int) -> DataFrame:
-        part = b if blocks == 1 else b.where(F.pmod(F.xxhash64("text", "item"), F.lit(blocks)) == block)
-        items = [(r[0], r[1]) for r in part.collect()]  # bounded by max_pattern_bytes
-        shared = d.sparkSession.sparkContext.broadcast(items)
+        items = [(r["item"], r["text"]) for r in b.where(F.col("block") == block).collect()]  # bounded by max_pattern_bytes
+        shared, name = d.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            a = automaton(shared.value, window)
+            a = automaton_of(name, shared.value, window)
             for batch in batches:
                 n, runs, found = [], [], []
                 for text in batch.column(1):
@@ -139,6 +175,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     whole = one(0)
     for k in range(1, blocks):
         whole = whole.unionByName(one(k))
+    # equal rows are counted per block, and come back as often as they were
     merged = whole.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.count(F.lit(1)).alias("c"))
     join = "aggregate(h, cast(array() as array<struct<first:long,last:long>>), (a, x) -> if(size(a) > 0 and x.first <= element_at(a, -1).last + 1, concat(slice(a, 1, size(a) - 1), array(named_struct('first', element_at(a, -1).first, 'last', greatest(element_at(a, -1).last, x.last)))), concat(a, array(x))))"
     merged = merged.withColumn("hits", F.expr(join)).withColumn("c", F.explode(F.sequence(F.lit(1), (F.col("c") / blocks).cast("int"))))
@@ -177,19 +214,18 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     Rows pass through one scan, without a join. Beyond one block each distinct
     text is judged once, and rows go by their text alone, never by their id.
     """
-    b = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text"))
-    size = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size * window // max_pattern_bytes))
+    b, blocks = blocks_of(benchmark, item_id, item_text, window, max_pattern_bytes)
     if blocks > 1:
         texts = docs.select(F.md5(F.col(text_col).cast("string")).alias("doc_id"), F.col(text_col).cast("string").alias("text")).dropDuplicates(["doc_id"])
-        bad = decided(hits(texts, benchmark, "doc_id", "text", item_id, item_text, window, max_pattern_bytes)).where("contaminated").select(F.col("doc_id").alias("__bad"))
-        return docs.join(bad, F.md5(docs[text_col].cast("string")) == F.col("__bad"), "left_anti")
-    items = [(r[0], r[1]) for r in b.collect()]  # bounded by max_pattern_bytes
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+        name = unused("bad", docs)
+        bad = decided(hits(texts, benchmark, "doc_id", "text", item_id, item_text, window, max_pattern_bytes)).where("contaminated").select(F.col("doc_id").alias(name))
+        return docs.join(bad, F.md5(docs[text_col].cast("string")) == F.col(name), "left_anti")
+    items = [(r["item"], r["text"]) for r in b.collect()]  # bounded by max_pattern_bytes
+    shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(shared.value, window)
+        a = automaton_of(name, shared.value, window)
         for batch in batches:
             keep = []
             for text in batch.column(at):
