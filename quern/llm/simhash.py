@@ -10,8 +10,11 @@ sent to every anchor within 2 (covering radius plus the half's threshold of
 them, and are compared there.
 
 Equal fingerprints are merged before anything is sent, and an anchor's group
-gives a spanning forest of its links, never all its pairs. Components come
-from alternating stars over those edges.
+gives a spanning forest of its links, never all its pairs. Anchors near halves
+that more than `hot` fingerprints have are found beforehand; their groups are
+dealt by the four bytes of the other half before the exchange (of four bytes,
+three differing bits leave one equal), so that no task holds a hot group.
+Components come from alternating stars over those edges.
 
 Defined results: a null, empty or word-less text has fingerprint zero, which
 links like any other; repeated rows share a component; the component id is
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import map_arrow, narrow, persisted
+from quern.llm.common import map_arrow, narrow, persisted, unused
 from quern.llm.graph import components
 
 THRESHOLD = 3
@@ -110,18 +113,19 @@ def homes(fp: np.ndarray, side: int) -> np.ndarray:
 
 def replicas(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(key, fp) of every anchor within covering radius plus threshold, for both halves."""
-    keys, values = [], []
-    for side, half in enumerate(_halves(fp)):
-        s = _syndrome(half)
-        for k in range(32):
-            at = np.flatnonzero(s == k)
-            if len(at):
-                p = _PATTERNS[k]
-                keys.append(((half[at][:, None] ^ p[None, :]) | np.uint64(side << 32)).ravel())
-                values.append(np.repeat(fp[at], len(p)))
-    if not keys:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    return np.concatenate(keys), np.concatenate(values)
+    sides = [anchors_near(half, np.full(len(fp), side, np.uint64)) for side, half in enumerate(_halves(fp))]
+    return np.concatenate([key for key, _ in sides]), np.concatenate([fp[at] for _, at in sides])
+
+
+def anchors_near(half: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, index): the anchors within covering radius plus threshold of each half, which is one of the given side."""
+    s = _syndrome(half)
+    keys, index = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for k in np.unique(s).tolist():
+        at, p = np.flatnonzero(s == k), _PATTERNS[k]
+        keys.append(((half[at] | side[at] << np.uint64(32))[:, None] ^ p[None, :]).ravel())
+        index.append(np.repeat(at, len(p)))
+    return np.concatenate(keys), np.concatenate(index)
 
 
 def forest(u: np.ndarray, out: list[tuple[int, int]]) -> None:
@@ -153,49 +157,89 @@ def group_links(u: np.ndarray, side: int, out: list[tuple[int, int]], large: int
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, fp) in key order; a group may stretch over batches."""
+    """Rows (key, fp) in key order; a group may stretch over batches. The key's lowest 33 bits are the anchor's."""
 
     def done(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         out: list[tuple[int, int]] = []
         cut = np.flatnonzero(np.diff(key)) + 1
         starts, stops = np.concatenate(([0], cut)), np.concatenate((cut, [len(key)]))
-        side = (key >> np.uint64(32)).astype(np.int64)
+        side = ((key >> np.uint64(32)) & np.uint64(1)).astype(np.int64)
         home = np.zeros(len(key), bool)
         for k in (0, 1):
             at = side == k
-            home[at] = homes(fp[at], k) == key[at]
+            home[at] = homes(fp[at], k) == key[at] & np.uint64((1 << 33) - 1)
         has = np.add.reduceat(home, starts) > 0 if len(key) else np.empty(0, bool)
         for i in np.flatnonzero(has & (stops - starts > 1)):
             group_links(fp[starts[i] : stops[i]], int(side[starts[i]]), out)
         ab = np.array(sorted(set(out)), np.uint64).reshape(-1, 2).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
 
-    key, fp = np.empty(0, np.uint64), np.empty(0, np.uint64)
+    keys: list[np.ndarray] = []  # of the group that may go on; joined once, when it ends
+    fps: list[np.ndarray] = []
     for batch in batches:
-        key = np.concatenate((key, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
-        fp = np.concatenate((fp, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
+        key = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        fp = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
         if not len(key):
             continue
-        whole = int(np.searchsorted(key, key[-1]))  # the last group may go on
-        if whole:
-            yield done(key[:whole], fp[:whole])
-            key, fp = key[whole:], fp[whole:]
-    if len(key):
-        yield done(key, fp)
+        if keys and key[-1] == keys[0][0]:
+            keys.append(key)
+            fps.append(fp)
+            continue
+        whole = int(np.searchsorted(key, key[-1]))
+        if keys or whole:
+            yield done(np.concatenate([*keys, key[:whole]]), np.concatenate([*fps, fp[:whole]]))
+        keys, fps = [key[whole:]], [fp[whole:]]
+    if keys:
+        yield done(np.concatenate(keys), np.concatenate(fps))
+
+
+def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False).view(np.uint64) for c in batch.columns]
+
+
+def _keyed(key: np.ndarray, fp: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (key, fp, *more)], ["key", "fp", "part"][: 2 + len(more)])
 
 
-def links(prints: DataFrame, fp: str = "fp") -> DataFrame:
+def links(prints: DataFrame, fp: str = "fp", hot: int = 1 << 16) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that connect all that are linked."""
-    distinct = prints.select(F.col(fp).alias("fp")).distinct()
+    distinct = persisted(prints.select(F.col(fp).alias("fp")).distinct())
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, value = replicas(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(value.view(np.int64))], ["key", "fp"])
+            yield _keyed(*replicas(_columns(batch)[0]))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            half, n = _columns(batch)
+            key, at = anchors_near(half & np.uint64(0xFFFFFFFF), half >> np.uint64(32))
+            yield _keyed(key, n[at])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, u = _columns(batch)
+            side = (key >> np.uint64(32)) & np.uint64(1)
+            other = np.where(side == 0, u >> np.uint64(32), u & np.uint64(0xFFFFFFFF))
+            for k in range(4):  # the group of an anchor and a byte of the other half
+                yield _keyed(key, u, np.uint64(k << 8) | (other >> np.uint64(8 * k)) & np.uint64(255))
 
     sent = map_arrow(distinct, spread, "key long, fp long")
+    # 529 halves are near an anchor: one of more than 2 `hot` fingerprints has more than `hot` from halves of more than hot / 529
+    low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", 32) + F.lit(1 << 32)
+    heavy = distinct.select(F.explode(F.array(low, high)).alias("half")).groupBy("half").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot / 529)
+    crowded = map_arrow(heavy, near, "key long, fp long").groupBy("key").agg(F.sum("fp").alias("n")).where(F.col("n") > hot)
+    crowded = persisted(crowded.select(F.col("key").alias("crowd")))
+    cool = sent
+    if not crowded.isEmpty():
+        cool = sent.join(crowded, F.col("key") == F.col("crowd"), "left_anti")
     # keys are below 2^33, so their signed order is their unsigned order
-    return map_arrow(sent.repartition(F.col("key")).sortWithinPartitions("key"), _compare, "a long, b long")
+    found = map_arrow(cool.repartition(F.col("key")).sortWithinPartitions("key"), _compare, "a long, b long")
+    if cool is sent:
+        return found
+    dealt = map_arrow(sent.join(crowded, F.col("key") == F.col("crowd"), "left_semi"), deal, "key long, fp long, part long")
+    # the part goes above the key's 33 bits, so that a group is one run of equal numbers again
+    dealt = dealt.select((F.col("part") * F.lit(1 << 33) + F.col("key")).alias("key"), "fp")
+    return found.unionByName(map_arrow(dealt.repartition(F.col("key")).sortWithinPartitions("key"), _compare, "a long, b long"))
 
 
 def _firsts(prints: DataFrame, least: Column) -> DataFrame:
@@ -224,12 +268,16 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prints = persisted(fingerprints(docs, id_col, text_col, with_digest=True))
     ids = _firsts(prints, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")))
     first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
-    found = persisted(prints.join(ids, F.col("fp") == F.col("k")).select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), first.alias("__first")))
-    same_row = docs[id_col].eqNullSafe(F.col("__id")) & (_digest(docs[text_col]) == F.col("__digest"))
-    kept = docs.join(found.where("NOT __first").select("__id", "__digest").distinct(), same_row, "left_anti")
-    twice = persisted(found.where("__first").groupBy("__id", "__digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    found = persisted(prints.join(ids, F.col("fp") == F.col("k")).select("doc_id", "digest", first.alias("first")))
+    row, own = unused("row_id", docs), unused("row_digest", docs)  # names that no column of `docs` has
+    found = found.select(F.col("doc_id").alias(row), F.col("digest").alias(own), "first")
+
+    def is_row(d: DataFrame) -> Column:
+        return d[id_col].eqNullSafe(F.col(row)) & (_digest(d[text_col]) == F.col(own))
+
+    kept = docs.join(found.where("NOT first").select(row, own).distinct(), is_row(docs), "left_anti")
+    twice = persisted(found.where("first").groupBy(row, own).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     if twice.isEmpty():
         return kept
-    ids_twice = kept[id_col].eqNullSafe(F.col("__id")) & (_digest(kept[text_col]) == F.col("__digest"))
-    same = kept.join(twice, ids_twice, "left_semi").withColumn("__digest", _digest(F.col(text_col))).dropDuplicates([id_col, "__digest"]).drop("__digest")
-    return kept.join(twice, ids_twice, "left_anti").unionByName(same)
+    same = kept.join(twice, is_row(kept), "left_semi").withColumn(own, _digest(F.col(text_col))).dropDuplicates([id_col, own]).drop(own)
+    return kept.join(twice, is_row(kept), "left_anti").unionByName(same)
