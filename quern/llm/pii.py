@@ -5,7 +5,10 @@ E-mail addresses, IPv4 addresses, payment card numbers (Luhn), IBANs
 within the set of values of its own format: a card number stays a valid card
 number, a date a date, an address keeps its length, letters and digits. The
 permutation depends only on the key and the value, so equal values get equal
-pseudonyms in every document, with no table to share and no exchange.
+pseudonyms in every document, with no table to share and no exchange. A date
+gets one pseudonym however it is spelt: days up to the 12th are permuted among
+themselves and so are the others, so that a date that reads day first or
+month first reads so again and no two dates of a spelling become one.
 
 The permutation is a ten-round Feistel network over the next even number of
 bits, walked until it falls into the set again, so it is one-to-one. (A value
@@ -13,28 +16,50 @@ is its own pseudonym with a chance of one in the size of its set.)
 
 Defined results: null stays null, empty stays empty; a value that fails
 validation (a wrong check digit, a date of a 13th month, an octet over 255)
-is no PII and stays; secrets may be of any length; a date may have its month's
+is no PII and stays; digits are ASCII ones; secrets may be of any length; a date may have its month's
 English name; an IBAN ends where it is valid, whatever follows; of overlapping finds the earlier, then the longer counts.
 Repeated rows change alike. All columns stay; only the text changes.
 """
 
 from __future__ import annotations
 
-import calendar
 import datetime
 import hashlib
 import re
+import secrets
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from quern.llm.common import map_arrow, narrow
-from pyspark.sql import types as T
 
 ROUNDS = 10
 
 
+_OWN_KEYS: dict[str, bytes] = {}
+
+
+def as_key(secret: bytes) -> bytes:
+    """A key of any length as one the hash takes whole; none is empty."""
+    if not secret:
+        raise ValueError("the key of the pseudonyms is empty")
+    return secret if len(secret) <= 64 else hashlib.blake2b(secret).digest()
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The session's `quern.pii.key`; without one, a random key that lasts as long as the application.
+
+    Pseudonyms of different applications link only under a key that is set.
+    """
+    given = spark.conf.get("quern.pii.key", None)
+    if given is not None:
+        return as_key(given.encode())
+    return _OWN_KEYS.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
 def permute(value: int, size: int, key: bytes, tweak: bytes) -> int:
     """A keyed one-to-one map of range(size)."""
     if size <= 1:
@@ -55,11 +80,37 @@ def permute(value: int, size: int, key: bytes, tweak: bytes) -> int:
     return x
 
 
+_DIGITS = frozenset("0123456789")
+
+
+def digits_of(s: str) -> str:
+    return "".join(c for c in s if c in _DIGITS)
+
+
+def _with_digits(s: str, digits: str) -> str:
+    """`s` with other digits; what stands between them stays."""
+    new = iter(digits)
+    return "".join(next(new) if c in _DIGITS else c for c in s)
+
+
 def _digits(s: str, key: bytes, tweak: bytes) -> str:
-    """Digits permuted among all strings of as many digits; what stands between them stays."""
-    ds = [c for c in s if c.isdigit()]
-    new = iter(str(permute(int("".join(ds)), 10 ** len(ds), key, tweak + bytes([len(ds)]))).zfill(len(ds)))
-    return "".join(next(new) if c.isdigit() else c for c in s)
+    """Digits permuted among all strings of as many digits."""
+    ds = digits_of(s)
+    return _with_digits(s, str(permute(int(ds), 10 ** len(ds), key, tweak + bytes([len(ds)]))).zfill(len(ds)))
+
+
+#: Social security numbers: areas 001 to 899 but 666, groups 01 to 99, serials 0001 to 9999.
+_AREAS, _GROUPS, _SERIALS = 898, 99, 9999
+
+
+def _ssn(s: str, key: bytes) -> str:
+    """A valid number becomes a valid number."""
+    area, group, serial = int(s[:3]), int(s[4:6]), int(s[7:])
+    value = ((area - 1 - (area > 666)) * _GROUPS + group - 1) * _SERIALS + serial - 1
+    rest, serial = divmod(permute(value, _AREAS * _GROUPS * _SERIALS, key, b"ssn"), _SERIALS)
+    area, group = divmod(rest, _GROUPS)
+    area += 1 + (area >= 665)
+    return f"{area:03d}-{group + 1:02d}-{serial + 1:04d}"
 
 
 def luhn_digit(body: str) -> str:
@@ -72,12 +123,11 @@ def luhn_digit(body: str) -> str:
 
 def _card(s: str, key: bytes) -> str | None:
     """A valid number keeps its first digit, its length and its validity; any other is no card number."""
-    ds = [c for c in s if c.isdigit()]
-    if luhn_digit("".join(ds[:-1])) != ds[-1]:
+    ds = digits_of(s)
+    if luhn_digit(ds[:-1]) != ds[-1]:
         return None
-    body = ds[0] + _digits("".join(ds[1:-1]), key, b"card" + ds[0].encode())
-    new = iter(body + luhn_digit(body))
-    return "".join(next(new) if c.isdigit() else c for c in s)
+    body = ds[0] + _digits(ds[1:-1], key, b"card" + ds[0].encode())
+    return _with_digits(s, body + luhn_digit(body))
 
 
 #: The octets of one, two and three digits.
@@ -154,41 +204,67 @@ def _email(s: str, key: bytes) -> str:
 
 
 def _credential(s: str, key: bytes) -> str:
-    if all(c in _HEX for c in s):
+    """One of hexadecimal digits alone stays such, and no other becomes one; a known beginning stays."""
+    if known := _KNOWN.match(s):
+        return known[0] + _template(s[known.end() :], key, known[0].encode())
+    if _is_hex(s):
         return _template(s, key, b"hex", {c: (_HEX, i) for i, c in enumerate(_HEX)})
-    return _template(s, key, b"credential")
+    s = _template(s, key, b"credential")
+    while _is_hex(s) or _KNOWN.match(s):
+        s = _template(s, key, b"credential")
+    return s
+
+
+_KNOWN = re.compile("AKIA|gh[pousr]_|sk-")
+
 
+def _is_hex(s: str) -> bool:
+    return all(c in _HEX for c in s)
 
-_FIRST, _DAYS = datetime.date(1900, 1, 1), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
-_MONTHS = [m.lower() for m in calendar.month_name[1:]]
 
+_MONTHS = "january february march april may june july august september october november december".split()
 
-def _moved(d: datetime.date, key: bytes) -> datetime.date:
-    return _FIRST + datetime.timedelta(permute((d - _FIRST).days, _DAYS, key, b"date"))
+
+@lru_cache(maxsize=1)
+def _calendar() -> tuple[list[datetime.date], dict[datetime.date, int], int]:
+    """The dates of 1900 to 2099, days up to the 12th first; each date's place; and how many go first."""
+    first = datetime.date(1900, 1, 1)
+    dates = [first + datetime.timedelta(i) for i in range((datetime.date(2100, 1, 1) - first).days)]
+    dates.sort(key=lambda d: d.day > 12)
+    return dates, {d: i for i, d in enumerate(dates)}, sum(d.day <= 12 for d in dates)
+
+
+def _moved(d: datetime.date, key: bytes) -> datetime.date | None:
+    """The pseudonym of a date of the years 1900 to 2099; a day up to the 12th stays one."""
+    dates, place, low = _calendar()
+    at = place.get(d)
+    if at is None:
+        return None
+    return dates[permute(at, low, key, b"date") if at < low else low + permute(at - low, len(dates) - low, key, b"late date")]
 
 
 def _date(s: str, key: bytes) -> str | None:
     """A date of the years 1900 to 2099 becomes another, written alike; None if there is no such date."""
-    a, b, c = (int(x) for x in re.findall(r"\d+", s))
-    year_first = re.match(r"\d{4}", s) is not None
+    a, b, c = (int(x) for x in re.findall(r"[0-9]+", s))
+    seps = re.findall(r"[^0-9]", s)
+    year_first = s.index(seps[0]) == 4
     y, m, d = (a, b, c) if year_first else (c, b, a)
     swapped = not year_first and m > 12 >= d  # month first
     if swapped:
         m, d = d, m
     try:
         new = _moved(datetime.date(y, m, d), key)
-    except (ValueError, OverflowError):
+    except ValueError:
         return None
-    if not 1900 <= y < 2100:
+    if new is None:
         return None
-    seps = re.findall(r"\D", s)
     parts = [f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"] if year_first else [f"{new.month:02d}", f"{new.day:02d}", f"{new.year:04d}"] if swapped else [f"{new.day:02d}", f"{new.month:02d}", f"{new.year:04d}"]
     return parts[0] + seps[0] + parts[1] + seps[1] + parts[2]
 
 
 _NAMES = {name: (i + 1, short) for i, m in enumerate(_MONTHS) for name, short in ((m, False), (m[:3], m != "may"), *((("sept", True),) if m == "september" else ()))}
 _NAME = "|".join(sorted(_NAMES, key=len, reverse=True))
-_NAMED = rf"""(?<![\w./-])(?:(?P<d>\d{{1,2}})(?P<o>st|nd|rd|th)?(?:\.?\s+(?:of\s+)?|-)(?P<m>{_NAME})\b(?:\.?,?\s+|-)|(?P<m2>{_NAME})\b\.?\s+(?P<d2>\d{{1,2}})(?P<o2>st|nd|rd|th)?(?:\s*,\s*|\s+))(?P<y>\d{{4}})(?![\w]|[./-]\d)"""
+_NAMED = rf"""(?<![\w./-])(?:(?P<d>[0-9]{{1,2}})(?P<o>st|nd|rd|th)?(?:\.?\s+(?:of\s+)?|-)(?P<m>{_NAME})\b(?:\.?,?\s+|-)|(?P<m2>{_NAME})\b\.?\s+(?P<d2>[0-9]{{1,2}})(?P<o2>st|nd|rd|th)?(?:\s*,\s*|\s+))(?P<y>[0-9]{{4}})(?![\w]|[./-][0-9])"""
 _NAMED_DATE = re.compile(_NAMED, re.I | re.A)
 
 
@@ -201,9 +277,9 @@ def _named_date(s: str, key: bytes) -> str | None:
         old = datetime.date(int(x["y"]), number, int(x[day]))
     except ValueError:
         return None
-    if not 1900 <= old.year < 2100:
-        return None
     new = _moved(old, key)
+    if new is None:
+        return None
     name = _MONTHS[new.month - 1]
     name = name[:3] if short else name
     name = name.upper() if x[month].isupper() else name.capitalize() if x[month][0].isupper() else name
@@ -248,7 +324,7 @@ def _iban_mod(flat: str) -> int:
 
 
 def _iban_ok(flat: str) -> bool:
-    return 15 <= len(flat) <= 34 and _iban_mod(flat) == 1
+    return 15 <= len(flat) <= 34 and "02" <= flat[2:4] <= "98" and _iban_mod(flat) == 1
 
 
 def _iban(s: str, key: bytes) -> str | None:
@@ -263,15 +339,15 @@ def _iban(s: str, key: bytes) -> str | None:
 
 #: Kind, pattern, and what gives the pseudonym (None: no PII after all). Earlier kinds go first at the same place.
 KINDS: tuple[tuple[str, re.Pattern, Callable[[str, bytes], str | None]], ...] = (
-    ("email", re.compile(r"[^\W_][\w.+%-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}"), _email),
+    ("email", re.compile(r"(?<![\w.+%-])[_.+%-]*(?P<v>[^\W_][\w.+%-]*)@[A-Za-z0-9](?:[A-Za-z0-9-]*\.)+[A-Za-z]{2,}"), _email),
     ("credential", re.compile(r"(?P<known>(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,})(?![0-9A-Za-z]))|(?<=[\"'])[^\s\"']{8,}(?=[\"'])(?<!\s)"), _credential),
-    ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"), _iban),
-    ("ip", re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"), _ip),
-    ("date", re.compile(r"(?<![\d./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\d]|[./-]\d)"), _date),
+    ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])"), _iban),
+    ("ip", re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"), _ip),
+    ("date", re.compile(r"(?<![0-9./-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9]|[./-][0-9])"), _date),
     ("date", _NAMED_DATE, _named_date),
-    ("ssn", re.compile(r"(?<![\d-])(?!000|666|9\d\d)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d-])"), lambda s, key: _digits(s, key, b"ssn")),
-    ("card", re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{5})(?!\d)"), _card),
-    ("phone", re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?\(\d{1,4}\)[ .-]?\d{2,4}[ .-]\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\1\d{4})(?!\d|\.\d)"), lambda s, key: _digits(s, key, b"phone")),
+    ("ssn", re.compile(r"(?<![0-9-])(?!000|666|9[0-9][0-9])[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"), _ssn),
+    ("card", re.compile(r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9])"), _card),
+    ("phone", re.compile(r"(?<![\w.])(?:\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{2,4}[ .-][0-9]{3,4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([.-])[0-9]{3}\1[0-9]{4})(?![0-9]|\.[0-9])"), lambda s, key: _digits(s, key, b"phone")),
 )
 _ASSIGN = re.compile(r"(?i)(?:key|token|secret|password|passwd|pwd|bearer|auth)\w*\s*[:=]?\s*$")
 _GATE = re.compile(r"[0-9@]|[\"']")
@@ -280,7 +356,7 @@ _GATE = re.compile(r"[0-9@]|[\"']")
 def _find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of what is replaced, in order, without overlaps."""
     got = []
-    has_at, has_digit = "@" in text, re.search(r"\d", text) is not None
+    has_at, has_digit = "@" in text, re.search("[0-9]", text) is not None
     for order, (kind, pattern, fn) in enumerate(KINDS):
         if kind == "email" and not has_at or kind not in ("email", "credential") and not has_digit:
             continue
@@ -288,10 +364,11 @@ def _find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
             got.extend((a, -b, order, b, kind, text[a:b], fn) for a, b in _ibans(text, pattern))
             continue
         for m in pattern.finditer(text):
-            s = m[0]
+            start = m.start("v") if kind == "email" else m.start()  # a run of such characters is read once, from its beginning
+            s = text[start : m.end()]
             if kind == "credential" and m["known"] is None and not _ASSIGN.search(text, max(0, m.start() - 60), m.start() - 1):
                 continue
-            got.append((m.start(), -m.end(), order, m.end(), kind, s, fn))
+            got.append((start, -m.end(), order, m.end(), kind, s, fn))
     got.sort(key=lambda x: x[:3])
     out, last = [], 0
     for start, _, _, end, kind, s, fn in got:
@@ -319,7 +396,7 @@ def pseudonymise(text: str | None, key: bytes) -> tuple[str | None, list[tuple[i
 
 def findings(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, text (with pseudonyms), n_pii, kinds (of each find, in order), spans in the original."""
-    d = narrow(docs, id_col, text_col)
+    d, key = narrow(docs, id_col, text_col), as_key(key)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +412,7 @@ def findings(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str
 
 def replace(docs: DataFrame, key: bytes, text_col: str = "text") -> DataFrame:
     """`docs`, all rows and columns, with pseudonyms in the text."""
-    at = docs.columns.index(text_col)
+    at, key = docs.columns.index(text_col), as_key(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

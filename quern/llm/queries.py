@@ -139,14 +139,9 @@ def op10_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_crc("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
-def pii_key(spark: SparkSession) -> bytes:
-    """The session's `quern.pii.key`; the default only links values within tests and checks."""
-    return spark.conf.get("quern.pii.key", "no key was set").encode()[:64]
-
-
 @query
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.findings(table(spark, sf_dir, "documents"), pii_key(spark))
+    found = pii.findings(table(spark, sf_dir, "documents"), pii.session_key(spark))
     return found.select("doc_id", "text", "n_pii", F.array_join("kinds", ",").alias("kinds"))
 
 
