@@ -6,10 +6,11 @@ likelihood of the lines' labels (a line has its document's) over a bounded
 sample of labelled documents; forward-backward gives each line's marginal of
 good, and the length-weighted mean of the marginals is the document's score.
 
-Bounds: at most `max_docs` labelled documents of at most `max_chars`
-characters are learned from, chosen by a hash of the id. Scoring reads whole
-texts; a batch is cut by lines, so memory follows the batch, and one very
-long text is one long lane of a few numbers a line.
+Bounds: at most `max_docs` labelled documents are learned from, chosen by a
+hash of the id, and of each at most its first `max_chars` characters. Scoring
+reads whole texts; a batch is cut into parts of at most `PART_DOCS` documents
+and `PART_CHARS` characters, but for one text that is longer by itself, so
+memory follows the longest text.
 
 Defined results: a text without a word has the score `empty_score`; without
 labelled documents every score is 0.5; ties and repeated rows score alike;
@@ -25,11 +26,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.quality_rules import STOP_WORDS
 
+PART_DOCS, PART_CHARS = 512, 1 << 22
 _STOP = frozenset(w.encode() for w in STOP_WORDS)
 _LINE = re.compile(rb"[^\n]+")
 #: Byte classes that are counted in a line.
@@ -203,7 +206,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_
     if not y:
         return fit([], [])
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    texts = texts.where(F.col("doc_id").isin(list(y))).where(F.length("text") <= max_chars)
+    texts = texts.where(F.col("doc_id").isin(list(y))).withColumn("text", F.left("text", F.lit(max_chars)))
     texts = texts.groupBy("doc_id").agg(F.max("text").alias("text"))  # repeated rows count once
     got = sorted((r["doc_id"], r["text"]) for r in texts.collect())  # at most max_docs texts of max_chars
     return fit([with_neighbours(line_features(t)[0]) for _, t in got], [y[i] for i, _ in got])
@@ -223,6 +226,18 @@ def scores(crf: Crf, texts: list[str | None]) -> np.ndarray:
     return np.clip(out, 0.0, 1.0)
 
 
+def parts_of(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, rows) of the parts of a batch."""
+    start, size = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
+        if i > start and (i - start >= PART_DOCS or size + n > PART_CHARS):
+            yield start, i - start
+            start, size = i, 0
+        size += n
+    if start < len(texts):
+        yield start, len(texts) - start
+
+
 def line_marginals(crf: Crf, text: str | None) -> list[float]:
     """Each line's probability of good, for inspection."""
     x, size = line_features(text)
@@ -238,8 +253,8 @@ def score(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at, n in parts_of(batch.column(1)):
+                part = batch.slice(at, n)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores(shared.value, part.column(1).to_pylist()), pa.float64())], ["doc_id", "score"])
 
     return map_arrow(d, run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, score double")
