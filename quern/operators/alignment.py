@@ -15,9 +15,17 @@ from pyspark.sql import functions as F
 _NUMBER = re.compile(r"\d+(?:[./]\d+)?[½⅓⅔¼¾⅕⅙⅚⅛⅜⅝⅞]?|[½⅓⅔¼¾⅕⅙⅚⅛⅜⅝⅞]")
 _TOKEN = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*|<gap>")
 _NUMERIC_GAP = re.compile(r"(?:\d|[½⅓⅔¼¾⅚⅙])\s*<gap>|<gap>\s*(?:ma-na|gín|gin2|gú|shekel|mina|talent)", re.I)
-#: Words at which a sentence cannot end, and words at which one rarely starts.
-HANGING = frozenset("a an the of to in on at for from with by and or but as that which who whose than into upon his her their my your our its".split())
-MIDDLE = frozenset("and or but of to with by from which who whose that than".split())
+#: Words at which a sentence cannot end, at which one rarely starts, and that are English wherever they stand.
+HANGING = frozenset(
+    "a an and as at because by for from if in into is my of on or our since that the their then these this those to we when while with without your".split()
+)
+MIDDLE = HANGING | {"don't", "not", "there"}
+ENGLISH = (
+    "about after and because before between could during from have into should the that their there them then these this those through under upon were which while with without would".split()
+)
+ESCAPE = re.compile(r"""(^|[\s"'(\[{])n(?=[A-Z0-9])""")
+TERMINAL = re.compile(r"""(?:[.!?;:]|<gap>)(?:["')\]]+)?$""")
+LETTERS = re.compile("[A-Za-zÀ-ÿḫḪšŠṣṢṭṬ]+")
 
 
 def tokens(text: str) -> list[str]:
@@ -82,19 +90,18 @@ def hard_reason(source: str, target: str, pairs: list[dict], *, precision: float
 
 def boundary_reason(pairs: list[dict]) -> str:
     """Why the cuts are in the wrong places; empty if they are not."""
-    for i, p in enumerate(pairs):
-        text = " ".join(p["target"].split())
+    targets = [" ".join(p["target"].split()) for p in pairs]
+    for text, after in zip(targets, [*targets[1:], None], strict=True):
         if not text:
             return "empty_target"
-        if re.search(r"\\[nrt\"]", text):
+        if ESCAPE.search(text):
             return "escape_artifact"
-        if i == len(pairs) - 1:
-            continue
-        ws = re.findall(r"[A-Za-z]+", text)
-        nxt = re.findall(r"[A-Za-z]+", pairs[i + 1]["target"])
-        if ws and ws[-1].lower() in HANGING:
+        if after is None:
+            break
+        own, following = LETTERS.findall(text), LETTERS.findall(after)
+        if own and own[-1].lower() in HANGING:
             return "hanging_boundary"
-        if nxt and nxt[0].lower() in MIDDLE and not re.search(r"[.!?;:][\"'”’)]*$", text):
+        if following and following[0].lower() in MIDDLE and not TERMINAL.search(text):
             return "mid_sentence_split"
     return ""
 
@@ -154,8 +161,10 @@ def keep_records(df: DataFrame, key: str) -> DataFrame:
     return df.where("keep").select(key, F.posexplode("pairs").alias("index", "p")).select(key, "index", F.col("p.source").alias("source_text"), F.col("p.target").alias("target_text"))
 
 
-def english_in_source(text: Column, stop: tuple[str, ...] = ("the", "of", "and", "to", "from", "with", "for", "that")) -> Column:
-    return F.arrays_overlap(F.split(F.lower(text), r"\s+"), F.array(*map(F.lit, stop)))
+def english_in_source(text: Column, stop: tuple[str, ...] = tuple(ENGLISH)) -> Column:
+    """Whether an English word of three letters or more stands in a source; hyphens are left out first."""
+    found = F.regexp_extract_all(F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("-"), F.lit("")), F.lit("([a-z]{3,})"), 1)
+    return F.arrays_overlap(found, F.array(*map(F.lit, stop)))
 
 
 def best_window(part: str, source: list[str], start: int = 0) -> tuple[int, int]:
@@ -185,10 +194,49 @@ def resliced(pairs: list[dict], source: str) -> list[dict]:
     return out
 
 
-def suspicious_forms(text: Column, letters: str = "a-zšṣṭḫāēīūâêîûáàéèíìúù") -> Column:
-    """Words of a source text, in order, with letters that such texts do not have."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w.rlike(rf"[^{letters}0-9.\-{{}}<>½⅓⅔¼¾⅚⅙]"))
-    return F.array_sort(F.array_distinct(words))
+#: Thirds spelt as decimals, and words with a digit below the line.
+ODD_DECIMAL = r"(\b\d*\.(?:3333\d*|6666\d*)\b)"
+ODD_WORD = r"(\S*[₀₁₂₃₄₅₆₇₈₉]\S*)"
+
+
+def suspicious_forms(text: Column) -> Column:
+    """struct<decimals,subscripts>: the distinct odd forms of a text, in alphabetical order."""
+    t = F.coalesce(text, F.lit(""))
+
+    def found(pattern: str) -> Column:
+        return F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(f"(?U){pattern}"), 1)))
+
+    return F.struct(found(ODD_DECIMAL).alias("decimals"), found(ODD_WORD).alias("subscripts"))
+
+
+def suspicious_pairs(df: DataFrame, key: str, pairs: str) -> DataFrame:
+    """(key, sentence, source_forms, target_forms, source, target) of the sentences of an array of pairs that have an odd form, numbered from 1."""
+    d = df.select(key, F.posexplode(pairs).alias("place", "p"))
+    d = d.select(key, (F.col("place") + 1).alias("sentence"), suspicious_forms(F.col("p.source")).alias("source_forms"), suspicious_forms(F.col("p.target")).alias("target_forms"), F.col("p.source").alias("source"), F.col("p.target").alias("target"))
+    return d.where(" OR ".join(f"size({side}_forms.{kind}) > 0" for side in ("source", "target") for kind in ("decimals", "subscripts")))
+
+
+def word_tokens(text: Column) -> Column:
+    """How many runs of letters and digits, with the marks that join them."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"(?U)[\w]+"))
+
+
+def number_list(text: Column) -> Column:
+    """The numbers of a text in their order, fractions after them included."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\d+(?:[./]\d+)?[½⅓⅔¼¾⅕⅙⅚⅛⅜⅝⅞]?|[½⅓⅔¼¾⅕⅙⅚⅛⅜⅝⅞])"), 1)
+
+
+def debug_event(df: DataFrame, key: str, answer: str, source: str, target: str, retries: str | None = None, most: int = 8000) -> DataFrame:
+    """(key, event): what is known of an alignment as JSON: its texts and answer, cut with a note, the verdict, and its odd forms."""
+    from quern.functions.records import cut_with_note
+
+    forms = F.struct(suspicious_forms(F.col(source)).alias("source"), suspicious_forms(F.col(target)).alias("target"))
+    status = F.when(F.col("keep"), "aligned").otherwise("rejected")
+    event = F.struct(
+        F.col(key).alias("id"), status.alias("status"), F.col("reason"), (F.col(retries) if retries else F.lit(0)).alias("retries"), F.size("pairs").alias("sentences"),
+        cut_with_note(F.col(source), most).alias("source"), cut_with_note(F.col(target), most).alias("target"), cut_with_note(F.col(answer), most).alias("answer"), forms.alias("forms"),
+    )
+    return df.select(key, F.to_json(event).alias("event"))
 
 
 def reject_records(df: DataFrame, key: str) -> DataFrame:

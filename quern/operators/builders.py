@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.text import squeeze
 from quern.operators.joins import unambiguous
+from quern.operators.windows import bucket_number
 
 
 def preference_pairs(chosen: DataFrame, rejected: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -19,15 +20,14 @@ def preference_pairs(chosen: DataFrame, rejected: DataFrame, keys: list[str], te
     return clean(chosen, "chosen").join(clean(rejected, "rejected"), keys).where("chosen <> rejected")
 
 
-def shifted_negatives(df: DataFrame, order: str, text: str, buckets: int = 64) -> DataFrame:
-    """Adds `rejected`: another row's text. Rows go round in a circle within buckets of the order's hash, so no window holds them all.
+def shifted_negatives(df: DataFrame, order: str, text: str, rows: int = 4096) -> DataFrame:
+    """Adds `rejected`: another row's text. Rows go round in a circle within buckets of `rows` rows in order, of which there are as many as the table needs.
 
     A text equal to the row's own gives way to the one after it. A row of a
     bucket of its own, or among equals, gets none (null).
     """
-    b = F.pmod(F.xxhash64(order), F.lit(buckets))
     w = Window.partitionBy("__b").orderBy(order)
-    d = df.withColumn("__b", b)
+    d = bucket_number(df, order, rows).withColumnRenamed("bucket", "__b")
     # the first two of a bucket follow its last
     heads = d.withColumn("__i", F.row_number().over(w)).where("__i <= 2").groupBy("__b").agg(F.max(F.when(F.col("__i") == 1, F.col(text))).alias("__h1"), F.max(F.when(F.col("__i") == 2, F.col(text))).alias("__h2")).withColumnRenamed("__b", "__c")
     d = d.withColumns({"__n1": F.lead(text, 1).over(w), "__n2": F.lead(text, 2).over(w)}).join(heads, F.col("__b") == F.col("__c"))

@@ -56,8 +56,8 @@ def chosen(candidates: Column, metric: str = "weighted", pool: int | None = None
     return run(candidates)
 
 
-def consensus(df: DataFrame, key: str, order: str, text: str, metric: str = "weighted", pool: int = 32) -> DataFrame:
-    """(key, text, score, candidates) for each key's rows; at most `pool` distinct candidates in order enter a choice, as its cost grows with their square."""
+def consensus(df: DataFrame, key: str, order: str, text: str, metric: str = "weighted", pool: int | None = None) -> DataFrame:
+    """(key, text, score, candidates) for each key's rows. All distinct candidates enter a choice, whose cost grows with their square; a `pool` takes the first in order alone."""
     c = F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text])
     g = df.where(F.col(text).isNotNull()).groupBy(key).agg(c.alias("c"))
     return g.select(key, chosen(F.col("c"), metric, pool).alias("x"), F.size("c").alias("candidates")).select(key, "x.*", "candidates")

@@ -2,36 +2,105 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from quern.functions.text import let, words
+from quern.operators import windows
 
+#: Rows of a table that may be sent to every task; larger ones are joined by an exchange.
+SMALL = 1_000_000
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, term, tf, size): each document's terms with their counts and its length; made within the row."""
+
+def _small(df: DataFrame) -> DataFrame:
+    """`df` with a broadcast hint if it has at most SMALL rows, which are counted without reading more."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
+def asked_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
+    """(query, term, times) of the queries' words."""
+    return queries.select(F.col(query).alias("query"), F.explode(words(F.lower(text))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times"))
+
+
+def postings(docs: DataFrame, key: str, text: str, terms: DataFrame | None = None) -> DataFrame:
+    """(doc, term, tf, size): each document's terms with their counts and its length; only those asked for, if any are given."""
     d = docs.select(F.col(key).alias("doc"), words(F.lower(text)).alias("w")).select("doc", F.size("w").alias("size"), F.explode("w").alias("term"))
+    if terms is not None:
+        d = d.join(terms.select(F.col("term").alias("asked")).distinct(), F.col("term") == F.col("asked"), "left_semi")
     return d.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("size").alias("size"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query: str = "item_id", query_text: str = "text", k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
+class Index:
+    """What BM25 needs of the documents for some queries: their weighed terms and the postings of those."""
+
+    def __init__(self, docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query: str = "item_id", query_text: str = "text", k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> None:
+        self.k1, self.b = k1, b
+        w = docs.select(words(F.lower(text)).alias("w"))
+        sizes = w.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avg")).first()
+        self.n, self.average = sizes["n"], sizes["avg"] or 0.0
+        asked = asked_terms(queries, query, query_text)
+        # every word's documents count for the mean; distinct words of a row are counted where they lie
+        df = w.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        idf = df.select("term", "df", (F.log(self.n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+        mean = idf.agg(F.avg("raw")).first()[0] or 0.0
+        weight = F.when(F.col("raw") < 0, floor * mean).otherwise(F.col("raw"))
+        terms = asked.join(idf.withColumnRenamed("term", "t"), F.col("term") == F.col("t")).select("query", "term", "times", "df", weight.alias("idf"))
+        self.terms = terms.persist(StorageLevel.DISK_ONLY)
+        self.postings = postings(docs, key, text, _small(asked.select("term").distinct())).persist(StorageLevel.DISK_ONLY)
+
+    def _part(self) -> Column:
+        return F.col("times") * F.col("idf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("size") / self.average))
+
+    def scores(self, terms: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+        """(query, doc, score) of the pairs that share one of the terms, or of given pairs (q, d) alone."""
+        t = (self.terms if terms is None else terms).withColumnRenamed("term", "t")
+        p = self.postings
+        if pairs is not None:
+            p = p.join(pairs, F.col("doc") == F.col("d"))
+            on = (F.col("term") == F.col("t")) & (F.col("query") == F.col("q"))
+        else:
+            on = F.col("term") == F.col("t")
+        return p.join(_small(t), on).groupBy("query", "doc").agg(F.sum(self._part()).alias("score"))
+
+    def top(self, pool: int, rare: float = 0.02, few: int = 1000) -> DataFrame:
+        """Each query's best `pool` pairs and their rank, exact.
+
+        A term of a few documents can lift a score; a frequent one adds at most
+        its weight times (k1 + 1). Scores from the rare terms alone give each
+        query a bar: a document that cannot pass it with all frequent terms is
+        out, one without a rare term too. A query for which that proves nothing
+        is scored in full. Without this each frequent word pairs every query
+        that has it with most documents.
+        """
+        seldom = self.terms.where(F.col("df") <= F.greatest(F.lit(few), F.lit(int(rare * self.n))))
+        often = self.terms.where(F.col("df") > F.greatest(F.lit(few), F.lit(int(rare * self.n))))
+        more = often.groupBy(F.col("query").alias("q")).agg(F.sum(F.greatest(F.lit(0.0), F.col("times") * F.col("idf") * (self.k1 + 1))).alias("more"), F.sum(F.least(F.lit(0.0), F.col("times") * F.col("idf") * (self.k1 + 1))).alias("less"))
+        part = self.scores(seldom).persist(StorageLevel.DISK_ONLY)
+        w = Window.partitionBy("query").orderBy(F.desc("score"))
+        bar = part.withColumn("i", F.row_number().over(w)).where(F.col("i") == pool).select(F.col("query").alias("q"), F.col("score").alias("bar"))
+        asked = self.terms.select(F.col("query").alias("q")).distinct()
+        state = asked.join(more, "q", "left").join(bar, "q", "left").select("q", F.coalesce("more", F.lit(0.0)).alias("more"), (F.col("bar") + F.coalesce("less", F.lit(0.0))).alias("bar"))
+        # what is equal to six places ties, so a pair may fall short by that much
+        sure = state.where(F.col("more") + 1e-5 < F.col("bar"))
+        chosen = part.join(_small(sure), F.col("query") == F.col("q")).where(F.col("score") + F.col("more") + 1e-5 >= F.col("bar")).select("q", F.col("doc").alias("d"))
+        unsure = self.terms.join(_small(sure.select("q")), F.col("query") == F.col("q"), "left_anti")
+        return ranked(self.scores(pairs=chosen).unionByName(self.scores(unsure)), pool)
+
+
+def bm25(docs: DataFrame, queries: DataFrame, **names) -> DataFrame:
     """(query, doc, score) of every pair that shares a term.
 
     A term in more than half the documents gets `floor` times the mean idf in
     place of its negative one. Only the queries' terms are looked up: the
     join is on the term, and a pair's score is summed from partial sums.
     """
-    p = postings(docs, key, text)
-    asked = queries.select(F.col(query).alias("query"), F.explode(words(F.lower(query_text))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times"))
-    sizes = docs.select(F.size(words(F.lower(text))).alias("s")).agg(F.count(F.lit(1)).alias("__n"), F.avg("s").alias("__avg"))
-    df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(sizes))  # one row
-    idf = df.select("term", "__n", "__avg", (F.log(F.col("__n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = idf.agg(F.avg("raw").alias("__mean"))
-    idf = idf.crossJoin(F.broadcast(mean)).select("term", "__avg", F.when(F.col("raw") < 0, floor * F.col("__mean")).otherwise(F.col("raw")).alias("idf"))  # one row
-    terms = asked.join(idf, "term").select(F.col("term").alias("t"), "query", "times", "idf", "__avg")
-    j = p.join(terms, F.col("term") == F.col("t"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("__avg")))
-    return j.groupBy("query", "doc").agg(F.sum(part).alias("score"))
+    return Index(docs, queries, **names).scores()
+
+
+def bm25_top(docs: DataFrame, queries: DataFrame, pool: int, **names) -> DataFrame:
+    """(query, doc, score, rank) of each query's best `pool` documents."""
+    return Index(docs, queries, **names).top(pool)
 
 
 def char_grams(text, low: int = 3, high: int = 6):
@@ -45,25 +114,29 @@ def char_grams(text, low: int = 3, high: int = 6):
 
 
 def cosine(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query: str = "item_id", query_text: str = "text", features: int = 8000) -> DataFrame:
-    """(query, doc, score): cosine of sublinear tf-idf over the most frequent character n-grams (ties by the n-gram)."""
+    """(query, doc, score): cosine of sublinear tf-idf over the most frequent character n-grams (ties by the n-gram).
 
-    def tf(df: DataFrame, k: str, t: str) -> DataFrame:
-        d = df.select(F.col(k).alias("k"), F.explode(char_grams(F.col(t))).alias("g"))
-        return d.groupBy("k", "g").agg(F.count(F.lit(1)).alias("c"))
+    The n-grams are counted where they lie; only those of the vocabulary and
+    of some query go through an exchange by document.
+    """
+    grams = docs.select(F.col(key).alias("k"), char_grams(F.col(text)).alias("g"))
+    n = docs.count()
+    total = grams.select(F.explode("g").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("all")).orderBy(F.desc("all"), "g").limit(features)
+    inside = grams.select(F.explode(F.array_distinct("g")).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df")).withColumnRenamed("g", "h")
+    idf = total.join(inside, F.col("g") == F.col("h")).select(F.col("g").alias("v"), (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf")).persist(StorageLevel.DISK_ONLY)  # at most `features` rows
 
-    d = tf(docs, key, text)
-    n = docs.agg(F.count(F.lit(1)).alias("__n"))
-    vocabulary = d.groupBy("g").agg(F.sum("c").alias("all"), F.count(F.lit(1)).alias("df")).orderBy(F.desc("all"), "g").limit(features)
-    idf = vocabulary.crossJoin(F.broadcast(n)).select(F.col("g").alias("v"), (F.log((1 + F.col("__n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
+    def weights(x: DataFrame) -> DataFrame:
+        d = x.select("k", F.explode("g").alias("g")).join(F.broadcast(idf), F.col("g") == F.col("v")).groupBy("k", "g").agg(F.count(F.lit(1)).alias("c"), F.first("idf").alias("idf"))
+        return d.select("k", "g", ((1 + F.log("c")) * F.col("idf")).alias("w"))
 
-    def unit(x: DataFrame) -> DataFrame:
-        w = x.join(F.broadcast(idf), F.col("g") == F.col("v")).select("k", "g", ((1 + F.log("c")) * F.col("idf")).alias("w"))  # at most `features` rows
-        norm = w.groupBy("k").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).withColumnRenamed("k", "__k")
-        return w.join(norm, F.col("k") == F.col("__k")).select("k", "g", (F.col("w") / F.col("norm")).alias("w"))
+    def unit(w: DataFrame) -> DataFrame:
+        norm = w.groupBy("k").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).withColumnRenamed("k", "norm_of")
+        return w.join(norm, F.col("k") == F.col("norm_of")).select("k", "g", (F.col("w") / F.col("norm")).alias("w"))
 
-    a = unit(d).select(F.col("k").alias("doc"), "g", "w")
-    q = unit(tf(queries, query, query_text)).select(F.col("k").alias("query"), F.col("g").alias("h"), F.col("w").alias("qw"))
-    return a.join(q, F.col("g") == F.col("h")).groupBy("query", "doc").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
+    a = unit(weights(grams)).select(F.col("k").alias("doc"), "g", "w")
+    asked = queries.select(F.col(query).alias("k"), char_grams(F.col(query_text)).alias("g"))
+    q = unit(weights(asked)).select(F.col("k").alias("query"), F.col("g").alias("h"), F.col("w").alias("qw"))
+    return a.join(_small(q), F.col("g") == F.col("h")).groupBy("query", "doc").agg(F.sum(F.col("w") * F.col("qw")).alias("score"))
 
 
 def ranked(scores: DataFrame, pool: int) -> DataFrame:
@@ -83,9 +156,45 @@ def fused(rankings: list[DataFrame], k: int = 60) -> DataFrame:
     return u.groupBy("query", "doc").agg(F.sum(1 / (k + F.col("rank") + 1)).alias("score"))
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, top: int = 3, least_bm25: float = 0.5, least_cosine: float = 0.15, **names) -> DataFrame:
-    """The best `top` documents of each query by both rankings, those that pass either gate."""
-    x, y = bm25(docs, queries, **names), cosine(docs, queries, **names)
-    best = fused([ranked(x, 10 * top), ranked(y, 10 * top)])
-    d = best.join(x.withColumnRenamed("score", "bm25"), ["query", "doc"], "left").join(y.withColumnRenamed("score", "cosine"), ["query", "doc"], "left")
-    return ranked(d.where((F.coalesce("bm25", F.lit(0.0)) >= least_bm25) | (F.coalesce("cosine", F.lit(0.0)) >= least_cosine)), top)
+def hybrid(docs: DataFrame, queries: DataFrame, top: int = 3, least_bm25: float = 0.5, least_cosine: float = 0.15, key: str = "doc_id", text: str = "text", query: str = "item_id", query_text: str = "text", exclude_same: bool = False) -> DataFrame:
+    """(query, doc, score, rank): each query's documents by both rankings, those that pass either gate, the best `top`.
+
+    Pools of ten times `top` are fused before anything is left out; with
+    `exclude_same` a document of the query's own text is no answer to it.
+    """
+    pool = candidates(docs, queries, top, least_bm25, least_cosine, key, text, query, query_text, exclude_same)
+    return ranked(pool, top)
+
+
+def candidates(docs: DataFrame, queries: DataFrame, top: int, least_bm25: float, least_cosine: float, key: str, text: str, query: str, query_text: str, exclude_same: bool) -> DataFrame:
+    """(query, doc, score) of the fused pools' documents that pass a gate."""
+    index = Index(docs, queries, key, text, query, query_text)
+    y = cosine(docs, queries, key, text, query, query_text).persist(StorageLevel.DISK_ONLY)
+    best = fused([index.top(10 * top), ranked(y, 10 * top)]).persist(StorageLevel.DISK_ONLY)  # 20 * top rows a query at most
+    pairs = best.select(F.col("query").alias("q"), F.col("doc").alias("d"))
+    x = index.scores(pairs=pairs).withColumnRenamed("score", "bm25")
+    d = best.join(x, ["query", "doc"], "left").join(y.withColumnRenamed("score", "cosine"), ["query", "doc"], "left")
+    d = d.where((F.coalesce("bm25", F.lit(0.0)) >= least_bm25) | (F.coalesce("cosine", F.lit(0.0)) >= least_cosine)).select("query", "doc", "score")
+    if exclude_same:
+        a = docs.select(F.col(key).alias("own_doc"), F.trim(text).alias("doc_text"))
+        b = queries.select(F.col(query).alias("own_query"), F.trim(query_text).alias("own_text"))
+        d = d.join(a, F.col("doc") == F.col("own_doc")).join(b, F.col("query") == F.col("own_query")).where(~F.col("doc_text").eqNullSafe(F.col("own_text"))).select("query", "doc", "score")
+    return d
+
+
+def examples(pairs: DataFrame, key: str, source: str, target: str, queries: DataFrame, query: str, query_text: str, top: int = 3, max_example: int = 200, budget: int = 256, least_bm25: float = 0.5, least_cosine: float = 0.15, exclude_same: bool = True) -> DataFrame:
+    """(query, examples): for each query the pairs to show it, as "source => target", best first.
+
+    A pair longer than `max_example` bytes is passed over; the first that
+    would pass the budget of bytes ends the list, as does the `top`-th.
+    """
+    pool = candidates(pairs, queries, top, least_bm25, least_cosine, key, source, query, query_text, exclude_same)
+    shown = pairs.select(F.col(key).alias("own_key"), F.concat(F.trim(source), F.lit(" => "), F.trim(target)).alias("shown"))
+    d = ranked(pool, 20 * top).join(shown, F.col("doc") == F.col("own_key")).where(F.octet_length("shown") <= max_example)
+    listed = d.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "shown"))), lambda x: x["shown"]).alias("shown"))  # 20 * top rows a query at most
+    return listed.select("query", windows.budget_prefix(F.col("shown"), F.octet_length, budget, top).alias("examples")).where(F.size("examples") > 0)
+
+
+def precomputed(pairs: DataFrame, key: str, source: str, target: str, **options) -> DataFrame:
+    """(query, examples) of every row of a table against the table itself, its own text excluded."""
+    return examples(pairs, key, source, target, pairs, key, source, exclude_same=True, **options)

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 
 def draw(seed: int, *keys: Column) -> Column:
@@ -28,10 +29,10 @@ def resample(df: DataFrame, key: str, weight: float, seed: int = 42) -> DataFram
     n = df.count()
     m = max(1, int(n * weight))
     if weight < 1:
-        return df.orderBy(draw(seed, F.col(key)), key).limit(m)
+        return first_drawn(df, key, m, seed)
     spark = df.sparkSession
     whole, rest = divmod(m, max(n, 1))
-    more = df.orderBy(draw(seed, F.col(key)), key).limit(rest)
+    more = first_drawn(df, key, rest, seed)
     return df.crossJoin(F.broadcast(spark.range(whole).select(F.lit(1).alias("__c")))).drop("__c").unionByName(more)  # as many rows as the weight
 
 
@@ -44,12 +45,89 @@ def exact_split(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFr
     """Adds `split`: exactly max(1, int(n x share)) rows, but not all, are eval, by hash order."""
     n = df.count()
     m = min(max(1, int(n * share)), max(n - 1, 0))
-    d = draw(seed, F.col(key))
-    # the rows taken are told by the last of them in hash order
-    last = df.select(d.alias("d"), F.col(key).alias("k")).orderBy("d", "k").limit(m).agg(F.max(F.struct("d", "k")).alias("x")).first()["x"] if m else None
+    return df.withColumn("split", F.when(_drawn(df, key, m, seed), "eval").otherwise("train"))
+
+
+def last_drawn(df: DataFrame, key: str, m: int, seed: int, bins: int = 4096, few: int = 100_000) -> tuple[int, object] | None:
+    """(hash, key) of the m-th row in hash order; None for none.
+
+    The rows are counted by ranges of their hash, then by ranges within the
+    one that holds the cut, until it has few rows: those alone are sorted. No
+    task takes more than `few` rows, however many m is.
+    """
+    h = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 40))
+    d = df.select(h.alias("h"), F.col(key).alias("k")).where("k IS NOT NULL")
+    low, width = 0, 1 << 40
+    while m > 0:
+        part = max(1, width // bins)
+        inside = d.where((F.col("h") >= low) & (F.col("h") < low + width))
+        counts = {r["b"]: r["n"] for r in inside.groupBy(F.floor((F.col("h") - low) / part).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `bins` + 1 numbers
+        for b in sorted(counts):
+            if m <= counts[b]:
+                low, width, size = low + b * part, part, counts[b]
+                break
+            m -= counts[b]
+        else:
+            return None
+        if size <= few or width == 1:
+            return tuple(d.where((F.col("h") >= low) & (F.col("h") < low + width)).orderBy("h", "k").limit(m).agg(F.max(F.struct("h", "k")).alias("x")).first()["x"])
+    return None
+
+
+def _drawn(df: DataFrame, key: str, m: int, seed: int) -> Column:
+    last = last_drawn(df, key, m, seed)
     if last is None:
-        return df.withColumn("split", F.lit("train"))
-    return df.withColumn("split", F.when((d < last["d"]) | ((d == last["d"]) & (F.col(key) <= last["k"])), "eval").otherwise("train"))
+        return F.lit(False)
+    h = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 40))
+    return F.coalesce((h < last[0]) | ((h == last[0]) & (F.col(key) <= F.lit(last[1]))), F.lit(False))
+
+
+def first_drawn(df: DataFrame, key: str, m: int, seed: int = 42) -> DataFrame:
+    """The first m rows in hash order; rows of one key go together."""
+    return df.where(_drawn(df, key, m, seed))
+
+
+def disjoint(a: DataFrame, b: DataFrame, group: str) -> bool:
+    """Whether two splits share no group; null groups are one."""
+    other = b.select(F.col(group).alias("other_group")).distinct()
+    return a.join(other, F.col(group).eqNullSafe(F.col("other_group")), "left_semi").isEmpty()
+
+
+def shared_groups(df: DataFrame, group: str, split: str) -> DataFrame:
+    """The groups that stand in more than one split, and in how many: empty where the splits are right."""
+    return df.groupBy(group).agg(F.count_distinct(split).alias("splits")).where("splits > 1")
+
+
+def rank_shard(df: DataFrame, order: str, rank: int, workers: int) -> DataFrame:
+    """The contiguous part of a table that one of several workers takes: ceil(n / workers) rows each, in order.
+
+    The parts' bounds come from counts of ranges of the order column; a row's
+    place is its range's start and its place in it.
+    """
+    placed = with_place(df, order)
+    n = df.count()
+    size = -(-n // workers)
+    return placed.where((F.col("place") >= rank * size) & (F.col("place") < (rank + 1) * size)).drop("place")
+
+
+def with_place(df: DataFrame, *order: str) -> DataFrame:
+    """Adds `place`, from 0 in order, without one task for all: rows are dealt by ranges, and a range starts where those before it end.
+
+    The ranges are written down as a column before they are counted, so both
+    branches read one dealing.
+    """
+    d = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    d = d.withColumn("place_part", F.spark_partition_id()).withColumn("place_in", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    d = d.persist(StorageLevel.DISK_ONLY)  # recomputed from its input if a part is lost; ranges are drawn by a fixed seed
+    sizes = sorted((r[0], r[1]) for r in d.groupBy("place_part").count().collect())  # one row a task
+    starts, at = [], 0
+    for part, n in sizes:
+        starts.append((part, at))
+        at += n
+    if not starts:
+        return d.drop("place_part", "place_in").withColumn("place", F.lit(0).cast("long"))
+    begin = F.create_map(*[F.lit(x) for pair in starts for x in pair])[F.col("place_part")]
+    return d.withColumn("place", (begin + F.col("place_in")).cast("long")).drop("place_part", "place_in")
 
 
 def greedy_folds(groups: list[tuple], folds: int, size_weight: float = 0.20, numeric_weight: float = 0.10, seed: int = 42) -> dict:

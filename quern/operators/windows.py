@@ -10,24 +10,21 @@ from pyspark.sql import types as T
 def quantile_buckets(df: DataFrame, value: str, order: str, bins: int, prefix: str) -> DataFrame:
     """Adds `<value>_bucket`: the row's rank (ties in order) in `bins` parts of equal width, as prefix_k; one distinct value gives prefix_0.
 
-    A global rank in one window would go through one task. Here rows are
-    dealt by ranges of the value, ranked within a range, and each range's
-    start is the sum of the sizes before it.
+    A global rank in one window would go through one task; the place in the
+    whole order comes from ranges of the value instead.
     """
+    from quern.operators.splits import with_place
+
     v = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
-    d = df.withColumn("__v", v).repartitionByRange(F.col("__v"), F.col(order)).sortWithinPartitions("__v", order)
-    d = d.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = d.groupBy("__p").agg(F.count(F.lit(1)).alias("n"))
-    # one row a partition: as small as the number of tasks
-    before = sizes.select(F.col("__p").alias("__q"), (F.sum("n").over(Window.orderBy("__p")) - F.col("n")).alias("__before"), F.sum("n").over(Window.partitionBy()).alias("__n"))
-    some = d.agg(F.count_distinct("__v").alias("__u"))
-    d = d.join(F.broadcast(before), F.col("__p") == F.col("__q")).crossJoin(F.broadcast(some))
+    d = with_place(df.withColumn("__v", v), "__v", order)
+    some = d.agg(F.count_distinct("__v").alias("__u"), F.count(F.lit(1)).alias("__n"))
+    d = d.crossJoin(F.broadcast(some))  # one row
     q = F.least(F.lit(bins), F.col("__u"))
-    rank = F.col("__before") + F.col("__i") + 1
+    rank = F.col("place") + 1
     # ceil((rank - 1) q / (n - 1)) - 1 in whole numbers
     part = F.greatest(F.lit(0), F.floor(((rank - 1) * q + F.col("__n") - 2) / F.greatest(F.col("__n") - 1, F.lit(1))) - 1)
     code = F.when((F.col("__u") <= 1) | (F.lit(bins) <= 1), 0).otherwise(part.cast("int"))
-    return d.withColumn(f"{value}_bucket", F.concat(F.lit(f"{prefix}_"), code)).drop("__v", "__p", "__i", "__q", "__before", "__n", "__u")
+    return d.withColumn(f"{value}_bucket", F.concat(F.lit(f"{prefix}_"), code)).drop("__v", "place", "__n", "__u")
 
 
 def next_start(df: DataFrame, group: str, order: str, start: str, end: Column) -> DataFrame:
@@ -80,6 +77,35 @@ def batched(df: DataFrame, bucket: str, order: str, source_len: str, target_len:
     return df.groupBy(bucket).applyInPandas(run, schema)
 
 
+def bucket_number(df: DataFrame, order: str, rows: int) -> DataFrame:
+    """Adds `bucket`: runs of `rows` rows in order, so that there are as many as the table needs."""
+    from quern.operators.splits import with_place
+
+    return with_place(df, order).withColumn("bucket", F.floor(F.col("place") / rows)).drop("place")
+
+
+def shuffled_buckets(df: DataFrame, key: str, source_len: str, target_len: str, epoch: int = 0, seed: int = 42, rows: int = 128) -> DataFrame:
+    """Adds `place`: rows in a drawn order, cut into buckets of `rows`, longest first within a bucket; another epoch draws another order."""
+    from quern.operators.splits import with_place
+
+    d = df.withColumn("__d", F.xxhash64(F.lit(seed + epoch), F.col(key)))
+    d = with_place(d, "__d", key).withColumn("bucket", F.floor(F.col("place") / rows))
+    longest = F.greatest(source_len, target_len)
+    w = Window.partitionBy("bucket").orderBy(longest.desc(), (F.col(source_len) + F.col(target_len)).desc(), "__d", key)
+    return d.withColumn("place", F.col("bucket") * rows + F.row_number().over(w) - 1).drop("__d")
+
+
+def curriculum(df: DataFrame, source: str, target: str, order: str, hardest_first: bool = False) -> DataFrame:
+    """Rows by the length of both texts, short ones first, or, to find the limits of memory, the other way round; ties keep their order."""
+    size = F.length(F.coalesce(source, F.lit(""))) + F.length(F.coalesce(target, F.lit("")))
+    return df.orderBy(size.desc() if hardest_first else size, order)
+
+
+def first_changed(df: DataFrame, before: Column, after: Column, order: str, within: int = 800) -> DataFrame:
+    """The first row, of the first `within`, that a step changes."""
+    return df.orderBy(order).limit(within).where(~before.eqNullSafe(after)).orderBy(order).limit(1)
+
+
 def budget_prefix(items: Column, size_of, budget: int, most: int) -> Column:
     """The items of an array in order while their sizes fit the budget, at most `most`; the first that does not fit ends it."""
     start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("used"), F.lit(False).alias("full"))

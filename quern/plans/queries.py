@@ -198,15 +198,12 @@ def backfill_coalesce(spark, sf_dir):
     return joins.backfill(cut, d, "doc_id", "text", F.col("doc_id")).select("doc_id", F.length("text").cast("long").alias("n_chars"), "backfilled")
 
 
-@query("SELECT doc_id, length(text) AS n_chars, length(text) > 300 + 100 AND doc_id % 2 = 0 AS restored FROM documents")
+@query("SELECT doc_id, length(CASE WHEN doc_id % 2 = 0 AND length(text) <= 400 THEN left(text, 300) ELSE text END) AS n_chars, doc_id % 2 = 0 AND length(text) > 400 AS restored FROM documents")
 def restore_longer(spark, sf_dir):
     d = docs(spark, sf_dir, "doc_id", "text")
     cut = d.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.substring("text", 1, 300)).otherwise(F.col("text")))
     out = joins.restore_longer(cut, d, "doc_id", "text", F.col("doc_id"))
-    return out.select("doc_id", F.when(F.col("restored"), F.length("text")).otherwise(F.length("text")).cast("long").alias("n_chars"), "restored")
-
-
-ORACLE["restore_longer"] = "SELECT doc_id, length(CASE WHEN doc_id % 2 = 0 AND length(text) <= 400 THEN left(text, 300) ELSE text END) AS n_chars, doc_id % 2 = 0 AND length(text) > 400 AS restored FROM documents"
+    return out.select("doc_id", F.length("text").cast("long").alias("n_chars"), "restored")
 
 
 @query("""
@@ -352,9 +349,11 @@ def stitched_records(spark, sf_dir):
 # windows and sorting
 
 
-@query("SELECT conv_id, turn, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS context FROM conversations WHERE strlen(coalesce(text, '')) <= 150")
+@query("""WITH l AS (SELECT conv_id, turn, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS t FROM conversations)
+SELECT conv_id, turn, left(t, list_max(list_filter(range(0, 151), lambda n: strlen(left(t, n)) <= 150))) AS context FROM l""")
 def prev_context_lag(spark, sf_dir):
-    d = table(spark, sf_dir, "conversations").where(F.octet_length(F.coalesce("text", F.lit(""))) <= 150)
+    """The row before, cut to whole characters within 150 bytes."""
+    d = table(spark, sf_dir, "conversations")
     return joins.previous_in_group(d, "conv_id", ["turn"], "text").select("conv_id", "turn", "context")
 
 
@@ -383,10 +382,17 @@ def worst_n(spark, sf_dir):
     return docs(spark, sf_dir, "doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id").limit(10)
 
 
-@query()
+_FULL = "(f.n + 1) * 2 * greatest(f.m, x.a) > 20000"
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT doc_id, n_chars AS a, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents), x AS (SELECT doc_id, a, i // 512 AS bucket, i % 512 AS k FROM r),
+f AS (SELECT bucket, k, doc_id, 0 AS batch, 1 AS n, a AS m FROM x WHERE k = 0
+  UNION ALL SELECT x.bucket, x.k, x.doc_id, f.batch + CASE WHEN {_FULL} THEN 1 ELSE 0 END, CASE WHEN {_FULL} THEN 1 ELSE f.n + 1 END, CASE WHEN {_FULL} THEN x.a ELSE greatest(f.m, x.a) END FROM f JOIN x ON x.bucket = f.bucket AND x.k = f.k + 1)
+SELECT doc_id, CAST(bucket AS BIGINT) AS bucket, CAST(batch AS BIGINT) AS batch FROM f""")
 def token_budget_batches(spark, sf_dir):
-    d = docs(spark, sf_dir, "doc_id", "source", "n_chars").select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(16)).alias("bucket"), F.col("n_chars").alias("a"), F.col("n_chars").alias("b"))
-    return windows.batched(d, "bucket", "doc_id", "a", "b", 20_000)
+    """Batches within runs of 512 rows, of which there are as many as the table needs."""
+    d = windows.bucket_number(docs(spark, sf_dir, "doc_id", "n_chars").selectExpr("doc_id", "n_chars AS a", "n_chars AS b"), "doc_id", 512)
+    return windows.batched(d, "bucket", "doc_id", "a", "b", 20_000).select("doc_id", *whole("bucket", "batch"))
 
 
 # text functions
@@ -491,11 +497,11 @@ def length_penalties(spark, sf_dir):
 
 
 @query(rf"""
-WITH w AS (SELECT doc_id, {W('text')} AS w FROM documents WHERE length(text) < 5000),
+WITH w AS (SELECT doc_id, {W('text')} AS w FROM documents),
 g AS (SELECT doc_id, w, list_transform(range(1, greatest(len(w), 2)), lambda i: array_to_string(w[i : i + 1], chr(1))) AS b FROM w)
 SELECT doc_id, round(CASE WHEN len(w) < 2 THEN 0.0 ELSE greatest(0.0, 0.6 - len(list_distinct(w)) / len(w)) * 20.0 + greatest(0.0, 0.7 - len(list_distinct(b)) / len(b)) * 20.0 END, 6) AS penalty FROM g""")
 def repetition_penalty(spark, sf_dir):
-    d = docs(spark, sf_dir, "doc_id", "text").where(F.length("text") < 5000)
+    d = docs(spark, sf_dir, "doc_id", "text")
     return d.select("doc_id", F.round(metrics.repetition_penalty(F.col("text")), 6).alias("penalty"))
 
 
@@ -532,23 +538,22 @@ p AS (SELECT doc, term, count(*) AS tf, any_value(size) AS size FROM t GROUP BY
 q AS (SELECT query, term, count(*) AS times FROM (SELECT item_id AS query, unnest({W('lower(text)')}) AS term FROM benchmark) GROUP BY ALL),
 s AS (SELECT count(*) AS n, avg(len(w)) AS a FROM w), d AS (SELECT term, count(*) AS df FROM p GROUP BY term),
 r AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM d, s), i AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM r) ELSE raw END AS idf FROM r),
-b AS (SELECT query, doc, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / a))) AS score FROM p JOIN q USING (term) JOIN i USING (term), s GROUP BY query, doc)"""
+b AS (SELECT query, doc, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / a))) AS score, sum(times * idf * tf * 2.5 / (tf + 1.5)) AS flat FROM p JOIN q USING (term) JOIN i USING (term), s GROUP BY query, doc)"""
 
 
 @query(_BM25 + " SELECT query, doc, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) AS i FROM b) WHERE i <= 5")
 def bm25_topk(spark, sf_dir):
-    s = retrieval.bm25(docs(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return retrieval.ranked(s, 5).select("query", "doc", *rounded("score", digits=4))
+    return retrieval.bm25_top(docs(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"), 5).select("query", "doc", *rounded("score", digits=4))
 
 
 @query(_BM25 + """, x AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) - 1 AS rank FROM b),
-y AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY doc) - 1 AS rank FROM b),
+y AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(flat, 6) DESC, doc) - 1 AS rank FROM b),
 u AS (SELECT * FROM x WHERE rank < 30 UNION ALL SELECT * FROM y WHERE rank < 30)
 SELECT query, doc, round(sum(1.0 / (60 + rank + 1)), 6) AS score FROM u GROUP BY query, doc""")
 def rrf_fuse(spark, sf_dir):
-    s = retrieval.bm25(docs(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    by_id = s.withColumn("score", F.lit(0.0))
-    return retrieval.fused([retrieval.ranked(s, 30), retrieval.ranked(by_id, 30)]).select("query", "doc", *rounded("score"))
+    """The ranking that counts a document's length and the one that does not, fused."""
+    d, q = docs(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark")
+    return retrieval.fused([retrieval.bm25_top(d, q, 30, b=b) for b in (0.75, 0.0)]).select("query", "doc", *rounded("score"))
 
 
 @query()
@@ -591,7 +596,9 @@ def noisy_sources(spark, sf_dir):
 
 @query()
 def denoising_set(spark, sf_dir):
-    return augment.denoising_set(pairs(spark, sf_dir), "row_id", "source_text")
+    """Whole texts, as chunks that fit a model's input."""
+    d = chunking.chunk_texts(pairs(spark, sf_dir), "row_id", "source_text")
+    return augment.denoising_set(d.withColumn("row_id", F.concat_ws("#", "row_id", "chunk")), "row_id", "source_text")
 
 
 @query()
@@ -613,7 +620,9 @@ def preference_pairs(spark, sf_dir):
     return builders.preference_pairs(d, d.withColumn("text", F.substring("text", 1, 100)), ["lang", "size"], "text")
 
 
-@query()
+@query(PAIRS + """, i AS (SELECT row_id, target_text AS t, (row_number() OVER (ORDER BY row_id) - 1) // 4096 AS b FROM p), n AS (SELECT *, coalesce(lead(t) OVER w, first(t) OVER w) AS one,
+  CASE WHEN lead(t) OVER w IS NULL THEN nth_value(t, 2) OVER (PARTITION BY b ORDER BY row_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) ELSE coalesce(lead(t, 2) OVER w, first(t) OVER w) END AS two FROM i WINDOW w AS (PARTITION BY b ORDER BY row_id))
+SELECT row_id, t AS target_text, CASE WHEN one <> t THEN one WHEN two <> t THEN two END AS rejected FROM n""")
 def shifted_negatives(spark, sf_dir):
     return builders.shifted_negatives(pairs(spark, sf_dir).select("row_id", "target_text"), "row_id", "target_text")
 
@@ -664,9 +673,15 @@ def error_summary(spark, sf_dir):
     return evaluation.error_summary(d, "row_id").select("error", *whole("n"), *rounded("percent"), "first")
 
 
-@query()
+_NUMS = "list_sort(list_distinct(list_filter(list_transform(regexp_extract_all({0}, '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)?'), lambda x: lower(x)), lambda x: regexp_full_match(x, '\\d+(?:/\\d+)?(?:\\.\\d+)?') OR x IN (" + ", ".join(f"'{w}'" for w in features.NUMBER_WORDS) + "))))"
+
+
+@query(PAIRS + f""", x AS (SELECT len({W('target_text')}) / greatest(len({W('source_text')}), 1) AS x, len({W('target_text')}) < 2 AS near, contains(lower(source_text), '<gap>') AS gap, {_NUMS.format('source_text')} AS nr, {_NUMS.format('target_text')} AS np FROM p)
+SELECT count(*) AS n, round(avg(x), 6) AS length_ratio, round(avg(CASE WHEN x < 0.8 THEN 1.0 ELSE 0.0 END), 6) AS under, round(avg(CASE WHEN x > 1.35 THEN 1.0 ELSE 0.0 END), 6) AS "over", round(avg(CASE WHEN near THEN 1.0 ELSE 0.0 END), 6) AS near_empty,
+  round(coalesce(avg(CASE WHEN nr = np THEN 1.0 ELSE 0.0 END) FILTER (len(nr) > 0), 1.0), 6) AS number_match, count(*) FILTER (gap) AS gap_cases FROM x""")
 def evaluation_rates(spark, sf_dir):
-    return evaluation.rates(pairs(spark, sf_dir), "target_text", "source_text", "source_text")
+    d = evaluation.rates(pairs(spark, sf_dir), "target_text", "source_text", "source_text")
+    return d.select(*whole("n"), *rounded("length_ratio", "under", "over", "near_empty", "number_match"), *whole("gap_cases"))
 
 
 @query()

@@ -10,3 +10,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 from quern.plans import queries as _queries  # noqa: E402,F401  fills both tables
+from quern.plans import screens as _screens  # noqa: E402,F401

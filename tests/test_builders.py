@@ -5,11 +5,11 @@ from quern.operators import builders, evaluation, splits
 
 def test_shifted_negatives(spark):
     d = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "c")], "id long, t string")
-    got = {r["id"]: r["rejected"] for r in builders.shifted_negatives(d, "id", "t", buckets=1).collect()}
+    got = {r["id"]: r["rejected"] for r in builders.shifted_negatives(d, "id", "t", rows=100).collect()}
     assert got == {1: "b", 2: "b", 3: "c", 4: "a"}
     same = spark.createDataFrame([(1, "a"), (2, "a")], "id long, t string")
-    assert {r["rejected"] for r in builders.shifted_negatives(same, "id", "t", buckets=1).collect()} == {None}
-    assert builders.shifted_negatives(same.limit(1), "id", "t", buckets=1).first()["rejected"] is None
+    assert {r["rejected"] for r in builders.shifted_negatives(same, "id", "t", rows=100).collect()} == {None}
+    assert builders.shifted_negatives(same.limit(1), "id", "t", rows=100).first()["rejected"] is None
 
 
 def test_sources(spark):
