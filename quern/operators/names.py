@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -78,28 +79,30 @@ def marked_forms(text: Column, places: bool = False) -> Column:
     return let(words(text), found)
 
 
-def own_hints(source: Column, target: Column, most: int = 10, least_length: int = 4, stop: tuple[str, ...] = (), least: float = 0.6) -> Column:
-    """form=name of the marked forms of a source that are spelt like a name of its target, the first `most`.
+def _spelt_alike(forms: list[str], found: list[str], least: float, most: int) -> list[str]:
+    bare = [(n, n.lower().replace("-", "")) for n in found]
+    hints = []
+    for f in forms if bare else []:
+        ratio, _, name = max((difflib.SequenceMatcher(None, f.replace("-", ""), b).ratio(), -k, n) for k, (n, b) in enumerate(bare))
+        if ratio >= least:
+            hints.append(f"{f}={name}")
+    return hints[:most]
+
+
+def own_hints(df: DataFrame, source: str, target: str, name: str = "hints", most: int = 10, least_length: int = 4, stop: tuple[str, ...] = (), least: float = 0.6) -> DataFrame:
+    """Adds form=name of the marked forms of a source that are spelt like a name of its target, the first `most`.
 
     The likeness is that of matching blocks over syllables without hyphens;
     of equals the first name counts.
     """
 
     @F.pandas_udf("array<string>")
-    def run(forms: pd.Series, names: pd.Series) -> pd.Series:
-        out = []
-        for fs, ns in zip(forms, names, strict=True):
-            bare = [(n, n.lower().replace("-", "")) for n in ([] if ns is None else ns)]
-            hints = []
-            for f in [] if fs is None or not bare else fs:
-                ratio, _, name = max((difflib.SequenceMatcher(None, f.replace("-", ""), b).ratio(), -k, n) for k, (n, b) in enumerate(bare))
-                if ratio >= least:
-                    hints.append(f"{f}={name}")
-            out.append(hints[:most])
-        return pd.Series(out)
-
-    forms = F.filter(marked_forms(source, places=True), lambda f: (F.length(f) >= least_length) & ~f.isin(*stop or ("",)))
-    return run(forms, F.regexp_extract_all(F.coalesce(target, F.lit("")), F.lit(f"(?U){TARGET_NAME}"), 1))
+    def run(given: pd.Series) -> pd.Series:
+        return pd.Series([_spelt_alike(*(json.loads(x) if x else ([], [])), least, most) for x in given])
+
+    forms = F.filter(marked_forms(F.col(source), places=True), lambda f: (F.length(f) >= least_length) & ~f.isin(*stop or ("",)))
+    found = F.regexp_extract_all(F.coalesce(target, F.lit("")), F.lit(f"(?U){TARGET_NAME}"), 1)
+    return df.withColumn(name, run(F.to_json(F.array(F.coalesce(forms, F.array().cast("array<string>")), found))))
 
 
 def lexicon_hints(source: Column, lexicon: Column, most: int = 10, least_length: int = 4, places: bool = False) -> Column:

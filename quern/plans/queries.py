@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quern import schema
 from quern.functions import features, metrics, records, similarity, text
 from quern.operators import aggregates, alignment, augment, builders, chunking, consensus, correction, dedup, evaluation, filters, joins, retrieval, splits, windows
-from quern.plans.registry import ORACLE, QUERIES
+from quern.plans.tables import ORACLE, QUERIES
 from quern.streaming import append
 
 

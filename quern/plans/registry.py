@@ -1,13 +1,8 @@
-"""The registered queries of the engine and their SQL."""
+"""The registered queries of the engine and their SQL: importing the plans fills both tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quern.plans import queries, screens
+from quern.plans.tables import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-from quern.plans import queries as _queries  # noqa: E402,F401  fills both tables
-from quern.plans import screens as _screens  # noqa: E402,F401
+__all__ = ["ORACLE", "QUERIES", "queries", "screens"]
