@@ -42,3 +42,9 @@ def opcode_error_rate(hypothesis: pd.Series, reference: pd.Series) -> pd.Series:
         return sum(spans) / max(len(r), 1)
 
     return pd.Series([one(h or "", r or "") for h, r in zip(hypothesis, reference, strict=True)])
+
+
+@F.pandas_udf(T.BooleanType())
+def fuzzy_word(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Whether two words are one but for a few letters: lengths within a factor of two, and a gestalt ratio of 0.8."""
+    return pd.Series([bool(x and y) and min(len(x), len(y)) / max(len(x), len(y)) >= 0.5 and ratio(x.lower(), y.lower()) >= 0.8 for x, y in zip(a, b, strict=True)])

@@ -242,3 +242,8 @@ def debug_event(df: DataFrame, key: str, answer: str, source: str, target: str,
 def reject_records(df: DataFrame, key: str) -> DataFrame:
     """One row for each alignment that was not kept: key, reason, and the proposed pairs as JSON."""
     return df.where(~F.col("keep")).select(key, "reason", F.to_json("pairs").alias("proposed"))
+
+
+def mark_signature(text: Column) -> Column:
+    """The letters of a text beyond ASCII, in order: they tell silent edits."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x7F]|[^\p{L}]", "")

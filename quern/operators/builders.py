@@ -44,9 +44,12 @@ def messages(system: str, user: Column, assistant: Column) -> Column:
 
 def task_mix(parts: list[tuple[DataFrame, float]], key: str, total: int, seed: int = 42) -> DataFrame:
     """At most total x share rows of each part, by hash order, in one table."""
+    from quern.operators.splits import first_drawn
+
     out = None
     for d, share in parts:
-        d = d.orderBy(F.xxhash64(F.lit(seed), key), key).limit(int(total * share))
+        most = int(total * share)
+        d = first_drawn(d, key, most, seed) if d.count() > most else d
         out = d if out is None else out.unionByName(d, allowMissingColumns=True)
     return out
 

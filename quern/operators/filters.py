@@ -130,3 +130,19 @@ def action(source: Column, target: Column, data_source: Column, high: float = 2.
     bare = [F.length(F.regexp_replace(t, r"(?U)\s", "")) for t in (source, target)]
     r = bare[0] / F.greatest(bare[1], F.lit(1))
     return F.when(F.lower(F.trim(data_source)) == "ocr", "skip").when(word_count(source) <= protect, "protected").when(r > high, "trim_source").when(r < low, "trim_target").otherwise("keep")
+
+
+def parallel_quality(source: Column, target: Column, least_target: int = 20, least_source: int = 10, low: float = 0.1, high: float = 8.0) -> Column:
+    """Pairs long enough on both sides, of a plausible ratio of characters."""
+    r = F.length(target) / F.greatest(F.length(source), F.lit(1))
+    return F.coalesce((F.length(target) >= least_target) & (F.length(source) >= least_source) & r.between(low, high), F.lit(False))
+
+
+def both_sides(source: Column, target: Column) -> Column:
+    return F.coalesce((F.trim(source) != "") & (F.trim(target) != ""), F.lit(False))
+
+
+def judgeable(reference: Column, candidates: Column, least: int = 2) -> Column:
+    """A reference, and candidates to choose from."""
+    some = F.filter(candidates, lambda c: F.trim(F.coalesce(c, F.lit(""))) != "")
+    return F.coalesce((F.trim(reference) != "") & (F.size(some) >= least), F.lit(False))

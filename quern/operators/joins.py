@@ -137,3 +137,33 @@ def previous_in_group(df: DataFrame, group: str, order: list[str], text: str, ma
     # the longest prefix of whole characters that fits: bytes that follow a cut character are continuation bytes
     cut = F.expr(f"if(octet_length(context) <= {max_bytes}, context, decode(substring(encode(context, 'UTF-8'), 1, aggregate(sequence({max_bytes}, {max_bytes} - 3), {max_bytes}, (a, i) -> if(a = i and (ascii(decode(substring(encode(context, 'UTF-8'), i + 1, 1), 'ISO-8859-1')) between 128 and 191), i - 1, a))), 'UTF-8'))")
     return d.withColumn("context", cut)
+
+
+def attached(df: DataFrame, meta: DataFrame, key: str, columns: list[str], order: Column) -> DataFrame:
+    """The rows with columns of a table of what is known of them: its first row of a key counts; null for unknown keys."""
+    first = first_by(meta.select(F.col(key).alias("attached_key"), *columns, order.alias("attached_order")), ["attached_key"], [F.col("attached_order")])
+    return df.join(first.drop("attached_order"), F.col(key).eqNullSafe(F.col("attached_key")), "left").drop("attached_key")
+
+
+def new_pairs(df: DataFrame, known: DataFrame, source: str, target: str, order: str) -> DataFrame:
+    """Pairs whose normalised form the known table lacks, each once, the first in order."""
+    from quern.functions.text import compare_form
+
+    def keyed(d: DataFrame) -> DataFrame:
+        return d.withColumn("pair_form", F.concat_ws("\u0001", compare_form(F.col(source)), compare_form(F.col(target))))
+
+    return first_by(missing_from(keyed(df), keyed(known), ["pair_form"]), ["pair_form"], [F.col(order)]).drop("pair_form")
+
+
+def aligned_slices(sentences: DataFrame, texts: DataFrame, key: str, order: str, start: str, tokens: str) -> DataFrame:
+    """(key, order, start, part): the tokens of a text from a sentence's start to the next one's; sentences of unknown texts are left out.
+
+    Starts count from 1; a text's last sentence ends with it.
+    """
+    from quern.operators.windows import next_start
+
+    t = texts.select(F.col(key).alias("slice_key"), tokens)
+    d = sentences.join(t, F.col(key) == F.col("slice_key"))
+    d = next_start(d, key, order, start, F.size(tokens) + 1)
+    size = F.greatest(F.least("stop", F.size(tokens) + 1) - F.col(start), F.lit(0))
+    return d.select(key, order, start, F.array_join(F.slice(tokens, F.greatest(F.col(start), F.lit(1)), size), " ").alias("part"))

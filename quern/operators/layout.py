@@ -38,6 +38,17 @@ def columns(lines: DataFrame, share: float = 0.52) -> DataFrame:
     return lines.withColumn("side", F.when(F.col("x0") < share * F.col("width"), "left").otherwise("right"))
 
 
+def from_two_runs(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key, page, line, left, right): the left column of one run's lines beside the right column of another's, page by page.
+
+    Pages that only the first run has keep their left column alone.
+    """
+    a = left.select(key, "page", "line", "left")
+    b = right.select(F.col(key).alias("own_key"), F.col("page").alias("own_page"), F.col("line").alias("own_line"), "right")
+    on = (F.col(key) == F.col("own_key")) & (F.col("page") == F.col("own_page")) & (F.col("line") == F.col("own_line"))
+    return a.join(b, on, "left").select(key, "page", "line", "left", F.coalesce("right", F.lit("")).alias("right"))
+
+
 def side_by_side(df: DataFrame, key: str, info: str, tolerance: float = 3.0, share: float = 0.52) -> DataFrame:
     """(key, page, line, left, right): the texts of both columns line by line."""
     s = columns(spans(df, key, info), share).withColumn("__page", F.concat_ws("\u0001", key, "page"))

@@ -225,7 +225,7 @@ def only_official_eval(df: DataFrame, source: str, official: str = "official") -
 def exact_by_source(df: DataFrame, key: str, source: str, share: float, noisy_share: float = 0.5, official: str = "official", seed: int = 42) -> DataFrame:
     """Adds `split`: int(n x share) rows are eval, the wanted share of them from noisy sources as far as there are any.
 
-    Two ordered limits find the last row taken on either side; the rows are
+    Counts of hash ranges find the last row taken on either side; the rows are
     then told by comparison.
     """
     noisy = F.col(source) != official
@@ -233,11 +233,10 @@ def exact_by_source(df: DataFrame, key: str, source: str, share: float, noisy_sh
     want = int(sum(counts.values()) * share)
     take = {True: min(counts.get(True, 0), int(want * noisy_share))}
     take[False] = min(counts.get(False, 0), want - take[True])
-    d, chosen = draw(seed, F.col(key)), F.lit(False)
+    chosen = F.lit(False)
     for side, m in take.items():
-        if m:
-            last = df.where(noisy if side else ~noisy).select(d.alias("d"), F.col(key).alias("k")).orderBy("d", "k").limit(m).agg(F.max(F.struct("d", "k")).alias("x")).first()["x"]
-            chosen = chosen | ((noisy if side else ~noisy) & ((d < last["d"]) | ((d == last["d"]) & (F.col(key) <= last["k"]))))
+        own = noisy if side else ~noisy
+        chosen = chosen | F.coalesce(own & _drawn(df.where(own), key, m, seed), F.lit(False))
     return df.withColumn("split", F.when(chosen, "eval").otherwise("train"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quern.plans import queries, screens
+from quern.plans import kernels, queries, screens
 from quern.plans.tables import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "queries", "screens"]
+__all__ = ["ORACLE", "QUERIES", "kernels", "queries", "screens"]

@@ -44,6 +44,17 @@ def first_filled(columns: list[str]) -> tuple[Column, Column]:
     return text, name
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder; only a local session may do without one."""
+    import uuid
+
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or (given.get() if given.isDefined() else None)
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{(base or '/tmp/checkpoints').rstrip('/')}/quern-{uuid.uuid4().hex}"
+
+
 def files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     """(path, name, stem, bytes) of all files below a folder."""
     d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(path)
