@@ -295,7 +295,9 @@ class Block:
         self.bytes = np.frombuffer(b"".join(raw[i] for i in self.take), np.uint8)
         sizes = np.array([len(raw[i]) for i in self.take], np.int64)
         self.ends = np.cumsum(sizes)
-        room = np.repeat(self.ends, sizes) - np.arange(len(self.bytes))
+        self.small = np.int32 if len(self.bytes) < 1 << 31 else np.int64  # one number a byte
+        room = np.repeat(self.ends.astype(self.small), sizes)
+        room -= np.arange(len(self.bytes), dtype=self.small)
         self.place, self.first, self.last, h = anchors(self.bytes, room, length, k)
         self.hash = _mixed(h) >> np.uint64(64 - hash_bits)
         rank, before = [], None
@@ -555,8 +557,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             at, rows = at[by], rows[by]
             lcp = np.minimum(prefix_lengths(rows[:, :length]), length)
             remove(at, marks(lcp, rows[:, length:-2], rows[:, -2].astype(np.int64), rows[:, -1].astype(np.int64), b.rank[b.document(at)], length))
-        count = np.concatenate(([0], np.cumsum(start[:-1])))
-        covered = count[1:] > count[np.maximum(np.arange(len(b.bytes)) - length + 1, 0)]
+        n = len(b.bytes)
+        count = np.zeros(n + 1, b.small)
+        np.cumsum(start[:-1], out=count[1:])
+        covered = count[1:] > 0  # a string starts at the byte or up to length - 1 before it
+        covered[length - 1 :] = count[length:] > count[: max(n - length + 1, 0)]
         ids = left.sort_by("row").column("doc_id").to_pylist()
         out, own = [], {i: j for j, i in enumerate(b.take)}
         for i, raw in enumerate(b.raw):
