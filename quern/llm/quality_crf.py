@@ -8,9 +8,9 @@ good, and the length-weighted mean of the marginals is the document's score.
 
 Bounds: at most `max_docs` labelled documents are learned from, chosen by a
 hash of the id, and of each at most its first `max_chars` characters. Scoring
-reads whole texts; a batch is cut into parts of at most `PART_DOCS` documents
-and `PART_CHARS` characters, but for one text that is longer by itself, so
-memory follows the longest text.
+reads whole texts; a batch is cut into parts of at most `PART_DOCS` documents,
+`PART_CHARS` characters and `PART_LINES` lines, but for one text that is longer
+by itself, so memory follows the longest text.
 
 Defined results: a text without a word has the score `empty_score`; without
 labelled documents every score is 0.5; ties and repeated rows score alike;
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.quality_rules import STOP_WORDS
 
-PART_DOCS, PART_CHARS = 512, 1 << 22
+PART_DOCS, PART_CHARS, PART_LINES = 512, 1 << 22, 1 << 15
 _STOP = frozenset(w.encode() for w in STOP_WORDS)
 _LINE = re.compile(rb"[^\n]+")
 #: Byte classes that are counted in a line.
@@ -113,7 +113,11 @@ class Crf:
     empty_score: float
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.scale) @ self.weights + self.bias
+        w = self.weights / self.scale
+        out = np.empty(len(x))
+        for at in range(0, len(x), PART_LINES):  # whole lines at once, but few
+            out[at : at + PART_LINES] = x[at : at + PART_LINES] @ w
+        return out + (self.bias - self.mean @ w)
 
 
 def _lanes(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,12 +232,13 @@ def scores(crf: Crf, texts: list[str | None]) -> np.ndarray:
 
 def parts_of(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """(start, rows) of the parts of a batch."""
-    start, size = 0, 0
-    for i, n in enumerate(pc.fill_null(pc.utf8_length(texts), 0).to_pylist()):
-        if i > start and (i - start >= PART_DOCS or size + n > PART_CHARS):
+    start, size, lines = 0, 0, 0
+    chars, breaks = (pc.fill_null(x, 0).to_pylist() for x in (pc.utf8_length(texts), pc.count_substring(texts, "\n")))
+    for i, (n, k) in enumerate(zip(chars, breaks, strict=True)):
+        if i > start and (i - start >= PART_DOCS or size + n > PART_CHARS or lines + k >= PART_LINES):
             yield start, i - start
-            start, size = i, 0
-        size += n
+            start, size, lines = i, 0, 0
+        size, lines = size + n, lines + k + 1
     if start < len(texts):
         yield start, len(texts) - start
 

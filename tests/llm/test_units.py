@@ -570,6 +570,8 @@ def test_batches_are_cut_by_size():
 
     texts = ["a" * n for n in (5, quality_crf.PART_CHARS, 7, 8)] + [None] * 600
     got = list(quality_crf.parts_of(pa.array(texts)))
+    many = list(quality_crf.parts_of(pa.array(["a\n" * 20_000] * 5 + ["x"])))
+    assert many == [(0, 1), (1, 1), (2, 1), (3, 1), (4, 2)]
     assert got[:2] == [(0, 1), (1, 1)] and [a for a, _ in got] == [0, 1, 2, 514] and sum(n for _, n in got) == len(texts) and list(quality_crf.parts_of(pa.array([], pa.string()))) == []
 
 
