@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import difflib
-import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions.text import let, squeeze, word_count, words
 
@@ -96,13 +98,17 @@ def own_hints(df: DataFrame, source: str, target: str, name: str = "hints", most
     of equals the first name counts.
     """
 
-    @F.pandas_udf("array<string>")
-    def run(given: pd.Series) -> pd.Series:
-        return pd.Series([_spelt_alike(*(json.loads(x) if x else ([], [])), least, most) for x in given])
-
     forms = F.filter(marked_forms(F.col(source), places=True), lambda f: (F.length(f) >= least_length) & ~f.isin(*stop or ("",)))
     found = F.regexp_extract_all(F.coalesce(target, F.lit("")), F.lit(f"(?U){TARGET_NAME}"), 1)
-    return df.withColumn(name, run(F.to_json(F.array(F.coalesce(forms, F.array().cast("array<string>")), found))))
+    d = df.withColumns({"hint_forms": forms, "hint_names": found})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = zip(batch.column("hint_forms").to_pylist(), batch.column("hint_names").to_pylist(), strict=True)
+            hints = [_spelt_alike(fs or [], ns or [], least, most) for fs, ns in given]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in df.columns), pa.array(hints, pa.list_(pa.string()))], [*df.columns, name])
+
+    return d.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.StringType()))]))
 
 
 def lexicon_hints(source: Column, lexicon: Column, most: int = 10, least_length: int = 4, places: bool = False) -> Column:

@@ -31,7 +31,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """A table of very few files has as few scan tasks, whatever the cores; work on its texts is dealt out first. Others stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 4 * len(df.inputFiles()) <= min(cores, 32) else df
+    tasks = df._jdf.queryExecution().toRdd().getNumPartitions()  # a number alone comes to the driver's Python
+    return df.repartition(cores) if 4 * tasks <= min(cores, 32) else df
 
 
 def docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
