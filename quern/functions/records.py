@@ -13,7 +13,7 @@ from quern.functions.text import GAP, ascii_letters, fold, let, squeeze
 
 _SYLLABLE = "a-záàéèíìúùšṣṭḫ"
 #: Signs written in capitals when they stand alone.
-CAPITALS = {"dumu": "DUMU", "lugal": "LUGAL", "igi": "IGI", "kišib3?": "KIŠIB", "ens(?:í|i2)": "ENSÍ", "iti": "ITI", "mu": "MU"}
+CAPITALS = {"dumu": "DUMU", "lugal": "LUGAL", "igi": "IGI", "kišib": "KIŠIB", "kišib3": "KIŠIB", "ensí": "ENSÍ", "ensi2": "ENSÍ", "iti": "ITI", "mu": "MU"}
 #: Period names and language codes, the first that occurs decides.
 PERIODS = (
     ("old assyrian", "OA"), ("old babylonian", "OB"), ("old akkadian", "OAkk"), ("neo-babylonian", "NB"), ("achaemenid", "NB"), ("neo-assyrian", "NA"),

@@ -65,6 +65,18 @@ def kept(df: DataFrame, name: str = "reason") -> DataFrame:
     return df.where(F.col(name).isNull()).drop(name)
 
 
+def made_and_kept(df: DataFrame, columns: list[str], value: Column, make, reason) -> DataFrame:
+    """The columns, and those of `make(value)` for rows without a `reason` to reject it.
+
+    A filter on a computed column is pushed below the projection that makes
+    it, and each of its references computes the value again. Here the row
+    makes an array of one struct, drops it or not, and comes out of it: the
+    value is computed once.
+    """
+    made = F.filter(F.transform(F.array(value), make), lambda x: reason(x).isNull())
+    return df.select(*columns, F.inline(made))
+
+
 def reason_counts(df: DataFrame, name: str = "reason") -> DataFrame:
     """Rejects by reason; a comma-joined list counts for each of its reasons."""
     d = df.where(F.col(name).isNotNull() & (F.col(name) != "")).select(F.explode(F.split(name, ",")).alias("reason"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.schema import unused
+
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key.
@@ -13,8 +15,8 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     so a hot key sends one row a task. A hash goes before the keys, so that
     long texts are compared only where they are equal.
     """
-    w = Window.partitionBy(F.xxhash64(*keys), *keys).orderBy(*order)
-    return df.withColumn("__i", F.row_number().over(w)).where("__i = 1").drop("__i")
+    w, i = Window.partitionBy(F.xxhash64(*keys), *keys).orderBy(*order), unused("row_in_key", df)
+    return df.withColumn(i, F.row_number().over(w)).where(F.col(i) == 1).drop(i)
 
 
 def last_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -23,14 +25,16 @@ def last_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 def unambiguous(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Keys with one distinct text, and that text: ambiguous keys go whole. One pass, with partial sums."""
-    d = df.groupBy(*keys).agg(F.min(text).alias(text), F.max(text).alias("__most"))
-    return d.where(F.col(text) == F.col("__most")).drop("__most")
+    most = unused("greatest_text", df)
+    d = df.groupBy(*keys).agg(F.min(text).alias(text), F.max(text).alias(most))
+    return d.where(F.col(text) == F.col(most)).drop(most)
 
 
 def missing_from(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose key the other table lacks."""
-    o = other.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
-    return df.join(o, [F.col(k) == F.col(f"__{k}") for k in keys], "left_anti")
+    names = {k: unused(f"other_{k}", df) for k in keys}
+    o = other.select(*[F.col(k).alias(n) for k, n in names.items()]).distinct()
+    return df.join(o, [F.col(k) == F.col(n) for k, n in names.items()], "left_anti")
 
 
 def append_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -50,14 +54,22 @@ def without_leakage(evaluation: DataFrame, train: DataFrame, text: str) -> DataF
 
 def override(base: DataFrame, review: DataFrame, key: str, columns: list[str], order: Column) -> DataFrame:
     """Reviewed values replace the base's: the first review of a key counts, blanks do not, unknown keys are ignored. Adds `changed`."""
-    r = first_by(review.select(key, *columns, order.alias("__ord")), [key], [F.col("__ord")])
-    r = r.select(F.col(key).alias("__key"), *[F.when(F.trim(c) != "", F.col(c)).alias(f"__{c}") for c in columns])
-    d = base.join(r, F.col(key) == F.col("__key"), "left")
+    at, own, new = unused("review_order", review), unused("review_key", base), {c: unused(f"reviewed_{c}", base) for c in columns}
+    r = first_by(review.select(key, *columns, order.alias(at)), [key], [F.col(at)])
+    r = r.select(F.col(key).alias(own), *[F.when(F.trim(c) != "", F.col(c)).alias(n) for c, n in new.items()])
+    d = base.join(r, F.col(key) == F.col(own), "left")
     changed = F.lit(False)
-    for c in columns:
-        changed = changed | F.coalesce(F.col(f"__{c}") != F.col(c), F.lit(False))
-    d = d.withColumn("changed", changed).withColumns({c: F.coalesce(f"__{c}", c) for c in columns})
-    return d.drop("__key", *[f"__{c}" for c in columns])
+    for c, n in new.items():
+        changed = changed | F.coalesce(F.col(n) != F.col(c), F.lit(False))
+    d = d.withColumn("changed", changed).withColumns({c: F.coalesce(n, c) for c, n in new.items()})
+    return d.drop(own, *new.values())
+
+
+def _with_older(current: DataFrame, older: DataFrame, key: str, text: str, order: Column) -> tuple[DataFrame, str, str]:
+    """The rows with the last older text of their key, and the names of the two columns that were added."""
+    own, old, at = unused("older_key", current), unused("older_text", current), unused("older_order", older)
+    o = last_by(older.select(key, text, order.alias(at)), [key], [F.col(at)]).select(F.col(key).alias(own), F.col(text).alias(old))
+    return current.join(o, F.col(key) == F.col(own), "left"), own, old
 
 
 def backfill(current: DataFrame, older: DataFrame, key: str, text: str, order: Column) -> DataFrame:
@@ -67,10 +79,8 @@ def backfill(current: DataFrame, older: DataFrame, key: str, text: str, order: C
     characters more, ends in a slash or hyphen, or is the older's beginning
     with 20 characters missing.
     """
-    o = last_by(older.select(key, text, order.alias("__ord")), [key], [F.col("__ord")])
-    o = o.select(F.col(key).alias("__key"), F.col(text).alias("__old"))
-    d = current.join(o, F.col(key) == F.col("__key"), "left")
-    now, old = F.col(text), F.coalesce("__old", F.lit(""))
+    d, own, older_text = _with_older(current, older, key, text, order)
+    now, old = F.col(text), F.coalesce(older_text, F.lit(""))
     spaces = F.length(now) - F.length(F.replace(now, F.lit(" "), F.lit("")))
     a, b = F.trim(now), F.trim(old)
     begins = (F.length(a) >= 12) & b.startswith(a) & (F.length(b) > F.length(a) + 20)
@@ -82,15 +92,14 @@ def backfill(current: DataFrame, older: DataFrame, key: str, text: str, order: C
         | begins
     )
     cut = F.coalesce((old != "") & cut, F.lit(False))
-    return d.withColumn("backfilled", cut).withColumn(text, F.when(cut, old).otherwise(now)).drop("__key", "__old")
+    return d.withColumn("backfilled", cut).withColumn(text, F.when(cut, old).otherwise(now)).drop(own, older_text)
 
 
 def restore_longer(current: DataFrame, older: DataFrame, key: str, text: str, order: Column, by: int = 100) -> DataFrame:
     """Texts whose older version is longer by more than `by` characters get it; adds `restored`."""
-    o = last_by(older.select(key, text, order.alias("__ord")), [key], [F.col("__ord")]).select(F.col(key).alias("__key"), F.col(text).alias("__old"))
-    d = current.join(o, F.col(key) == F.col("__key"), "left")
-    longer = F.coalesce(F.length("__old") > F.length(text) + by, F.lit(False))
-    return d.withColumn("restored", longer).withColumn(text, F.when(longer, F.col("__old")).otherwise(F.col(text))).drop("__key", "__old")
+    d, own, old = _with_older(current, older, key, text, order)
+    longer = F.coalesce(F.length(old) > F.length(text) + by, F.lit(False))
+    return d.withColumn("restored", longer).withColumn(text, F.when(longer, F.col(old)).otherwise(F.col(text))).drop(own, old)
 
 
 def two_hop(forms: DataFrame, entries: DataFrame, form: str, word: str, definition: str, guide: str) -> DataFrame:
@@ -102,8 +111,9 @@ def two_hop(forms: DataFrame, entries: DataFrame, form: str, word: str, definiti
 
 def complete(ids: DataFrame, found: DataFrame, key: str, text: str) -> DataFrame:
     """One row for each id; those without a result get an empty text."""
-    f = found.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    return ids.join(f, F.col(key) == F.col("__key"), "left").select(*ids.columns, F.coalesce("__text", F.lit("")).alias(text))
+    own, given = unused("found_key", ids), unused("found_text", ids)
+    f = found.select(F.col(key).alias(own), F.col(text).alias(given))
+    return ids.join(f, F.col(key) == F.col(own), "left").select(*ids.columns, F.coalesce(given, F.lit("")).alias(text))
 
 
 def nearest_word(tokens: DataFrame, vocabulary: DataFrame, token: str = "token", word: str = "word", freq: str = "freq", most: int = 2) -> DataFrame:

@@ -23,9 +23,19 @@ def asked_terms(queries: DataFrame, query: str, text: str) -> DataFrame:
     return queries.select(F.col(query).alias("query"), F.explode(words(F.lower(text))).alias("term")).groupBy("query", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def postings(docs: DataFrame, key: str, text: str, terms: DataFrame | None = None) -> DataFrame:
-    """(doc, term, tf, size): each document's terms with their counts and its length; only those asked for, if any are given."""
-    d = docs.select(F.col(key).alias("doc"), words(F.lower(text)).alias("w")).select("doc", F.size("w").alias("size"), F.explode("w").alias("term"))
+def postings(docs: DataFrame, key: str, text: str, terms: DataFrame | None = None, few: int = 20_000) -> DataFrame:
+    """(doc, term, tf, size): each document's terms with their counts and its length; only those asked for, if any are given.
+
+    A `few` terms are looked for within the row, so that no other word leaves
+    it; more are joined.
+    """
+    d = docs.select(F.col(key).alias("doc"), words(F.lower(text)).alias("w"))
+    size = F.size("w").alias("size")
+    asked = [r[0] for r in terms.select("term").distinct().limit(few + 1).collect()] if terms is not None else None
+    if asked is not None and len(asked) <= few:
+        d = d.select("doc", size, F.explode(F.filter("w", lambda x: x.isin(asked)) if asked else F.slice("w", 1, 0)).alias("term"))
+        return d.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("size").alias("size"))
+    d = d.select("doc", size, F.explode("w").alias("term"))
     if terms is not None:
         d = d.join(terms.select(F.col("term").alias("asked")).distinct(), F.col("term") == F.col("asked"), "left_semi")
     return d.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("size").alias("size"))
@@ -43,11 +53,13 @@ class Index:
         # every word's documents count for the mean; distinct words of a row are counted where they lie
         df = w.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         idf = df.select("term", "df", (F.log(self.n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-        mean = idf.agg(F.avg("raw")).first()[0] or 0.0
-        weight = F.when(F.col("raw") < 0, floor * mean).otherwise(F.col("raw"))
-        terms = asked.join(idf.withColumnRenamed("term", "t"), F.col("term") == F.col("t")).select("query", "term", "times", "df", weight.alias("idf"))
-        self.terms = terms.persist(StorageLevel.DISK_ONLY)
-        self.postings = postings(docs, key, text, _small(asked.select("term").distinct())).persist(StorageLevel.DISK_ONLY)
+        mean = idf.agg(F.avg("raw").alias("mean"))  # one row, of the same exchange
+        weight = F.when(F.col("raw") < 0, floor * F.col("mean")).otherwise(F.col("raw"))
+        terms = asked.join(idf.withColumnRenamed("term", "t"), F.col("term") == F.col("t")).crossJoin(F.broadcast(mean)).select("query", "term", "times", "df", weight.alias("idf"))
+        self.terms = terms.persist(StorageLevel.MEMORY_AND_DISK)
+        small = self.terms.count() <= SMALL  # of the terms, and so of all that is made of them
+        self.hinted = F.broadcast if small else lambda x: x
+        self.postings = postings(docs, key, text, self.hinted(self.terms.select("term").distinct())).persist(StorageLevel.MEMORY_AND_DISK)
 
     def _part(self) -> Column:
         return F.col("times") * F.col("idf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("size") / self.average))
@@ -61,7 +73,7 @@ class Index:
             on = (F.col("term") == F.col("t")) & (F.col("query") == F.col("q"))
         else:
             on = F.col("term") == F.col("t")
-        return p.join(_small(t), on).groupBy("query", "doc").agg(F.sum(self._part()).alias("score"))
+        return p.join(self.hinted(t), on).groupBy("query", "doc").agg(F.sum(self._part()).alias("score"))
 
     def top(self, pool: int, rare: float = 0.02, few: int = 1000) -> DataFrame:
         """Each query's best `pool` pairs and their rank, exact.
@@ -76,15 +88,15 @@ class Index:
         seldom = self.terms.where(F.col("df") <= F.greatest(F.lit(few), F.lit(int(rare * self.n))))
         often = self.terms.where(F.col("df") > F.greatest(F.lit(few), F.lit(int(rare * self.n))))
         more = often.groupBy(F.col("query").alias("q")).agg(F.sum(F.greatest(F.lit(0.0), F.col("times") * F.col("idf") * (self.k1 + 1))).alias("more"), F.sum(F.least(F.lit(0.0), F.col("times") * F.col("idf") * (self.k1 + 1))).alias("less"))
-        part = self.scores(seldom).persist(StorageLevel.DISK_ONLY)
+        part = self.scores(seldom).persist(StorageLevel.MEMORY_AND_DISK)
         w = Window.partitionBy("query").orderBy(F.desc("score"))
         bar = part.withColumn("i", F.row_number().over(w)).where(F.col("i") == pool).select(F.col("query").alias("q"), F.col("score").alias("bar"))
         asked = self.terms.select(F.col("query").alias("q")).distinct()
         state = asked.join(more, "q", "left").join(bar, "q", "left").select("q", F.coalesce("more", F.lit(0.0)).alias("more"), (F.col("bar") + F.coalesce("less", F.lit(0.0))).alias("bar"))
         # what is equal to six places ties, so a pair may fall short by that much
         sure = state.where(F.col("more") + 1e-5 < F.col("bar"))
-        chosen = part.join(_small(sure), F.col("query") == F.col("q")).where(F.col("score") + F.col("more") + 1e-5 >= F.col("bar")).select("q", F.col("doc").alias("d"))
-        unsure = self.terms.join(_small(sure.select("q")), F.col("query") == F.col("q"), "left_anti")
+        chosen = part.join(self.hinted(sure), F.col("query") == F.col("q")).where(F.col("score") + F.col("more") + 1e-5 >= F.col("bar")).select("q", F.col("doc").alias("d"))
+        unsure = self.terms.join(self.hinted(sure.select("q")), F.col("query") == F.col("q"), "left_anti")
         return ranked(self.scores(pairs=chosen).unionByName(self.scores(unsure)), pool)
 
 
@@ -123,7 +135,7 @@ def cosine(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str =
     n = docs.count()
     total = grams.select(F.explode("g").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("all")).orderBy(F.desc("all"), "g").limit(features)
     inside = grams.select(F.explode(F.array_distinct("g")).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df")).withColumnRenamed("g", "h")
-    idf = total.join(inside, F.col("g") == F.col("h")).select(F.col("g").alias("v"), (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf")).persist(StorageLevel.DISK_ONLY)  # at most `features` rows
+    idf = total.join(inside, F.col("g") == F.col("h")).select(F.col("g").alias("v"), (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf")).persist(StorageLevel.MEMORY_AND_DISK)  # at most `features` rows
 
     def weights(x: DataFrame) -> DataFrame:
         d = x.select("k", F.explode("g").alias("g")).join(F.broadcast(idf), F.col("g") == F.col("v")).groupBy("k", "g").agg(F.count(F.lit(1)).alias("c"), F.first("idf").alias("idf"))
@@ -169,8 +181,8 @@ def hybrid(docs: DataFrame, queries: DataFrame, top: int = 3, least_bm25: float
 def candidates(docs: DataFrame, queries: DataFrame, top: int, least_bm25: float, least_cosine: float, key: str, text: str, query: str, query_text: str, exclude_same: bool) -> DataFrame:
     """(query, doc, score) of the fused pools' documents that pass a gate."""
     index = Index(docs, queries, key, text, query, query_text)
-    y = cosine(docs, queries, key, text, query, query_text).persist(StorageLevel.DISK_ONLY)
-    best = fused([index.top(10 * top), ranked(y, 10 * top)]).persist(StorageLevel.DISK_ONLY)  # 20 * top rows a query at most
+    y = cosine(docs, queries, key, text, query, query_text).persist(StorageLevel.MEMORY_AND_DISK)
+    best = fused([index.top(10 * top), ranked(y, 10 * top)]).persist(StorageLevel.MEMORY_AND_DISK)  # 20 * top rows a query at most
     pairs = best.select(F.col("query").alias("q"), F.col("doc").alias("d"))
     x = index.scores(pairs=pairs).withColumnRenamed("score", "bm25")
     d = best.join(x, ["query", "doc"], "left").join(y.withColumnRenamed("score", "cosine"), ["query", "doc"], "left")

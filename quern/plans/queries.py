@@ -32,7 +32,7 @@ def spread(df: DataFrame) -> DataFrame:
     """A table of very few files has as few scan tasks, whatever the cores; work on its texts is dealt out first. Others stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     tasks = df._jdf.queryExecution().toRdd().getNumPartitions()  # a number alone comes to the driver's Python
-    return df.repartition(cores) if 4 * tasks <= min(cores, 32) else df
+    return df.repartition(cores) if tasks < min(cores, 32) else df
 
 
 def docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -82,10 +82,15 @@ r AS (SELECT *, row_number() OVER (PARTITION BY clean ORDER BY doc_id) AS i FROM
 SELECT doc_id, source, clean, CAST(n AS BIGINT) AS n_words FROM r WHERE i = 1""")
 def clean_corpus(spark, sf_dir):
     """Flagship: normalise white space, reject short texts with a reason, keep the first of equal texts."""
-    d = docs(spark, sf_dir, "doc_id", "source", "text").select("doc_id", "source", text.squeeze(F.col("text")).alias("clean"))
-    n = F.when(F.col("clean") == "", 0).otherwise(F.size(F.split("clean", " ")))
-    d = filters.with_reason(d.withColumn("n_words", n.cast("long")), F.when(F.length("clean") < 10, "short").when(F.col("n_words") < 3, "few_words"))
-    return dedup.keep_first(filters.kept(d), ["clean"], ["doc_id"])
+
+    def made(t):
+        return F.struct(t.alias("clean"), F.when(t == "", 0).otherwise(F.size(F.split(t, " "))).cast("long").alias("n_words"))
+
+    def reason(x):
+        return F.when(F.length(x["clean"]) < 10, "short").when(x["n_words"] < 3, "few_words")
+
+    d = filters.made_and_kept(docs(spark, sf_dir, "doc_id", "source", "text"), ["doc_id", "source"], text.squeeze(F.col("text")), made, reason)
+    return dedup.keep_first_text(d, "clean", "doc_id")
 
 
 @query(rf"SELECT doc_id, {SQ('text')} AS clean FROM documents WHERE len({W('coalesce(text, chr(32))')}) >= 3")

@@ -25,6 +25,14 @@ def optional(df: DataFrame, column: str, default) -> Column:
     return F.col(f"`{column}`") if column in df.columns else F.lit(default)
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """`name`, with underscores before it until no table has such a column, in any case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def no_nulls(df: DataFrame) -> DataFrame:
     """Null strings become empty at the way in, so that no literal 'nan' or 'null' arises later."""
     return df.na.fill("", subset=[f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)])

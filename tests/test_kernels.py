@@ -214,3 +214,17 @@ def test_alignment_counts(spark):
     d = spark.createDataFrame([("2 ½ ma-na <GAP> 1/3 of <gap> 10.5", "minas", "mina"), ("", "ab", "abcdef"), (None, None, "x")], "t string, a string, b string")
     got = d.select(alignment.word_tokens(F.col("t")).alias("n"), alignment.number_list(F.col("t")).alias("x"), filters.gap_count(F.col("t")).alias("g"), similarity.fuzzy_word("a", "b").alias("f"), editions.evaluated(F.col("t")).alias("e")).collect()
     assert (got[0]["n"], got[0]["x"], got[0]["g"]) == (10, ["2", "½", "1/3", "10.5"], 2) and [r["f"] for r in got] == [True, False, False] and got[1]["e"] == ""
+
+
+def test_helper_columns_clash_with_none(spark):
+    """Tables that have columns of the helpers' names."""
+    names_ = ["other_k", "row_in_key", "review_key", "reviewed_t", "older_key", "older_text", "found_key", "found_text", "copy_order", "text_digest", "greatest_text"]
+    d = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None), (5, None)], "k int, t string").withColumns({c: F.lit("x") for c in names_})
+    other = spark.createDataFrame([(1, "z", 1), (1, "y", 2), (9, "q", 3)], "k int, t string, o int")
+    assert joins.override(d, other, "k", ["t"], F.col("o")).where("t = 'z'").count() == 1
+    assert joins.backfill(d, other, "k", "t", F.col("o")).count() == joins.restore_longer(d, other, "k", "t", F.col("o")).count() == 5
+    assert joins.missing_from(d, other, ["k"]).columns == d.columns and joins.missing_from(d, other, ["k"]).count() == 4
+    assert joins.complete(d.drop("t"), other.where("o = 1"), "k", "t").where("t = 'z'").count() == 1
+    assert sorted(r["k"] for r in joins.first_by(d, ["t"], [F.col("k")]).collect()) == [1, 2, 4]
+    assert sorted(r["k"] for r in dedup.keep_first_text(d, "t", "k").collect()) == [1, 2, 4] and dedup.keep_first_text(d, "t", "k").columns == d.columns
+    assert dedup.keep_first_text(d.limit(0), "t", "k").count() == 0
