@@ -100,13 +100,13 @@ def own_hints(df: DataFrame, source: str, target: str, name: str = "hints", most
 
     forms = F.filter(marked_forms(F.col(source), places=True), lambda f: (F.length(f) >= least_length) & ~f.isin(*stop or ("",)))
     found = F.regexp_extract_all(F.coalesce(target, F.lit("")), F.lit(f"(?U){TARGET_NAME}"), 1)
-    d = df.withColumns({"hint_forms": forms, "hint_names": found})
+    d, own = df.withColumns({"hint_forms": forms, "hint_names": found}), list(df.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             given = zip(batch.column("hint_forms").to_pylist(), batch.column("hint_names").to_pylist(), strict=True)
             hints = [_spelt_alike(fs or [], ns or [], least, most) for fs, ns in given]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in df.columns), pa.array(hints, pa.list_(pa.string()))], [*df.columns, name])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in own), pa.array(hints, pa.list_(pa.string()))], [*own, name])
 
     return d.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.ArrayType(T.StringType()))]))
 

@@ -75,7 +75,7 @@ class Index:
             on = F.col("term") == F.col("t")
         return p.join(self.hinted(t), on).groupBy("query", "doc").agg(F.sum(self._part()).alias("score"))
 
-    def top(self, pool: int, rare: float = 0.02, few: int = 1000) -> DataFrame:
+    def top(self, pool: int, rare: float = 0.02, few: int = 1000, direct: int = 20_000_000) -> DataFrame:
         """Each query's best `pool` pairs and their rank, exact.
 
         A term of a few documents can lift a score; a frequent one adds at most
@@ -83,8 +83,12 @@ class Index:
         query a bar: a document that cannot pass it with all frequent terms is
         out, one without a rare term too. A query for which that proves nothing
         is scored in full. Without this each frequent word pairs every query
-        that has it with most documents.
+        that has it with most documents. Where the postings meet the queries in
+        `direct` rows at most, scoring them all is the shorter plan to the same
+        result.
         """
+        if (self.terms.agg(F.sum("df")).first()[0] or 0) <= direct:
+            return ranked(self.scores(), pool)
         seldom = self.terms.where(F.col("df") <= F.greatest(F.lit(few), F.lit(int(rare * self.n))))
         often = self.terms.where(F.col("df") > F.greatest(F.lit(few), F.lit(int(rare * self.n))))
         more = often.groupBy(F.col("query").alias("q")).agg(F.sum(F.greatest(F.lit(0.0), F.col("times") * F.col("idf") * (self.k1 + 1))).alias("more"), F.sum(F.least(F.lit(0.0), F.col("times") * F.col("idf") * (self.k1 + 1))).alias("less"))

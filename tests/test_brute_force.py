@@ -575,3 +575,15 @@ def test_hints(spark):
     lexicon = F.create_map(F.lit("a-šur-ma"), F.lit("Assur-ma"))
     row = d.select(names.with_hints(F.col("s"), names.lexicon_hints(F.col("s"), lexicon)).alias("x")).first()["x"]
     assert row.endswith(" ## HINTS: a-šur-ma=Assur-ma")
+
+
+def test_pruned_top_is_the_full_ranking(spark, sf):
+    """The bar from rare terms gives what scoring every pair gives, whichever terms count as rare."""
+    from quern.operators import retrieval
+
+    d, q = queries.docs(spark, sf, "doc_id", "text"), queries.table(spark, sf, "benchmark")
+    index = retrieval.Index(d, q)
+    want = sorted((r["query"], r["rank"], r["doc"], round(r["score"], 6)) for r in retrieval.ranked(index.scores(), 4).collect())
+    for rare, few in ((0.02, 1000), (0.1, 5), (0.5, 5), (0.0, 0)):
+        got = sorted((r["query"], r["rank"], r["doc"], round(r["score"], 6)) for r in index.top(4, rare, few, direct=0).collect())
+        assert got == want, (rare, few)
