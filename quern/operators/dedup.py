@@ -16,14 +16,14 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def keep_first_text(df: DataFrame, text: str, order: str) -> DataFrame:
-    """One row for each text, the first in order; `order` tells rows apart.
+    """One row for each text, null among them, the first in order; `order` tells rows apart. Texts are told by their SHA-256.
 
     Only digests and the order go through an exchange: what is not the first
     of its digest is taken out by an anti-join on the order, which is a
     broadcast where the copies are few. Texts stay where they are.
     """
     own, other = unused("text_digest", df), unused("copy_order", df)
-    marks = df.select(F.md5(text).alias(own), F.col(order).alias(other))
+    marks = df.select(F.coalesce(F.sha2(text, 256), F.lit("")).alias(own), F.col(order).alias(other))
     first = marks.groupBy(own).agg(F.min(other).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed(own, "same")
     copies = marks.join(first, F.col(own) == F.col("same")).where(F.col(other) > F.col("least")).select(other)
     return df.join(copies, F.col(order) == F.col(other), "left_anti")
