@@ -31,8 +31,12 @@ task, not one a block.
 
 Copies of whole texts are known by their digest beforehand and take no part.
 A run holds a string once however often the block has it. Memory follows the
-block and the range, whose numbers grow with the data; intermediate tables
-are dropped before the result is returned.
+block and the range, whose numbers grow with the data.
+
+On disk are the blocks and, of the suffixes, what one level gets and what it
+sends: runs travel compressed, the shuffle files of a step go when what it
+makes is written, and tables go when the next step has read them. All are
+gone before the result is returned.
 
 Defined results: null and empty texts, and those shorter than `length`, lose
 nothing; strings within one document, or in rows that share an id, do not
@@ -42,6 +46,7 @@ an empty table gives an empty table. Extra columns are left out.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import math
 import uuid
@@ -49,7 +54,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.common import discard, narrow, persisted, work_dir
@@ -365,10 +370,23 @@ def _messages(rows: list[tuple]) -> pa.Table:
     return _rows(rows, ["up", "part", "grp", "data"], [pa.bool_(), pa.int64(), pa.int64(), pa.binary()])
 
 
+@contextlib.contextmanager
+def _files_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of what is written go when that has been written, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def merge_runs(data: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(rows, prefix shared with the row before, block, index) of front-coded runs, merged; equal rows in order of their blocks."""
     decoded, numbers = [], []
     for x in data:
+        x = pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True)
         size = int.from_bytes(x[:8], "little")
         decoded.append(front_decode(x[8 : 8 + size], width))
         numbers.append(unpack_numbers(x[8 + size :], 2))
@@ -391,7 +409,8 @@ def merge_runs(data: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, n
 
 def coded_run(rows: np.ndarray, block: np.ndarray, index: np.ndarray) -> bytes:
     front = front_code(rows)
-    return len(front).to_bytes(8, "little") + front + pack_numbers(block, index)
+    run = len(front).to_bytes(8, "little") + front + pack_numbers(block, index)
+    return len(run).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(run, asbytes=True)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, k: int = 16, block_bytes: int = 8 << 20, fan: int = 1024, with_text: bool = False) -> DataFrame:
@@ -408,7 +427,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     def written(df: DataFrame) -> DataFrame:
         folders.append(work_dir(spark))
-        return persisted(df, folders[-1])
+        with _files_dropped(spark):
+            return persisted(df, folders[-1])
+
+    def dropped(start: int, stop: int | None = None) -> None:
+        """Deletes the folders from one number to another, that nothing reads any more."""
+        discard(spark, *folders[start:stop])
+        del folders[start:stop]
 
     # blocks by ranges of the id, written once: every round reads a bucket's blocks without an exchange
     dealt = d.repartitionByRange(n_blocks, "doc_id").sortWithinPartitions("doc_id").select(
@@ -418,7 +443,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     )
     name = f"quern_blocks_{uuid.uuid4().hex}"
     folders.append(work_dir(spark))
-    dealt.write.bucketBy(n_blocks, "block").option("path", folders[-1]).saveAsTable(name)
+    with _files_dropped(spark):
+        dealt.write.bucketBy(n_blocks, "block").option("path", folders[-1]).option("compression", "zstd").saveAsTable(name)
     t = spark.table(name)
 
     # copies of a whole text in a document of a smaller id
@@ -592,6 +618,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         answers = []
         for level in range(1, depth + 1):
             made = written(sent.groupBy("part", "grp").applyInArrow(meet(level), _MESSAGE))
+            if level > 1:  # what went up to this level has been read
+                answers[-1] = written(answers[-1])
+                dropped(-3, -2)
             sent = made.where("up")
             answers.append(made.where("NOT up"))
         back = answers[-1]
@@ -600,11 +629,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         return back.select(F.col("grp").cast("int").alias("block"), F.lit(kind).alias("kind"), "part", "data")
 
     copies = written(copies)
+    made = len(folders)
     repeated = exchange(rounds(copies, send_hashes, _MESSAGE), meet_hashes, 2, REPEATED)
-    mail = copies.unionByName(repeated if depth == 1 else written(repeated))
+    if depth > 1:
+        read = len(folders)
+        repeated = written(repeated)
+        dropped(made, read)
+    mail = copies.unionByName(repeated)
     earlier = exchange(rounds(mail, send_suffixes, _MESSAGE), meet_suffixes, 3, EARLIER)
     schema = f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    result = persisted(rounds(mail.unionByName(earlier), finish, schema))
+    with _files_dropped(spark):
+        result = persisted(rounds(mail.unionByName(earlier), finish, schema))
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     discard(spark, *folders)
     return result
