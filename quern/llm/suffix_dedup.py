@@ -10,10 +10,15 @@ leftmost of its k-mers with the least hash; equal strings have equal anchors
 at equal places, and about one byte in twenty starts an anchor. Three rounds
 go over the blocks:
 
-1. Each block sends the sorted hashes of its anchors' k-mers; those that two
-   blocks have come back.
-2. For those anchors only, each block sends its suffixes (from the anchor,
-   with the bytes before it), sorted, distinct and front-coded. Runs are
+1. Each block sends the sorted hashes of two windows an anchor, one of which
+   lies within every string it stands for: that from the anchor, for strings
+   that begin less than `near` bytes before it, and that around it, for the
+   others. Those that two blocks have come back. A window is about two thirds
+   of a string: k-mers alone are soon all repeated in a large corpus, and
+   nearly all suffixes would travel.
+2. For those anchors only, and the strings of their repeated windows, each
+   block sends its suffixes (from the anchor, with the bytes before it),
+   sorted, distinct and front-coded. Runs are
    combined by a loser tree that keeps, for each head, the prefix it is known
    to share with the last string put out, and never compares it again. From
    the common prefixes to both sides of the anchor it follows which strings
@@ -83,6 +88,17 @@ def kmer_hashes(b: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def window_hashes(b: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of the `width` bytes of b from each place; width is a multiple of 8."""
+    if not len(at):
+        return np.empty(0, np.uint64)
+    w = np.ndarray(len(b) - 7, "<u8", np.ascontiguousarray(b), 0, (1,))
+    h = _mixed(w[at])
+    for k in range(8, width, 8):
+        h = _mixed(h ^ w[at + k])
+    return h
+
+
 def anchors(b: np.ndarray, room: np.ndarray, length: int, k: int, chunk: int = 1 << 20) -> tuple[np.ndarray, ...]:
     """(place, first, last, hash): each anchor, the first and last start of the strings it stands for, its k-mer's hash.
 
@@ -310,12 +326,28 @@ class Block:
             rank.append(rank[-1] + (ids[i] != before) if rank else 0)
             before = ids[i]
         self.rank = np.array(rank, np.int64)
-        self.unique, self.which, self.times = np.unique(self.hash, return_inverse=True, return_counts=True)
-
-    def suffixes(self, at: np.ndarray) -> np.ndarray:
-        """Rows of the anchors `at`: the bytes from the anchor, those before it (nearest first), and the o it stands for; unneeded bytes are 0."""
+        # strings that begin less than `near` bytes before the anchor have the first window, the others the second
+        self.low, self.high = self.place - self.last, self.place - self.first
+        self.near = (length - k) // 2 + 1
+        window = min(length - self.near + 1, self.near + k) // 8 * 8
+        first, second = self.low < self.near, self.high >= self.near
+        keys = [window_hashes(self.bytes, self.place[first], window), window_hashes(self.bytes, self.place[second] + k - window, window) ^ _MIX]
+        self.unique, which, self.times = np.unique(_mixed(np.concatenate(keys)) >> np.uint64(64 - hash_bits), return_inverse=True, return_counts=True)
+        self.which = np.full((2, len(self.place)), -1, np.int32)  # of each anchor's windows
+        self.which[0, first], self.which[1, second] = which[: len(keys[0])], which[len(keys[0]) :]
+
+    def held(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(anchors, least o, greatest o) of the strings whose windows are `repeated`, one flag a distinct window."""
+        first, second = np.append(repeated, False)[self.which]
+        at = np.flatnonzero(first | second)
+        low = np.where(first[at], self.low[at], np.maximum(self.low[at], self.near))
+        high = np.where(second[at], self.high[at], np.minimum(self.high[at], self.near - 1))
+        return at, low, high
+
+    def suffixes(self, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Rows of the anchors `at`: the bytes from the anchor, those before it (nearest first), and the o of the strings asked for; unneeded bytes are 0."""
         length, k = self.length, self.k
-        a, low, high = self.place[at], self.place[at] - self.last[at], self.place[at] - self.first[at]
+        a = self.place[at]
         out = np.zeros((len(at), length + length - k + 2), np.uint8)
         for s in range(0, len(at), 1 << 15):
             w = slice(s, s + (1 << 15))
@@ -430,10 +462,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         with _files_dropped(spark):
             return persisted(df, folders[-1])
 
-    def dropped(start: int, stop: int | None = None) -> None:
-        """Deletes the folders from one number to another, that nothing reads any more."""
-        discard(spark, *folders[start:stop])
-        del folders[start:stop]
+    def dropped(*paths: str) -> None:
+        """Deletes folders that nothing reads any more."""
+        discard(spark, *paths)
+        folders[:] = [x for x in folders if x not in paths]
 
     # blocks by ranges of the id, written once: every round reads a bucket's blocks without an exchange
     dealt = d.repartitionByRange(n_blocks, "doc_id").sortWithinPartitions("doc_id").select(
@@ -503,12 +535,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             return
         keys = np.concatenate([unpack_numbers(x, 2)[1] for x in repeated]).astype(np.uint64)
         flag = np.isin(b.unique, keys)
-        at = np.flatnonzero(flag[b.which])
-        ranges = levels.range_of(b.unique, 1)[b.which[at]]
+        at, low, high = b.held(flag)
+        ranges = levels.range_of(b.hash[at], 1)
         by = np.argsort(ranges, kind="stable")
         for r, own in _cuts(ranges[by]):
-            own = at[by[own]]
-            rows = b.suffixes(own)
+            own = by[own]
+            rows = b.suffixes(at[own], low[own], high[own])
+            own = at[own]
             distinct, row = np.unique(rows.view(f"S{width}").ravel(), return_inverse=True)
             yield r, own, np.frombuffer(distinct.tobytes(), np.uint8).reshape(-1, width), row
 
@@ -576,9 +609,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             np.bitwise_or.at(of_row, index, bits)
             remove(np.concatenate(anchor), of_row[np.concatenate(row)])
         # what an earlier document of the block has
-        at = np.flatnonzero(b.times[b.which] > 1)
+        at, low, high = b.held(b.times > 1)
         if len(at):
-            rows = b.suffixes(at)
+            rows = b.suffixes(at, low, high)
             by = np.argsort(rows.view(f"S{rows.shape[1]}").ravel(), kind="stable")
             at, rows = at[by], rows[by]
             lcp = np.minimum(prefix_lengths(rows[:, :length]), length)
@@ -615,12 +648,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     def exchange(sent: DataFrame, meet, columns: int, kind: int) -> DataFrame:
         """Messages up through the levels and the answers back to their blocks; what a level makes is written, so that no round runs twice."""
-        answers = []
+        answers, before = [], ""
         for level in range(1, depth + 1):
             made = written(sent.groupBy("part", "grp").applyInArrow(meet(level), _MESSAGE))
+            own = folders[-1]
             if level > 1:  # what went up to this level has been read
                 answers[-1] = written(answers[-1])
-                dropped(-3, -2)
+                dropped(before)
+            before = own
             sent = made.where("up")
             answers.append(made.where("NOT up"))
         back = answers[-1]
@@ -634,7 +669,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     if depth > 1:
         read = len(folders)
         repeated = written(repeated)
-        dropped(made, read)
+        dropped(*folders[made:read])
     mail = copies.unionByName(repeated)
     earlier = exchange(rounds(mail, send_suffixes, _MESSAGE), meet_suffixes, 3, EARLIER)
     schema = f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
