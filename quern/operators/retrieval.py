@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from quern.functions.text import let, words
+from quern.functions.text import let, squeeze, words
 from quern.operators import windows
 
 #: Rows of a table that may be sent to every task; larger ones are joined by an exchange.
 SMALL = 1_000_000
+#: Character n-grams of the cosine's vocabulary.
+FEATURES = 8000
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -61,6 +69,11 @@ class Index:
         self.hinted = F.broadcast if small else lambda x: x
         self.postings = postings(docs, key, text, self.hinted(self.terms.select("term").distinct())).persist(StorageLevel.MEMORY_AND_DISK)
 
+    def few(self, cells: int) -> bool:
+        """Whether a matrix of terms and queries has at most so many cells."""
+        n = self.terms.agg(F.count_distinct("term").alias("t"), F.count_distinct("query").alias("q")).first()
+        return n["t"] * n["q"] <= cells
+
     def _part(self) -> Column:
         return F.col("times") * F.col("idf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("size") / self.average))
 
@@ -129,15 +142,272 @@ def char_grams(text, low: int = 3, high: int = 6):
     return let(padded, lambda p: F.flatten(F.concat(*[F.transform(p, of(n)) for n in range(low, high + 1)])))
 
 
-def cosine(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query: str = "item_id", query_text: str = "text", features: int = 8000) -> DataFrame:
+def grams_of(words_: list[str], times: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The distinct character n-grams of distinct words and how often they stand in all, a word counting `times`.
+
+    An n-gram is a whole number of its letters' places among the words'
+    letters; where six of those don't fit 63 bits, each half has fewer letters.
+    """
+    if not words_:
+        return [], np.empty(0, np.int64)
+    letters, c = np.unique(np.frombuffer("".join(f" {w} " for w in words_).encode("utf-32-le"), "<u4"), return_inverse=True)
+    bits = max(1, (len(letters) - 1).bit_length())
+    if 6 * bits > 63 and len(words_) > 1:
+        half = len(words_) // 2
+        a, b = grams_of(words_[:half], times[:half]), grams_of(words_[half:], times[half:])
+        return a[0] + b[0], np.concatenate((a[1], b[1]))
+    size = np.array([len(w) + 2 for w in words_], np.int64)
+    if 6 * bits > 63:
+        found: Counter[str] = Counter()
+        p = f" {words_[0]} "
+        for n in range(3, 7):
+            found.update(p[k : k + n] for k in range(max(len(p) - n + 1, 1)))
+        return list(found), np.array(list(found.values()), np.int64) * times[0]
+    room = np.repeat(np.cumsum(size), size) - np.arange(len(c))  # to the word's end
+    whole = np.repeat(size, size)
+    count = np.repeat(times, size)
+    grams, counts = [], []
+    for n in range(3, 7):
+        at = np.flatnonzero(room >= n)
+        key = np.zeros(len(at), np.int64)
+        for k in range(n):
+            key |= c[at + k] << bits * k
+        # a shorter word is its own n-gram for each greater n
+        distinct, which = np.unique(key, return_inverse=True)
+        counts.append(np.bincount(which, count[at] * np.where(whole[at] == n, 7 - n, 1), len(distinct)).astype(np.int64))
+        text = letters[(distinct[:, None] >> (bits * np.arange(n))) & ((1 << bits) - 1)].astype("<u4").tobytes().decode("utf-32-le")
+        grams += [text[k : k + n] for k in range(0, len(text), n)]
+    return grams, np.concatenate(counts)
+
+
+def top_grams(docs: DataFrame, text: str, features: int, step: int = 200_000) -> DataFrame:
+    """(g): the most frequent character n-grams, ties by the n-gram; those of a distinct word are made once, and count as often as it does."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def out() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            held.clear()
+            grams, counts = grams_of(t.column("word").to_pylist(), t.column("n").to_numpy())
+            return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(counts, pa.int64())], ["g", "n"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= step:
+                yield out()
+        if held:
+            yield out()
+
+    seen = docs.select(F.explode(words(F.lower(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return seen.mapInArrow(made, "g string, n long").groupBy("g").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "g").limit(features).select("g")
+
+
+class Vocabulary:
+    """Counts of the n-grams of a vocabulary in texts that are lower-cased and squeezed already, by a trie that all places enter at once."""
+
+    def __init__(self, grams: list[str], dense: int = 8_000_000) -> None:
+        self.size = len(grams)
+        letters = sorted({c for g in grams for c in g})
+        self.letter = np.zeros(0x110000, np.int64)  # 0: in no n-gram
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        number, edges = {"": 1}, {}
+        for g in grams:
+            for k in range(1, len(g) + 1):
+                if g[:k] not in number:
+                    number[g[:k]] = len(number) + 1
+                    edges[number[g[: k - 1]] * self.width + int(self.letter[ord(g[k - 1])])] = number[g[:k]]
+        nodes = len(number) + 1
+        self.feature, self.times = np.full(nodes, -1, np.int64), np.ones(nodes)
+        for i, g in enumerate(grams):
+            self.feature[number[g]] = i
+            if g[0] == g[-1] == " ":  # a word shorter than n is its own n-gram
+                self.times[number[g]] = 7 - len(g)
+        self.keys = np.array(sorted(edges), np.int64)
+        self.next = np.array([edges[int(k)] for k in self.keys], np.int64)
+        self.table = None
+        if nodes * self.width <= dense:
+            self.table = np.zeros(nodes * self.width, np.int32)
+            self.table[self.keys] = self.next
+
+    def _step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        key = state * self.width + letter
+        if self.table is not None:
+            return self.table[key].astype(np.int64)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.next[at], 0)
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """A row a text, a column an n-gram. No n-gram has a space inside, so none goes over a word's or a text's end."""
+        padded = [f" {x or ''} " for x in texts.to_pylist()]
+        c = self.letter[np.frombuffer("".join(padded).encode("utf-32-le"), "<u4")]
+        row = np.repeat(np.arange(len(padded)), [len(x) for x in padded])
+        at, state = np.arange(len(c)), np.ones(len(c), np.int64)
+        cells, times = [], []
+        for k in range(6):
+            inside = at + k < len(c)
+            at, state = at[inside], state[inside]
+            state = self._step(state, c[at + k])
+            at, state = at[state > 0], state[state > 0]
+            hit = self.feature[state] >= 0
+            cells.append(row[at[hit]] * self.size + self.feature[state[hit]])
+            times.append(self.times[state[hit]])
+        return np.bincount(np.concatenate(cells), np.concatenate(times), len(padded) * self.size).reshape(len(padded), self.size)
+
+
+def weighed(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Sublinear tf-idf rows of length 1; rows without an n-gram stay 0."""
+    w = np.log(counts, out=np.full(counts.shape, -1.0), where=counts > 0)
+    w += 1
+    w *= idf
+    norm = np.sqrt(np.einsum("ij,ij->i", w, w))
+    norm[norm == 0] = 1
+    w /= norm[:, None]
+    return w
+
+
+class Cosine:
+    """Cosine of sublinear tf-idf over the most frequent character n-grams, and BM25 beside it, against queries that fit a matrix.
+
+    The vocabulary is counted over distinct words, and a document is a row of
+    counts within its task: n-grams leave it neither for their documents'
+    frequencies nor for the scores.
+    """
+
+    #: Queries and n-grams of a matrix that goes to every task; more are joined.
+    MOST = 4_000_000
+    #: Cells of the counts of one step.
+    CELLS = 4_000_000
+
+    @staticmethod
+    def fits(queries: DataFrame, features: int) -> bool:
+        most = Cosine.MOST // max(1, features)
+        return queries.limit(most + 1).count() <= most
+
+    def __init__(self, docs: DataFrame, queries: DataFrame, key: str, text: str, query: str, query_text: str, features: int) -> None:
+        self.grams = [r[0] for r in top_grams(docs, text, features).collect()]  # at most `features`
+        squeezed = squeeze(F.lower(text)).alias("text")
+        self.key_type = docs.schema[key].dataType
+        self.query_type = queries.schema[query].dataType
+        self.docs = docs.select(F.col(key).alias("doc"), squeezed)
+        steps, grams = self._steps, self.grams
+
+        def having(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = np.zeros(len(grams), np.int64)
+            for _, counts in steps(batches, grams):
+                found += (counts > 0).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(grams))), pa.array(found)], ["i", "df"])
+
+        df = np.zeros(len(grams), np.int64)
+        for r in self.docs.select("text").mapInArrow(having, "i long, df long").groupBy("i").agg(F.sum("df").alias("df")).collect() if grams else []:
+            df[r["i"]] = r["df"]
+        n = docs.count()
+        self.idf = np.log((1 + n) / (1 + df)) + 1
+        texts: dict = {}  # of queries that share an id
+        for q, x in queries.select(query, squeeze(F.lower(query_text))).where(F.col(query).isNotNull()).collect():
+            texts.setdefault(q, []).append(x)
+        self.ids = list(texts)
+        v = Vocabulary(grams)
+        counts = v.counts(pa.array([" ".join(filter(None, x)) for x in texts.values()], pa.string())) if grams and texts else np.zeros((len(texts), len(grams)))
+        self.asked = weighed(counts, self.idf)
+        # rows that share an id are one document; a row without one is none
+        again = _small(self.docs.groupBy("doc").count().where("count > 1").select(F.col("doc").alias("again")).persist(StorageLevel.MEMORY_AND_DISK))
+        self.whole = self.docs.where("doc IS NOT NULL")
+        if again.limit(1).count():
+            merged = self.whole.join(again, F.col("doc") == F.col("again"), "left_semi").groupBy("doc").agg(F.trim(F.array_join(F.filter(F.collect_list("text"), lambda x: x != ""), " ")).alias("text"))
+            self.whole = self.whole.join(again, F.col("doc") == F.col("again"), "left_anti").unionByName(merged)
+
+    @staticmethod
+    def _steps(batches: Iterator[pa.RecordBatch], grams: list[str], more: int = 0) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        v = Vocabulary(grams)
+        rows = max(1, Cosine.CELLS // max(1, len(grams), more))
+        for batch in batches:
+            for s in range(0, batch.num_rows, rows):
+                part = batch.slice(s, rows)
+                yield part, v.counts(part.column("text"))
+
+    def _typed(self, *scores: str) -> tuple[str, pa.DataType]:
+        """The schema of (query, doc, ...) and the Arrow type of its query."""
+        schema = ", ".join([f"query {self.query_type.simpleString()}", f"doc {self.key_type.simpleString()}", *scores])
+        return schema, self.docs.sparkSession.createDataFrame([], schema).toArrow().schema.field("query").type
+
+    def scores(self) -> DataFrame:
+        """(query, doc, score) of all pairs that share an n-gram."""
+        schema, query_type = self._typed("score double")
+        steps, grams, idf, ids, asked = self._steps, self.grams, self.idf, self.ids, self.asked
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = pa.array(ids, query_type)
+            for part, counts in steps(batches, grams):
+                scores = weighed(counts, idf) @ asked.T
+                row, column = np.nonzero(scores > 0)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(column)), part.column("doc").take(pa.array(row)), pa.array(scores[row, column])], ["query", "doc", "score"])
+
+        return self.whole.mapInArrow(run, schema) if ids and grams else self.docs.sparkSession.createDataFrame([], schema)
+
+    def best(self, index: Index, pool: int) -> DataFrame:
+        """(query, doc, bm25, cosine, by_bm25, by_cosine): pairs among which are each query's best `pool` by either score, and which one chose them.
+
+        Both scores come from one pass, and each step keeps its best alone.
+        """
+        schema, query_type = self._typed("bm25 double", "cosine double", "by_bm25 boolean", "by_cosine boolean")
+        steps, grams, idf, ids = self._steps, self.grams, self.idf, self.ids
+        if not ids:
+            return self.docs.sparkSession.createDataFrame([], schema)
+        used = np.flatnonzero(self.asked.any(axis=0))
+        asked = np.ascontiguousarray(self.asked[:, used].T)
+        number, rows = {q: i for i, q in enumerate(ids)}, index.terms.where("query IS NOT NULL").select("query", "term", "times", "idf").collect()
+        terms = list(dict.fromkeys(r["term"] for r in rows))
+        place = {w: i for i, w in enumerate(terms)}
+        weight, has = np.zeros((len(terms), len(ids))), np.zeros((len(terms), len(ids)))
+        for r in rows:
+            weight[place[r["term"]], number[r["query"]]] = r["times"] * r["idf"]
+            has[place[r["term"]], number[r["query"]]] = 1
+        positive = bool((weight[has > 0] > 0).all())
+        k1, b, average = index.k1, index.b, index.average or 1.0
+
+        def matched(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            """The BM25 scores, and which pairs share a term."""
+            split = pc.split_pattern(texts, " ")
+            each = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+            found = pc.fill_null(pc.index_in(split.flatten(), value_set=pa.array(terms, pa.string())), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(texts)), each)[found >= 0]
+            tf = np.bincount(row * len(terms) + found[found >= 0], minlength=len(texts) * len(terms)).reshape(len(texts), len(terms)).astype(float)
+            size = np.where(pc.equal(texts, "").to_numpy(zero_copy_only=False), 0, each)
+            scores = (tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / average)[:, None])) @ weight
+            return scores, scores > 0 if positive else (tf > 0).astype(float) @ has > 0
+
+        def chosen(scores: np.ndarray, some: np.ndarray) -> np.ndarray:
+            # what is equal to six places ties, so the last place may go to a pair that falls short by that much
+            x = np.where(some, scores, -np.inf)
+            return some & (x >= np.partition(x, -pool, axis=0)[-pool] - 2e-6) if len(x) > pool else some
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = pa.array(ids, query_type)
+            for part, counts in steps(batches, grams, len(terms)):
+                y = weighed(counts, idf)[:, used] @ asked
+                x, shared = matched(part.column("text"))
+                by_x, by_y = chosen(x, shared), chosen(y, y > 0)
+                row, column = np.nonzero(by_x | by_y)
+                got = [names.take(pa.array(column)), part.column("doc").take(pa.array(row)), pa.array(x[row, column], mask=~shared[row, column]), pa.array(y[row, column])]
+                yield pa.RecordBatch.from_arrays([*got, pa.array(by_x[row, column]), pa.array(by_y[row, column])], ["query", "doc", "bm25", "cosine", "by_bm25", "by_cosine"])
+
+        return self.whole.mapInArrow(run, schema)
+
+
+def cosine(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query: str = "item_id", query_text: str = "text", features: int = FEATURES) -> DataFrame:
     """(query, doc, score): cosine of sublinear tf-idf over the most frequent character n-grams (ties by the n-gram).
 
-    The n-grams are counted where they lie; only those of the vocabulary and
-    of some query go through an exchange by document.
+    Few queries are a matrix (`Cosine`). Otherwise the n-grams are counted
+    where they lie, and only those of the vocabulary and of some query go
+    through an exchange by document.
     """
+    if Cosine.fits(queries, features):
+        return Cosine(docs, queries, key, text, query, query_text, features).scores()
     grams = docs.select(F.col(key).alias("k"), char_grams(F.col(text)).alias("g"))
     n = docs.count()
-    total = grams.select(F.explode("g").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("all")).orderBy(F.desc("all"), "g").limit(features)
+    total = top_grams(docs, text, features)
     inside = grams.select(F.explode(F.array_distinct("g")).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df")).withColumnRenamed("g", "h")
     idf = total.join(inside, F.col("g") == F.col("h")).select(F.col("g").alias("v"), (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf")).persist(StorageLevel.MEMORY_AND_DISK)  # at most `features` rows
 
@@ -185,11 +455,17 @@ def hybrid(docs: DataFrame, queries: DataFrame, top: int = 3, least_bm25: float
 def candidates(docs: DataFrame, queries: DataFrame, top: int, least_bm25: float, least_cosine: float, key: str, text: str, query: str, query_text: str, exclude_same: bool) -> DataFrame:
     """(query, doc, score) of the fused pools' documents that pass a gate."""
     index = Index(docs, queries, key, text, query, query_text)
-    y = cosine(docs, queries, key, text, query, query_text).persist(StorageLevel.MEMORY_AND_DISK)
-    best = fused([index.top(10 * top), ranked(y, 10 * top)]).persist(StorageLevel.MEMORY_AND_DISK)  # 20 * top rows a query at most
-    pairs = best.select(F.col("query").alias("q"), F.col("doc").alias("d"))
-    x = index.scores(pairs=pairs).withColumnRenamed("score", "bm25")
-    d = best.join(x, ["query", "doc"], "left").join(y.withColumnRenamed("score", "cosine"), ["query", "doc"], "left")
+    pool = 10 * top
+    if Cosine.fits(queries, FEATURES) and index.few(Cosine.MOST):
+        both = Cosine(docs, queries, key, text, query, query_text, FEATURES).best(index, pool).persist(StorageLevel.MEMORY_AND_DISK)
+        best = fused([ranked(both.where(f"by_{by}").select("query", "doc", F.col(by).alias("score")), pool) for by in ("bm25", "cosine")])
+        d = best.join(both.select("query", "doc", "bm25", "cosine"), ["query", "doc"])
+    else:
+        y = cosine(docs, queries, key, text, query, query_text).persist(StorageLevel.MEMORY_AND_DISK)
+        best = fused([index.top(pool), ranked(y, pool)]).persist(StorageLevel.MEMORY_AND_DISK)  # 20 * top rows a query at most
+        pairs = best.select(F.col("query").alias("q"), F.col("doc").alias("d"))
+        x = index.scores(pairs=pairs).withColumnRenamed("score", "bm25")
+        d = best.join(x, ["query", "doc"], "left").join(y.withColumnRenamed("score", "cosine"), ["query", "doc"], "left")
     d = d.where((F.coalesce("bm25", F.lit(0.0)) >= least_bm25) | (F.coalesce("cosine", F.lit(0.0)) >= least_cosine)).select("query", "doc", "score")
     if exclude_same:
         a = docs.select(F.col(key).alias("own_doc"), F.trim(text).alias("doc_text"))

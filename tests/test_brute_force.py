@@ -246,6 +246,31 @@ def test_hybrid_retrieval(spark, sf):
         assert [d for _, d, _ in sorted(got[q])] == best, q
 
 
+def test_hybrid_without_an_exchange_of_n_grams(spark, monkeypatch):
+    """A matrix of few queries gives what the joins give, and no n-gram of a document becomes a row."""
+    from quern.operators import retrieval
+
+    rng = random.Random(3)
+    vocab = ["".join(rng.choices("abcdeé日 \t", k=rng.randrange(1, 9))) for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(vocab, k=rng.randrange(0, 30)))) for i in range(70)] + [(71, None), (72, ""), (73, "Éa É a"), (74, "same"), (75, "same")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    q = spark.createDataFrame([(f"q{i}", t) for i, (_, t) in enumerate(rows[::6])] + [("none", "zzz"), ("empty", None), ("same", "same"), ("q0", "a twin")], "item_id string, text string")
+    monkeypatch.setattr(retrieval, "SMALL", 50)
+    with monkeypatch.context() as m:
+        m.setattr(retrieval.Cosine, "MOST", 0)
+        want = retrieval.hybrid(d, q, top=2).collect()
+    with monkeypatch.context() as m:
+        m.delattr(retrieval, "char_grams")
+        got = retrieval.hybrid(d, q, top=2)
+        assert got.columns == ["query", "doc", "score", "rank"]
+        got = got.collect()
+        odd = d.unionByName(spark.createDataFrame([(None, "same"), (3, "same again")], "doc_id long, text string"))
+        assert all(r["doc"] is not None for r in retrieval.hybrid(odd, q, top=2).collect())
+    key = lambda r: (r["query"], r["rank"], r["doc"], round(r["score"], 6))
+    assert len(got) > 20 and sorted(map(key, got)) == sorted(map(key, want))
+    assert {r["doc"] for r in got if r["query"] == "same"} == {74, 75}
+
+
 def test_examples_keep_their_budget(spark):
     from quern.operators import retrieval
 
