@@ -49,6 +49,22 @@ def postings(docs: DataFrame, key: str, text: str, terms: DataFrame | None = Non
     return d.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("size").alias("size"))
 
 
+def word_counts(docs: DataFrame, text: str) -> DataFrame:
+    """(term, n, df): how often each word stands in all and in how many rows; counted a batch at a time, so that few rows go through the exchange."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = pc.split_pattern(batch.column("text"), " ")
+            coded = split.flatten().dictionary_encode()
+            code, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary)
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+            df = np.bincount(np.unique(row * size + code) % max(size, 1), minlength=size)
+            yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(np.bincount(code, minlength=size)), pa.array(df)], ["term", "n", "df"])
+
+    made = docs.select(squeeze(F.lower(text)).alias("text")).mapInArrow(counted, "term string, n long, df long")
+    return made.where("term != ''").groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df"))
+
+
 class Index:
     """What BM25 needs of the documents for some queries: their weighed terms and the postings of those."""
 
@@ -58,8 +74,8 @@ class Index:
         sizes = w.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("w")).alias("avg")).first()
         self.n, self.average = sizes["n"], sizes["avg"] or 0.0
         asked = asked_terms(queries, query, query_text)
-        # every word's documents count for the mean; distinct words of a row are counted where they lie
-        df = w.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        # every word's documents count for the mean
+        self.words = df = word_counts(docs, text).persist(StorageLevel.MEMORY_AND_DISK)
         idf = df.select("term", "df", (F.log(self.n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
         mean = idf.agg(F.avg("raw").alias("mean"))  # one row, of the same exchange
         weight = F.when(F.col("raw") < 0, floor * F.col("mean")).otherwise(F.col("raw"))
@@ -180,8 +196,8 @@ def grams_of(words_: list[str], times: np.ndarray) -> tuple[list[str], np.ndarra
     return grams, np.concatenate(counts)
 
 
-def top_grams(docs: DataFrame, text: str, features: int, step: int = 200_000) -> DataFrame:
-    """(g): the most frequent character n-grams, ties by the n-gram; those of a distinct word are made once, and count as often as it does."""
+def top_grams(seen: DataFrame, features: int, step: int = 200_000) -> DataFrame:
+    """(g): the most frequent character n-grams of counted words, ties by the n-gram; those of a distinct word are made once, and count as often as it does."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -189,7 +205,7 @@ def top_grams(docs: DataFrame, text: str, features: int, step: int = 200_000) ->
         def out() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
             held.clear()
-            grams, counts = grams_of(t.column("word").to_pylist(), t.column("n").to_numpy())
+            grams, counts = grams_of(t.column("term").to_pylist(), t.column("n").to_numpy())
             return pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(counts, pa.int64())], ["g", "n"])
 
         for batch in batches:
@@ -199,8 +215,7 @@ def top_grams(docs: DataFrame, text: str, features: int, step: int = 200_000) ->
         if held:
             yield out()
 
-    seen = docs.select(F.explode(words(F.lower(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return seen.mapInArrow(made, "g string, n long").groupBy("g").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "g").limit(features).select("g")
+    return seen.select("term", "n").mapInArrow(made, "g string, n long").groupBy("g").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "g").limit(features).select("g")
 
 
 class Vocabulary:
@@ -285,8 +300,8 @@ class Cosine:
         most = Cosine.MOST // max(1, features)
         return queries.limit(most + 1).count() <= most
 
-    def __init__(self, docs: DataFrame, queries: DataFrame, key: str, text: str, query: str, query_text: str, features: int) -> None:
-        self.grams = [r[0] for r in top_grams(docs, text, features).collect()]  # at most `features`
+    def __init__(self, docs: DataFrame, queries: DataFrame, key: str, text: str, query: str, query_text: str, features: int, seen: DataFrame | None = None) -> None:
+        self.grams = [r[0] for r in top_grams(word_counts(docs, text) if seen is None else seen, features).collect()]  # at most `features`
         squeezed = squeeze(F.lower(text)).alias("text")
         self.key_type = docs.schema[key].dataType
         self.query_type = queries.schema[query].dataType
@@ -407,7 +422,7 @@ def cosine(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str =
         return Cosine(docs, queries, key, text, query, query_text, features).scores()
     grams = docs.select(F.col(key).alias("k"), char_grams(F.col(text)).alias("g"))
     n = docs.count()
-    total = top_grams(docs, text, features)
+    total = top_grams(word_counts(docs, text), features)
     inside = grams.select(F.explode(F.array_distinct("g")).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("df")).withColumnRenamed("g", "h")
     idf = total.join(inside, F.col("g") == F.col("h")).select(F.col("g").alias("v"), (F.log((1 + n) / (1 + F.col("df"))) + 1).alias("idf")).persist(StorageLevel.MEMORY_AND_DISK)  # at most `features` rows
 
@@ -457,7 +472,7 @@ def candidates(docs: DataFrame, queries: DataFrame, top: int, least_bm25: float,
     index = Index(docs, queries, key, text, query, query_text)
     pool = 10 * top
     if Cosine.fits(queries, FEATURES) and index.few(Cosine.MOST):
-        both = Cosine(docs, queries, key, text, query, query_text, FEATURES).best(index, pool).persist(StorageLevel.MEMORY_AND_DISK)
+        both = Cosine(docs, queries, key, text, query, query_text, FEATURES, index.words).best(index, pool).persist(StorageLevel.MEMORY_AND_DISK)
         best = fused([ranked(both.where(f"by_{by}").select("query", "doc", F.col(by).alias("score")), pool) for by in ("bm25", "cosine")])
         d = best.join(both.select("query", "doc", "bm25", "cosine"), ["query", "doc"])
     else:
